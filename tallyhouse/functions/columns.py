@@ -66,23 +66,49 @@ def field_or_null(df: DataFrame, path: list[str], dtype: T.DataType) -> Column:
     column = quoted(actual_name(df, path[0]))
     for step in path[1:]:
         column = column.getField(step)
-    if found == dtype:
-        return column
-    if isinstance(dtype, T.StringType) and isinstance(
-        found, (T.StructType, T.ArrayType, T.MapType)
-    ):
-        return F.to_json(column, {"ignoreNullFields": "false"})
-    if isinstance(found, T.StringType) and isinstance(
-        dtype, (T.StructType, T.ArrayType, T.MapType)
-    ):
-        return F.from_json(column, dtype)
-    if isinstance(found, (T.StructType, T.MapType)) and isinstance(
-        dtype, (T.StructType, T.MapType)
-    ):
-        return F.from_json(F.to_json(column), dtype)
-    if isinstance(found, T.ArrayType) and isinstance(dtype, T.ArrayType):
-        return F.from_json(F.to_json(column), dtype)
-    return column.try_cast(dtype)
+    return conform(column, found, dtype)
+
+
+def conform(value: Column, found: T.DataType, wanted: T.DataType) -> Column:
+    """``value`` of type ``found`` as ``wanted``.
+
+    Structs are matched field by field (ignoring case, missing fields are NULL),
+    lists element by element, and scalars that do not convert become NULL. Nested
+    values turn into JSON text and JSON text into nested values where the types
+    ask for it.
+    """
+    if found == wanted:
+        return value
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    if isinstance(found, T.StringType) and isinstance(wanted, nested):
+        return F.try_variant_get(F.try_parse_json(value), "$", wanted.simpleString())
+    if isinstance(wanted, T.StringType) and isinstance(found, nested):
+        return F.to_json(value, {"ignoreNullFields": "false"})
+    if isinstance(found, T.StructType) and isinstance(wanted, T.StructType):
+        fields = []
+        for field in wanted.fields:
+            held = next(
+                (f for f in found.fields if f.name.lower() == field.name.lower()), None
+            )
+            part = (
+                F.lit(None).cast(field.dataType)
+                if held is None
+                else conform(value.getField(held.name), held.dataType, field.dataType)
+            )
+            fields.append(part.alias(field.name))
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(found, T.ArrayType) and isinstance(wanted, T.ArrayType):
+        return F.transform(
+            value, lambda x: conform(x, found.elementType, wanted.elementType)
+        )
+    if isinstance(found, T.MapType) and isinstance(wanted, T.MapType):
+        return F.transform_values(
+            value, lambda _, v: conform(v, found.valueType, wanted.valueType)
+        )
+    if isinstance(found, nested) or isinstance(wanted, nested):
+        text = F.to_json(value) if isinstance(found, nested) else F.lit(None)
+        return F.try_variant_get(F.try_parse_json(text), "$", wanted.simpleString())
+    return value.try_cast(wanted)
 
 
 def replace_column(df: DataFrame, name: str, value: Column) -> DataFrame:

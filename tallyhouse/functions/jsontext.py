@@ -9,16 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.lists import list_distinct, no_nulls_empty
+from tallyhouse.functions.lists import bound
 
 #: ``from_json`` type that keeps every value of an object or array as JSON text.
 TEXT_MAP = "map<string,string>"
 TEXT_LIST = "array<string>"
 
 
+#: JSON values that are neither object, array nor string.
+_SCALAR = r"^\s*(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|null)\s*$"
+
+
 def is_json(text: Column) -> Column:
-    """True for valid JSON text; NULL text is not JSON."""
-    return F.try_parse_json(text).isNotNull()
+    """True for valid JSON text; NULL text is not JSON.
+
+    Plain words and numbers are told by a pattern: a parser would raise an
+    exception for every text that is not JSON, which costs far more.
+    """
+    enclosed = F.substring(F.ltrim(text), 1, 1).isin("{", "[", '"')
+    valid = F.when(enclosed, F.try_parse_json(text).isNotNull()).otherwise(
+        text.rlike(_SCALAR)
+    )
+    return F.coalesce(valid, F.lit(False))
 
 
 def json_or_null(text: Column) -> Column:
@@ -26,6 +38,22 @@ def json_or_null(text: Column) -> Column:
     return F.when(is_json(text), text)
 
 
+def is_object(text: Column) -> Column:
+    """Whether the text is a JSON object. Only text that looks like one is parsed."""
+    return F.coalesce(F.ltrim(text).startswith("{") & is_json(text), F.lit(False))
+
+
+def is_array(text: Column) -> Column:
+    """Whether the text is a JSON array."""
+    return F.coalesce(F.ltrim(text).startswith("[") & is_json(text), F.lit(False))
+
+
+def typed(text: Column, path: str, ddl: str) -> Column:
+    """The value at a JSON path as a nested type. A part that does not convert, or
+    is missing, is NULL; the rest of the value is kept."""
+    return F.try_variant_get(F.try_parse_json(text), path, ddl)
+
+
 def json_kind(text: Column) -> Column:
     """Kind of the JSON value: OBJECT, ARRAY, VARCHAR, BOOLEAN, NULL or a number
     kind (UBIGINT, BIGINT, DOUBLE). SQL NULL and invalid JSON give NULL.
@@ -89,7 +117,7 @@ def statements(document: Column) -> Column:
     A single statement object counts as a list of one; a missing, NULL or scalar
     ``Statement`` and a NULL document give an empty list.
     """
-    return wrapped_elements(F.get_json_object(document, "$.Statement"))
+    return bound(F.get_json_object(document, "$.Statement"), wrapped_elements)
 
 
 def url_decode(text: Column) -> Column:
@@ -121,8 +149,3 @@ def stringify_field(document: Column, key: str) -> Column:
         F.transform_values(parsed, lambda k, v: F.when(k == key, inner).otherwise(v))
     )
     return F.when(is_object, rewritten).otherwise(document)
-
-
-def distinct_statements(lists: Column) -> Column:
-    """Distinct statements of a list of statement lists, sorted."""
-    return F.array_sort(list_distinct(F.flatten(no_nulls_empty(lists))))

@@ -11,6 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` refers to it.
+
+    Spark shares repeated subexpressions only where all of them are sure to run;
+    behind conditions and inside lambdas an expensive value would be recomputed.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def or_empty(items: Column) -> Column:
     """A NULL list becomes an empty one."""
     return F.coalesce(items, F.array())

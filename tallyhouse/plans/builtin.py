@@ -20,16 +20,17 @@ from tallyhouse.functions.columns import (
     spread_names,
 )
 from tallyhouse.functions.jsontext import (
-    TEXT_MAP,
     decoded_document,
-    json_kind,
-    json_or_null,
+    is_array,
+    is_object,
     json_elements,
     statements,
+    typed,
     url_decode,
 )
 from tallyhouse.functions.lists import (
     blank_to_null,
+    bound,
     list_concat,
     list_first,
     list_flatten,
@@ -54,7 +55,7 @@ _TEXT_VALUES = T.MapType(_TEXT, _TEXT)
 # ----------------------------------------------------------------------------
 
 APPLICATION = (
-    "struct<ApplicationType:string,InstalledTime:timestamp,Architecture:string,"
+    "struct<ApplicationType:string,InstalledTime:string,Architecture:string,"
     "Version:string,Summary:string,PackageId:string,Publisher:string,"
     "Release:string,URL:string,Name:string,Epoch:string>"
 )
@@ -243,27 +244,33 @@ def _content(df: DataFrame, column: str) -> Column:
 
 def applications(content: Column) -> Column:
     """Typed applications of a map whose values are objects or arrays of objects."""
-    values = F.map_values(content)
-    single = F.filter(values, lambda v: json_kind(v) == "OBJECT")
-    several = F.transform(
-        F.filter(values, lambda v: json_kind(v) == "ARRAY"), json_elements
-    )
-    found = list_concat(single, list_flatten(several))
-    typed = F.transform(found, lambda v: F.from_json(v, APPLICATION))
-    return F.when(content.isNotNull(), typed)
+
+    def found(values: Column) -> Column:
+        single = F.filter(values, is_object)
+        several = F.transform(F.filter(values, is_array), json_elements)
+        parsed = F.transform(
+            list_concat(single, list_flatten(several)),
+            lambda v: F.from_json(v, APPLICATION),
+        )
+        return F.transform(
+            parsed, lambda a: a.withField("InstalledTime", _timestamp(a["InstalledTime"]))
+        )
+
+    return bound(F.map_values(content), found)
 
 
 def windows_updates(content: Column) -> Column:
     """Typed updates by id, blanks as NULL, without NULL entries."""
     blanks = ["description", "hotfixid", "installedby"]
-
-    def typed(value: Column) -> Column:
-        update = F.from_json(value, WINDOWS_UPDATE)
-        update = update.withField("installedtime", _timestamp(update["installedtime"]))
-        return with_blanks_nulled(update, blanks)
-
     present = F.map_filter(content, lambda _, v: v.isNotNull() & (v != "null"))
-    return F.transform_values(present, lambda _, v: typed(v))
+    # Parsed first and rewritten after, so that each entry is parsed once.
+    parsed = F.transform_values(present, lambda _, v: F.from_json(v, WINDOWS_UPDATE))
+    return F.transform_values(
+        parsed,
+        lambda _, u: with_blanks_nulled(u, blanks).withField(
+            "installedtime", _timestamp(u["installedtime"])
+        ),
+    )
 
 
 def instance_inventory(df: DataFrame) -> DataFrame:
@@ -296,32 +303,27 @@ def flatten_instance(df: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------
 
 
-def patch_content(item: Column) -> Column:
-    """Patch entries of a compliance item: key -> JSON text."""
-    return F.from_json(F.get_json_object(item, "$.Content.Patch"), TEXT_MAP)
-
-
 def patch_summary(item: Column) -> Column:
-    summary = F.try_element_at(patch_content(item), F.lit(SUMMARY_KEY))
-    return F.from_json(summary, COMPLIANCE_SUMMARY)
+    """Typed summary entry of a compliance item."""
+    return typed(item, f"$.Content.Patch.{SUMMARY_KEY}", COMPLIANCE_SUMMARY)
 
 
 def patches(item: Column) -> Column:
-    """Typed patches by key, without the summary entry."""
+    """Typed patches of a compliance item by key, without the summary entry."""
     blanks = ["Title", "Status", "PatchSeverity", "Classification", "PatchGroup"]
-
-    def typed(value: Column) -> Column:
-        patch = F.from_json(value, PATCH)
-        patch = with_blanks_nulled(patch, blanks)
-        patch = patch.withField("InstalledTime", _timestamp(patch["InstalledTime"]))
-        return patch.withField("CVEIds", F.split(patch["CVEIds"], ","))
-
-    entries = F.map_filter(patch_content(item), lambda k, _: k != SUMMARY_KEY)
-    return F.transform_values(entries, lambda _, v: typed(v))
+    parsed = typed(item, "$.Content.Patch", f"map<string,{PATCH}>")
+    entries = F.map_filter(parsed, lambda k, _: k != SUMMARY_KEY)
+    return F.transform_values(
+        entries,
+        lambda _, p: with_blanks_nulled(p, blanks)
+        .withField("InstalledTime", _timestamp(p["InstalledTime"]))
+        .withField("CVEIds", F.split(p["CVEIds"], ",")),
+    )
 
 
 def patch_compliance(df: DataFrame) -> DataFrame:
-    item = json_or_null(field_or_null(df, ["AWS:ComplianceItem"], _TEXT))
+    """Summary and patches as typed columns instead of the raw item."""
+    item = field_or_null(df, ["AWS:ComplianceItem"], _TEXT)
     out = df.withColumn("complianceSummary", patch_summary(item)).withColumn(
         "patches", patches(item)
     )
