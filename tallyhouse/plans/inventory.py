@@ -245,7 +245,9 @@ class Inventory:
 
         enabled = [s for s in sources if s.enabled]
         out = []
-        for source, result in zip(enabled, _in_parallel(fetch, enabled, len(enabled))):
+        for source, result in zip(
+            enabled, self._in_parallel(fetch, enabled, len(enabled))
+        ):
             if isinstance(result, Exception):
                 report.note("source", source.name, FAILED, detail=result)
             else:
@@ -338,7 +340,9 @@ class Inventory:
                 return str(error)
 
         names = list(plain)
-        for name, result in zip(names, _in_parallel(write, names, settings.parallel_writes)):
+        for name, result in zip(
+            names, self._in_parallel(write, names, settings.parallel_writes)
+        ):
             if isinstance(result, Exception):
                 report.note("table", name, FAILED, detail=result)
             else:
@@ -376,6 +380,22 @@ class Inventory:
         )
 
 
+    def _in_parallel(self, fn: Callable, items: Sequence, workers: int) -> list:
+        """Run Spark jobs from several threads; exceptions are returned, not raised."""
+
+        def guarded(item):
+            try:
+                return fn(item)
+            except Exception as error:  # noqa: BLE001
+                return error
+
+        if not items:
+            return []
+        task = inheritable_thread_target(self.spark)(guarded)
+        with ThreadPoolExecutor(max(1, min(workers, len(items)))) as pool:
+            return list(pool.map(task, items))
+
+
 _CUSTOM_TYPES = "resource_type string"
 
 
@@ -386,18 +406,3 @@ def clustered(spine: DataFrame) -> DataFrame:
     types together, which a plain repartition by type would not.
     """
     return spine.hint("rebalance", "resourceType")
-
-
-def _in_parallel(fn: Callable, items: Sequence, workers: int) -> list:
-    """Run Spark jobs from several threads; exceptions are returned, not raised."""
-
-    def guarded(item):
-        try:
-            return fn(item)
-        except Exception as error:  # noqa: BLE001
-            return error
-
-    if not items:
-        return []
-    with ThreadPoolExecutor(max(1, min(workers, len(items)))) as pool:
-        return list(pool.map(inheritable_thread_target(guarded), items))

@@ -98,8 +98,10 @@ class Store:
             raise KeyError(f"no table {name!r} below {self.root}")
         return f"{self._table(name)}/{generation}"
 
-    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
+    def read(self, name: str, schema: T.StructType | str | None = None) -> DataFrame:
         """The current generation; an empty table of ``schema`` when there is none."""
+        if isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
         if not self.exists(name):
             if schema is None:
                 raise KeyError(f"no table {name!r} below {self.root}")
