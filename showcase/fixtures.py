@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.schemas import CAPTURE_TIME, SPINE
+from tallyhouse.sources.items import spread
 
 #: Types of the demo spine are ``Demo::App::<event type>``.
 DEMO_TYPES = [f"Demo::App::{t}" for t in ("click", "error", "purchase", "signup", "view")]
@@ -174,6 +175,9 @@ SELECT 'o-' || cast(o_orderkey AS string) AS resourceId,
             WHEN o_orderstatus = 'O' THEN '{}' END AS tagsJson
 FROM @orders"""
 
+#: Fixtures whose rows need much parsing.
+_PARSED = {"fx_compliance", "fx_instance"}
+
 _USES = re.compile(r"\bfx_[a-z_]+")
 
 
@@ -216,7 +220,8 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
     # Backslashes in the shared text are literal characters.
     text = text.replace("\\", "\\\\")
-    return spark.sql(f"WITH {text} SELECT * FROM {name}")
+    rows = spark.sql(f"WITH {text} SELECT * FROM {name}")
+    return spread(rows) if name in _PARSED else rows
 
 
 def as_spine(changes: DataFrame) -> DataFrame:

@@ -129,10 +129,8 @@ def upsert_newer(
         F.when(newer, "UPDATE").otherwise("KEEP").alias("merge_action"),
     ).select("_row.*", "merge_action")
     # Keys only: which incoming keys are stored already.
-    known = (
-        stored.select(*keys)
-        .join(fresh.select(*keys), list(keys), "left_semi")
-        .distinct()
+    known = _distinct_keys(
+        stored.select(*keys).join(fresh.select(*keys), list(keys), "left_semi"), keys
     )
     added = (
         fresh.join(known, list(keys), "left_anti")
@@ -145,6 +143,17 @@ def upsert_newer(
     return kept.unionByName(added)
 
 
+def _distinct_keys(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct keys of a join's result.
+
+    Grouping by one struct of the keys asks for a partitioning the join does not
+    have. That adds an exchange of already distinct keys, and leaves Spark free to
+    split a skewed key of the join, which it may not do when the join's own
+    partitioning serves the aggregation.
+    """
+    return joined.select(F.struct(*keys).alias("_key")).distinct().select("_key.*")
+
+
 def _reapable(claimed: Sequence[str]) -> Column:
     """Rows the key listing has authority over: those of unclaimed types. With
     claims, a NULL type is neither claimed nor unclaimed and stays."""
@@ -157,12 +166,12 @@ def missing_keys(
     stored: DataFrame, identifiers: DataFrame, claimed: Sequence[str] = ()
 ) -> DataFrame:
     """Distinct keys of stored rows the listing no longer has. Reads three columns."""
-    return (
+    unlisted = (
         stored.select(*KEY)
         .filter(_reapable(claimed))
         .join(identifiers.select(*KEY), KEY, "left_anti")
-        .distinct()
     )
+    return _distinct_keys(unlisted, KEY)
 
 
 def reap_missing(

@@ -53,7 +53,7 @@ from tallyhouse.sources.contract import (
 )
 from tallyhouse.sources.items import changed_since
 from tallyhouse.sources.organization import named_accounts, policy_documents
-from tallyhouse.sources.store import Store, staged, work_folder
+from tallyhouse.sources.store import Files, Store, staged, work_folder
 
 log = logging.getLogger(__name__)
 
@@ -160,7 +160,11 @@ class Inventory:
         def stage(df: DataFrame) -> DataFrame:
             return staged(df, folder)
 
-        self._build_spine(inputs, settings, stage, report)
+        try:
+            self._build_spine(inputs, settings, stage, report)
+        finally:
+            # Nothing refers to the intermediate tables once the spine is written.
+            Files(self.spark).delete(folder)
         self._build_accounts(inputs, report)
         self._build_policies(inputs, report)
         tables = self._build_derived(settings, report)
@@ -379,7 +383,6 @@ class Inventory:
             CUSTOM_TYPES_TABLE, self.spark.createDataFrame(written, _CUSTOM_TYPES)
         )
 
-
     def _in_parallel(self, fn: Callable, items: Sequence, workers: int) -> list:
         """Run Spark jobs from several threads; exceptions are returned, not raised."""
 

@@ -113,3 +113,14 @@ def changed_since(items: DataFrame, cutoff, time: str = CAPTURE_TIME) -> DataFra
         return items
     limit = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
     return items.filter(F.col(time) > limit)
+
+
+def spread(scanned: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, where the files give fewer splits than that.
+
+    A compressed file, or one with a single row group, is one task however much
+    work its rows need. With at least one split per core nothing is moved.
+    """
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    splits = scanned.rdd.getNumPartitions()
+    return scanned if splits >= cores else scanned.repartition(cores)

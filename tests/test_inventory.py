@@ -80,19 +80,19 @@ def test_sources_land_fail_and_release(inventory, spine):
     assert failed.status("source") == {"units": "failed"}
     assert ids(inventory.spine()) == ["i-1", "ou-1", "ou-2"]
 
-    inventory.build(recorded, BuildSettings(sources=[units("ou-1")]))
-    assert ids(inventory.spine()) == ["i-1", "ou-1"]
-
     inventory.build(recorded, BuildSettings(sources=[units("ou-3", semantics=Semantics.MERGE)]))
-    assert ids(inventory.spine()) == ["i-1", "ou-1", "ou-3"]
+    assert ids(inventory.spine()) == ["i-1", "ou-1", "ou-2", "ou-3"]
 
     inventory.build(recorded, BuildSettings(mode=SKIP, sources=[units("ou-7")]))
-    assert ids(inventory.spine()) == ["i-1", "ou-1", "ou-3"]
+    assert ids(inventory.spine()) == ["i-1", "ou-1", "ou-2", "ou-3"]
 
     inventory.build(recorded, BuildSettings(sources=[units()]))
     assert ids(inventory.spine()) == ["i-1"]
     assert not inventory.store.exists("organizations_organizationalunit")
 
+
+def test_a_disabled_source_releases_its_rows(inventory, spine):
+    recorded = inputs(spine, item(resource_id="i-1"))
     inventory.build(recorded, BuildSettings(sources=[units("ou-1")]))
     inventory.build(recorded, BuildSettings(sources=[units("ou-1", enabled=False)]))
     assert ids(inventory.spine()) == ["i-1"]
