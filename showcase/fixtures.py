@@ -18,7 +18,7 @@ from tallyhouse.sources.items import spread
 #: Types of the demo spine are ``Demo::App::<event type>``.
 DEMO_TYPES = [f"Demo::App::{t}" for t in ("click", "error", "purchase", "signup", "view")]
 
-_K = "cast(regexp_extract(props, '([0-9]+)', 1) AS bigint)"
+_K = "k"
 _CENTS = "cast(round(value * 100) AS bigint)"
 _U = "cast(user_id AS string)"
 
@@ -49,7 +49,7 @@ SELECT 'arn:demo:' || cast(event_id AS string) AS arn,
          ELSE '{{"k":' || cast({_K} AS string) || '}}' END AS configuration,
        CASE WHEN event_type = 'click' THEN '{{"extra":"e-' || {_U} || '"}}' ELSE '{{}}' END
          AS supplementaryConfiguration
-FROM @events"""
+FROM (SELECT *, cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) AS k FROM @events) e"""
 
 # Accounts: 25 of the 30 the change feed has, some without a name.
 FIXTURES["fx_accounts"] = """
