@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
-from showcase.common import BRIEF_SQL, TIME_SQL, accounts, brief, changes, time_text
-from showcase.fixtures import DELTA_SINCE, DEMO_TYPES, as_spine, fixture, spine_fixture
+from showcase.common import BRIEF_SQL, accounts, brief, changes, time_text
+from showcase.fixtures import DELTA_SINCE, fixture, spine_fixture
 from showcase.registry import query
-from tallyhouse.functions.jsontext import json_path
 from tallyhouse.operators import counts, merge
 from tallyhouse.operators.tree import hierarchy_paths
-from tallyhouse.schemas import CAPTURE_TIME, KEY
+from tallyhouse.schemas import CAPTURE_TIME
 from tallyhouse.sources import items as item_source
 from tallyhouse.sources.contract import source_rows_to_spine
 from tallyhouse.sources.organization import unit_rows
@@ -21,7 +18,6 @@ from tallyhouse.sources.snapshots import latest_snapshots
 from tallyhouse.sources.store import work_folder
 
 _CLAIMED = "Demo::App::signup"
-_SINCE = datetime.fromisoformat(DELTA_SINCE)
 
 
 def _stored(spark, d):
@@ -166,7 +162,7 @@ def ou_rows(spark, d):
 
 @query(
     "fetched_to_spine",
-    f"""SELECT {BRIEF_SQL.replace('stateId', 'NULL AS stateId')}, configuration, '{{}}' AS supplementaryConfiguration,
+    f"""SELECT {BRIEF_SQL.replace('stateId', 'cast(NULL AS varchar) AS stateId')}, configuration, '{{}}' AS supplementaryConfiguration,
                0 AS links FROM fx_changes""",
 )
 def fetched_to_spine(spark, d):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from showcase.common import BRIEF_SQL, accounts, brief, changes, resolver, typed
-from showcase.fixtures import fixture
 from showcase.registry import query
 from tallyhouse.operators.merge import accounts_refresh
 from tallyhouse.plans.query import (

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from showcase.common import BRIEF_SQL, TIME_SQL, accounts, brief, changes, time_text, typed
-from showcase.fixtures import DEMO_TYPES, fixture, spine_fixture
+from showcase.common import accounts, changes, typed
+from showcase.fixtures import DEMO_TYPES, fixture
 from showcase.registry import query
 from tallyhouse.functions import jsontext, lists
-from tallyhouse.functions.columns import quoted
 from tallyhouse.operators import policies
 from tallyhouse.operators.containment import contained_values
 from tallyhouse.operators.derive import STRINGIFIED, stringify_content, type_schemas
@@ -18,7 +17,12 @@ from tallyhouse.operators.merge import latest_per_key
 from tallyhouse.plans import builtin
 from tallyhouse.plans.inventory import BuildInputs, BuildSettings, Inventory
 from tallyhouse.plans.query import columns_of
-from tallyhouse.plans.transforms import CustomTable, GlobalTransform, Transform, sql_transform
+from tallyhouse.plans.transforms import (
+    CustomTable,
+    custom_table,
+    spine_conditions,
+    sql_transform,
+)
 from tallyhouse.schemas import JSON_COLUMNS, SPINE, table_name
 from tallyhouse.sources.contract import Semantics, Source
 from tallyhouse.sources.store import work_folder
@@ -143,7 +147,7 @@ def g_drop_duplicates(spark, d):
 @query(
     "stringify_field",
     """SELECT arn, json_type(configuration, '$.Content') AS before, 'VARCHAR' AS after,
-              json_extract(configuration, '$.Content') AS content,
+              cast(json_extract(configuration, '$.Content') AS varchar) AS content,
               json_extract_string(configuration, '$.ParentId') AS parentId
        FROM fx_changes WHERE resourceType = 'Demo::App::signup'""",
 )
@@ -178,16 +182,12 @@ def g_name_from_tags(spark, d):
 )
 def cond_tags(spark, d):
     """Condition of a global transform for all tables, from one aggregation."""
-    from tallyhouse.plans.transforms import spine_conditions
-
     return spine_conditions(changes(spark, d), builtin.default_registry())
 
 
 @query("custom_by_account", """SELECT accountId, count(*) AS errors, 'Custom::ErrorsByAccount' AS resourceType
        FROM fx_changes WHERE resourceType = 'Demo::App::error' GROUP BY accountId""")
 def custom_by_account(spark, d):
-    from tallyhouse.plans.transforms import custom_table
-
     definition = CustomTable(
         "Custom::ErrorsByAccount",
         "SELECT accountId, count(*) AS errors FROM demo_app_error GROUP BY accountId",
@@ -198,9 +198,6 @@ def custom_by_account(spark, d):
 
 # -- nested functions ----------------------------------------------------------
 
-_KIND_SQL = "json_type(x)"
-
-
 @query(
     "fn_json_kind",
     """SELECT arn, json_type(configuration) AS doc, json_type(configuration, '$.k') AS k,
@@ -223,7 +220,7 @@ def fn_json_kind(spark, d):
 @query(
     "fn_statements",
     """SELECT arn, CASE json_type(policyDocument, '$.Statement')
-                WHEN 'ARRAY' THEN json_array_length(policyDocument, '$.Statement')
+                WHEN 'ARRAY' THEN cast(json_array_length(policyDocument, '$.Statement') AS bigint)
                 WHEN 'OBJECT' THEN 1 ELSE 0 END AS n,
               CASE json_type(policyDocument, '$.Statement')
                 WHEN 'ARRAY' THEN (json_extract(policyDocument, '$.Statement[0]'))::varchar

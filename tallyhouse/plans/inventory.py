@@ -58,6 +58,8 @@ from tallyhouse.sources.store import Files, Store, staged, work_folder
 log = logging.getLogger(__name__)
 
 POLICIES_TABLE = "aws_managed_policy"
+#: Policies as fetched, kept across builds; POLICIES_TABLE is derived from them.
+POLICY_CACHE = "managed_policy_documents"
 CUSTOM_TYPES_TABLE = "custom_resource_types"
 FETCH, SNAPSHOTS, SKIP = "fetch", "snapshots", "skip"
 WRITTEN = "written"
@@ -90,6 +92,8 @@ class BuildSettings:
     rules: InferenceRules = DEFAULT_RULES
     #: Table writes that run at the same time.
     parallel_writes: int = 8
+    #: Generations of each table that stay on storage, for readers of older ones.
+    keep_generations: int = 2
 
 
 @dataclass
@@ -169,6 +173,8 @@ class Inventory:
         self._build_policies(inputs, report)
         tables = self._build_derived(settings, report)
         self._build_custom(settings, tables, report)
+        for name in self.store.names():
+            self.store.expire(name, settings.keep_generations)
         return report
 
     def _build_spine(
@@ -266,18 +272,17 @@ class Inventory:
         report.note("table", ACCOUNTS_TABLE, WRITTEN)
 
     def _build_policies(self, inputs: BuildInputs, report: BuildReport) -> None:
-        stored = self.store.read(POLICIES_TABLE, MANAGED_POLICIES)
-        if inputs.policies is None:
-            if not self.store.exists(POLICIES_TABLE):
-                self.store.write(POLICIES_TABLE, stored)
+        """Replace fetched versions among the policies kept from earlier builds."""
+        stored = self.store.read(POLICY_CACHE, MANAGED_POLICIES)
+        if inputs.policies is not None:
+            fetched = policy_documents(inputs.policies).withColumn(
+                "policyStatements", statements(F.col("policyDocument"))
+            )
+            stored = keyed_replace(stored, fetched, "arn", "defaultVersionId")
+        elif self.store.exists(POLICY_CACHE):
             return
-        fetched = policy_documents(inputs.policies).withColumn(
-            "policyStatements", statements(F.col("policyDocument"))
-        )
-        self.store.write(
-            POLICIES_TABLE, keyed_replace(stored, fetched, "arn", "defaultVersionId")
-        )
-        report.note("table", POLICIES_TABLE, WRITTEN)
+        self.store.write(POLICY_CACHE, stored)
+        report.note("table", POLICY_CACHE, WRITTEN)
 
     def _build_derived(
         self, settings: BuildSettings, report: BuildReport
@@ -292,10 +297,12 @@ class Inventory:
                 plain[names[resource_type]] = derive_type(spine, schema)
             except Exception as error:  # noqa: BLE001 - other types go on
                 report.note("table", names[resource_type], FAILED, detail=error)
+        of_types = list(plain)
+        plain[POLICIES_TABLE] = self.store.read(POLICY_CACHE, MANAGED_POLICIES)
         run = run_transforms(
-            {**plain, POLICIES_TABLE: self.table(POLICIES_TABLE)},
+            plain,
             settings.registry,
-            list(plain),
+            of_types,
             self._known_conditions(spine, names, settings.registry),
         )
         for name, table, status, detail in run.report:
@@ -321,7 +328,7 @@ class Inventory:
 
     def _drop_vanished(self, current: Sequence[str]) -> None:
         """Derived tables of types that no longer exist would show old rows."""
-        keep = {SPINE_TABLE, ACCOUNTS_TABLE, POLICIES_TABLE, CUSTOM_TYPES_TABLE, *current}
+        keep = {SPINE_TABLE, ACCOUNTS_TABLE, POLICY_CACHE, CUSTOM_TYPES_TABLE, *current}
         for name in self.store.names():
             if name not in keep:
                 self.store.drop(name)
@@ -352,10 +359,6 @@ class Inventory:
             else:
                 note = f"transforms failed, table as derived: {result}" if result else None
                 report.note("table", name, WRITTEN, detail=note)
-        if POLICIES_TABLE in run.tables:
-            changed = run.tables[POLICIES_TABLE]
-            if changed.columns != MANAGED_POLICIES.names:
-                log.warning("transforms of %s are not stored", POLICIES_TABLE)
 
     def _build_custom(
         self, settings: BuildSettings, tables: Sequence[str], report: BuildReport
@@ -363,7 +366,7 @@ class Inventory:
         """Custom tables over the finished ones, and the registry of their names."""
         available = {
             n: self.table(n)
-            for n in [*tables, SPINE_TABLE, ACCOUNTS_TABLE, POLICIES_TABLE]
+            for n in [*tables, SPINE_TABLE, ACCOUNTS_TABLE]
             if self.store.exists(n)
         }
         written = []

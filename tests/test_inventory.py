@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallyhouse import BuildSettings, Inventory, Query, Semantics, Source
 from tallyhouse.plans.builtin import default_registry
 from tallyhouse.plans.inventory import SKIP, SNAPSHOTS, BuildInputs
-from tallyhouse.plans.transforms import CustomTable, Transform, sql_transform
+from tallyhouse.plans.transforms import CustomTable, sql_transform
 from tallyhouse.schemas import SOURCE_ROW
 from tallyhouse.streaming.feed import ChangeFeed, item_stream, latest_state
 
@@ -124,7 +124,7 @@ def test_build_of_nothing(inventory, spine):
     assert inventory.spine().count() == 0 and inventory.cutoff() is None
 
 
-def test_managed_policies_are_kept_across_builds(inventory, spine, spark):
+def test_managed_policies_are_kept_across_builds(inventory, spine, spark, tmp_path):
     def policies(*rows):
         return spark.createDataFrame(list(rows), "arn string, defaultVersionId string, document string")
 
@@ -134,6 +134,8 @@ def test_managed_policies_are_kept_across_builds(inventory, spine, spark):
     inventory.build(inputs(spine, item()))
     got = {r.arn: (r.defaultVersionId, r.policyStatements) for r in inventory.table("aws_managed_policy").collect()}
     assert got == {"a": ("v1", ['{"Effect":"Allow"}']), "b": ("v2", [])}
+    generations = [c for c in (tmp_path / "inventory" / "resources").iterdir() if c.name.startswith("gen=")]
+    assert len(generations) == 2
 
 
 def test_custom_tables_and_failing_ones(inventory, spine):
