@@ -15,7 +15,6 @@ from tallyhouse.functions.jsontext import statements
 from tallyhouse.operators.counts import resource_types
 from tallyhouse.operators.derive import (
     DEFAULT_RULES,
-    TypeSchema,
     derive_type,
     stringify_content,
     type_schemas,

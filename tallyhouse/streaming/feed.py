@@ -8,6 +8,8 @@ from time to time.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,11 +47,14 @@ class ChangeFeed:
     def append(self, changes: DataFrame, batch_id: int) -> None:
         """Keep one micro-batch, reduced to the newest row of each key.
 
-        A batch that is delivered again replaces its first copy.
+        Rows with a NULL in the key match nothing and are all kept. A batch that
+        is delivered again replaces its first copy.
         """
         path = f"{self.folder}/batch={batch_id:020d}"
-        complete = changes.filter(" AND ".join(f"{k} IS NOT NULL" for k in KEY))
-        latest_per_key(complete.select(SPINE.names)).write.mode("overwrite").parquet(path)
+        rows = changes.select(SPINE.names)
+        complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in KEY])
+        reduced = latest_per_key(rows.filter(complete)).unionByName(rows.filter(~complete))
+        reduced.write.mode("overwrite").parquet(path)
 
     def changes(self, batches: list[str] | None = None) -> DataFrame:
         names = self.batches() if batches is None else batches
@@ -66,8 +71,9 @@ class ChangeFeed:
     def compact(self) -> int:
         """Fold the waiting batches into a new generation of the spine.
 
-        Batches are removed only after the new generation is committed. Applying
-        one of them again would change nothing, as only newer captures win.
+        Batches are removed only after the new generation is committed. If a crash
+        comes in between they are applied once more, which changes nothing for rows
+        with a complete key, as only newer captures win.
         """
         batches = self.batches()
         if not batches:

@@ -198,10 +198,12 @@ def test_change_feed(inventory, spark, spine, tmp_path):
     assert len(feed.batches()) == 2
     assert state() == {"a": "new", "b": "1"}
     assert ids(inventory.spine()) == ["a"]
-    feed.append(spine(item(resource_id="a", configurationItemCaptureTime="2026-01-20T00:00:00Z")), 1)
+    late = item(resource_id="a", configurationItemCaptureTime="2026-01-20T00:00:00Z")
+    feed.append(spine(late, item(resource_id="n1", accountId=None), item(resource_id="n2", accountId=None)), 1)
     assert len(feed.batches()) == 2
     assert feed.compact() == 2 and feed.compact() == 0
-    assert state() == {"a": "new", "b": "1"} and ids(inventory.spine()) == ["a", "b"]
+    assert state() == {"a": "new", "b": "1", "n1": "1", "n2": "1"}
+    assert ids(inventory.spine()) == ["a", "b", "n1", "n2"]
 
 
 def test_streaming_latest_state(spark, tmp_path):
