@@ -62,13 +62,13 @@ def entries(docs: DataFrame, min_chars: int) -> DataFrame:
 def repeated_keys(entries: DataFrame, min_docs: int, keep: str) -> DataFrame:
     """``h1, h2`` of the keys that go, and ``stays``, the document that keeps them."""
     order = F.desc_nulls_last("doc") if keep == "last" else F.asc_nulls_last("doc")
-    stream = Window.partitionBy("h1", "h2", "slice").orderBy(order, "pos")
+    line = Window.partitionBy("h1", "h2", "slice")
     best = F.max if keep == "last" else F.min
     return (
         entries.select("h1", "h2", "slice", "doc", "pos")
         .repartitionByRange("h1", "h2", "slice")
-        .withColumn("nth", F.row_number().over(stream))
-        .withColumn("nth_doc", F.dense_rank().over(stream))
+        .withColumn("nth", F.row_number().over(line.orderBy(order, "pos")))
+        .withColumn("nth_doc", F.dense_rank().over(line.orderBy(order)))
         .groupBy("h1", "h2", "slice")
         .agg(
             F.max(F.when(F.col("nth") == 1, F.col("doc"))).alias("first"),
