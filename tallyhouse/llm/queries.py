@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, lines, quality
+from tallyhouse.llm import chat, codec, lines, quality, token_counts
 from tallyhouse.llm.tables import table
 
+#: Fixed value: the tokenizer of the token queries.
+TOKENIZER = "word_bpe_49k.json"
+#: Fixed value: documents of more tokens than this are over the limit.
+TOKEN_LIMIT = 2048
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -151,3 +157,39 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)
+    )
+    return counted.select(
+        F.col("doc").alias("doc_id"),
+        "n_bytes",
+        "n_tokens",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+    )
+
+
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Encoded, digested, decoded from the ids alone, and digested again."""
+    path = public_tokenizers.path(TOKENIZER)
+    encoded = codec.encode(docs, path).select(
+        F.col("doc").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        "ids",
+    )
+    back = codec.decode(encoded, path)
+    return back.select(
+        "doc_id",
+        "n_tokens",
+        "ids_sha256",
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op6_bpe_codec")
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.sources.store import staged, work_folder
 
-__all__ = ["ASCII_SPACE", "lower_ascii", "map_rows", "staged", "table", "work_folder"]
+__all__ = ["ASCII_SPACE", "importable", "lower_ascii", "map_rows", "staged", "table", "work_folder"]
 
 #: The white space that separates words, ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -20,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """Let Python workers import this package from where the driver has it.
+
+    For sessions on one machine. A cluster has the package installed or gets it
+    with ``--py-files``; the entry is then without effect.
+    """
+    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).parents[2])
+    paths = env.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([*filter(None, paths), root])
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, everything else kept.
 
@@ -36,11 +50,12 @@ def map_rows(
     df: DataFrame,
     schema: str,
     per_row: Callable[[object, bytes | None], Iterable[tuple]],
+    most: int = 4096,
 ) -> DataFrame:
     """``per_row(key, text as UTF-8)`` gives rows of ``schema``; ``df`` is (key, text).
 
-    Rows stream through in Arrow batches. Results leave in slices, so that one
-    batch of many results is never held as a whole.
+    Rows stream through in Arrow batches. Results leave in slices of ``most`` rows,
+    so that one batch of many results is never held as a whole.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -53,13 +68,13 @@ def map_rows(
             texts = batch.column(1).cast(pa.binary())
             for key, text in zip(batch.column(0), texts):
                 rows.extend(per_row(key.as_py(), text.as_py()))
-                if len(rows) >= 4096:
+                if len(rows) >= most:
                     yield as_batch(rows, out)
                     rows = []
             if rows:
                 yield as_batch(rows, out)
 
-    return df.mapInArrow(run, schema)
+    return importable(df).mapInArrow(run, schema)
 
 
 def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
