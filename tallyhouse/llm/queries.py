@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, codec, lines, quality, token_counts
+from tallyhouse.llm import cascade, chat, codec, lines, quality, token_counts, warc
 from tallyhouse.llm.tables import table
 
 #: Fixed value: the tokenizer of the token queries.
@@ -193,3 +193,69 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
 @query("op6_bpe_codec")
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op7_warc")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = warc.write_archives(table(spark, sf_dir, "pages"))
+    back = warc.read_records(warc.normalise(listing))
+    return back.select(
+        F.col("page").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
+           CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), f AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest)
+                   ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+ORACLES["op7_warc"] = WARC_SQL
+
+#: The url rules.
+URL_RULES = (
+    cascade.Rule("block", "net", "/"),
+    cascade.Rule("allow", "example.net", "/en/"),
+    cascade.Rule("block", "example.com", "/de/"),
+    cascade.Rule("allow", "org", "/fr/"),
+)
+
+URL_SQL = r"""
+WITH r AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+    FROM pages
+), p AS (
+    SELECT page_id,
+           translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+    FROM r
+), rules (action, rule_host, rule_path) AS (
+    VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+           ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), m AS (
+    SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+           arg_max(action, length(rule_host || rule_path)) AS action
+    FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY page_id
+)
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.action, 'allow') AS verdict
+FROM p LEFT JOIN m ON m.page_id = p.page_id
+"""
+
+
+@query("op10_url_filters", URL_SQL)
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = cascade.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.withColumnRenamed("id", "page_id")
