@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import cascade, chat, codec, lines, quality, token_counts, warc
+from tallyhouse.llm import cascade, chat, codec, lines, quality, token_counts, toxicity, warc
 from tallyhouse.llm.tables import table
 
 #: Fixed value: the tokenizer of the token queries.
@@ -259,3 +259,16 @@ FROM p LEFT JOIN m ON m.page_id = p.page_id
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = cascade.judge(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.withColumnRenamed("id", "page_id")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(toxicity.fold(F.col("doc_id")) != 1)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select(
+        F.col("doc").alias("doc_id"),
+        F.coalesce(toxicity.fold(F.col("doc")) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )
