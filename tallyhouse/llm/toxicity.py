@@ -36,8 +36,8 @@ from tallyhouse.llm.tables import map_rows
 LEVEL = 9
 #: Bytes of common segments that both dictionaries end with.
 COMMON = 16 << 10
-#: Words that only the toxic dictionary holds, at most.
-WORDS = 120
+#: Words or stems that only the toxic dictionary holds, at most.
+WORDS = 160
 #: A fragment sets toxic text apart if this share of toxic documents has it, this
 #: many times the share among ordinary ones.
 SHARE, TIMES, FRAGMENT = 0.015, 20, 5
@@ -75,8 +75,21 @@ def common_segments(texts: list[list[bytes]]) -> bytes:
         return b" ".join(dict.fromkeys(samples))[:COMMON]
 
 
+def spans(word: bytes, apart: set[bytes]) -> list[bytes]:
+    """The stretches of a word that fragments of ``apart`` cover."""
+    padded, found, end = b" " + word + b" ", [], 0
+    for i in range(len(padded) - FRAGMENT + 1):
+        if padded[i : i + FRAGMENT] in apart:
+            if found and i <= end:
+                found[-1] = (found[-1][0], i + FRAGMENT)
+            else:
+                found.append((i, i + FRAGMENT))
+            end = i + FRAGMENT
+    return [padded[a:b] for a, b in found]
+
+
 def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Words with a fragment that sets toxic documents apart, most common first."""
+    """What sets toxic documents apart, most common first: words or stems of words."""
     in_toxic = Counter(f for words in toxic for f in fragments(set(words)))
     in_ordinary = Counter(f for words in ordinary for f in fragments(set(words)))
     least = max(2, SHARE * len(toxic))
@@ -85,7 +98,7 @@ def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[b
         for f, n in in_toxic.items()
         if n >= least and n / len(toxic) > TIMES * (in_ordinary[f] + 1) / len(ordinary)
     }
-    found = Counter(w for words in toxic for w in words if fragments({w}) & apart)
+    found = Counter(s for words in toxic for w in words for s in spans(w, apart))
     return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:WORDS]]
 
 
@@ -160,7 +173,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model | None:
     train_good = [w for i, w in enumerate(good) if i % 3] or good
     common = common_segments(train_good)
     apart = toxic_words(train_bad, train_good)
-    model = Model(common, b" " + b" ".join(apart) + b" " + common, 0.0)
+    model = Model(common, b"".join(apart) + common, 0.0)
     scorer = Scorer(model)
     threshold = best_threshold(
         [scorer.feature(w) for w in bad[held]], [scorer.feature(w) for w in good[held]]
