@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import cascade, chat, codec, lines, quality, token_counts, toxicity, warc
+from tallyhouse.llm import cascade, chat, codec, jaccard, lines, quality, token_counts, toxicity, warc
 from tallyhouse.llm.tables import table
 
 #: Fixed value: the tokenizer of the token queries.
@@ -272,3 +272,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
     )
+
+
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents")).select(
+        F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
+    )
