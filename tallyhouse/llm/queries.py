@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import cascade, chat, codec, jaccard, lines, quality, token_counts, toxicity, warc
+from tallyhouse.llm import cascade, chat, codec, decontaminate, jaccard, lines, quality, token_counts, toxicity, warc
 from tallyhouse.llm.tables import table
 
 #: Fixed value: the tokenizer of the token queries.
@@ -279,3 +279,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents")).select(
         F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
     )
+
+
+@query("op9_benchmark_decontamination")
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "cosine", "share"
+    )
