@@ -565,3 +565,16 @@ def components(
         F.col("n").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component, with all columns.
+
+    Rows that share an id stay or go together: an id goes if one of its rows belongs
+    to a component with a smaller id. A null id only goes where another id stays.
+    """
+    found = components(docs, id_col, text_col, **options)
+    gone = staged(
+        found.filter(~F.col("doc").eqNullSafe(F.col("component"))).select(F.col("doc").alias("gone")).distinct()
+    )
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")

@@ -125,21 +125,49 @@ def deduplicate(
     keep: str = "last",
 ) -> DataFrame:
     """Every row of ``docs``: ``doc, text`` (kept lines), ``n_lines``, ``n_dropped``."""
+    rows = identified(docs, id_col, text_col)
     bitmaps = drop_bitmaps(
         docs, id_col, text_col, min_chars=min_chars, min_docs=min_docs, keep=keep
-    ).select(F.col("doc").alias("b_doc"), F.col("version").alias("b_version"), "n_dropped", "words")
-    rows = identified(docs, id_col, text_col)
+    )
+    return applied(rows, bitmaps).select("doc", "text", "n_lines", "n_dropped")
+
+
+def applied(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``rows`` (with ``doc, version, text``) without the lines that go."""
+    bitmaps = bitmaps.select(
+        F.col("doc").alias("b_doc"), F.col("version").alias("b_version"), "n_dropped", "words"
+    )
     same = rows.doc.eqNullSafe(bitmaps.b_doc) & (rows.version == bitmaps.b_version)
     joined = rows.join(bitmaps, same, "left").withColumn("lines", F.split("text", "\n", -1))
     kept = F.expr(
         "filter(lines, (line, i) ->"
         " (shiftright(coalesce(try_element_at(words, i div 64), 0L), i % 64) & 1L) = 0)"
     )
-    return joined.select(
-        "doc",
-        F.when(F.col("words").isNull(), F.col("text"))
-        .otherwise(F.array_join(kept, "\n"))
-        .alias("text"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+    return joined.withColumns(
+        {
+            "text": F.when(F.col("words").isNull(), F.col("text")).otherwise(
+                F.array_join(kept, "\n")
+            ),
+            "n_lines": F.size("lines").cast("long"),
+            "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"),
+        }
+    )
+
+
+def rewrite(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """``docs`` with all its columns; texts that lose no line, and nulls, are as they were."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(row, F.col(id_col).alias("doc"), text.alias("text")).withColumn(
+        "version", F.xxhash64("text")
+    )
+    done = applied(rows, drop_bitmaps(docs, id_col, text_col, **options))
+    new = F.when(F.col("n_dropped") > 0, F.col("text")).otherwise(F.col("row").getField(text_col))
+    return done.select(
+        *(
+            (new if c == text_col else F.col("row").getField(c)).alias(c)
+            for c in docs.columns
+        )
     )

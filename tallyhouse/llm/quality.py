@@ -18,18 +18,20 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.tables import ASCII_SPACE, map_rows
+from tallyhouse.llm.tables import ASCII_SPACE, importable, map_rows
 
 SPACE = ASCII_SPACE.encode()
 #: The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 
 MEASURES = (
-    "n_words long, word_chars long, n_symbols long, n_lines long,"
-    " n_dup_lines long, n_repeat_words long"
+    "n_words long, word_chars long, n_symbols long, n_lines long, "
+    "n_dup_lines long, n_repeat_words long"
 )
 
 
@@ -124,6 +126,37 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.withColumnRenamed("id", id_col).withColumn("fail_bits", fail_bits())
 
 
+def keep(
+    docs: DataFrame, policy: Policy = CURRENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns.
+
+    Rows are judged where they are: each row's other columns ride along, so
+    nothing is joined or shuffled.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    kind = f"struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in docs.schema.fields)}>"
+    judged = map_batches(docs.select(row), kind, docs.columns.index(text_col))
+    kept = judged.withColumn("fail_bits", fail_bits()).filter(passes(policy))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def map_batches(rows: DataFrame, kind: str, place: int) -> DataFrame:
+    """``row`` unchanged, beside the measurements of its field ``place``."""
+    names = [m.split()[0] for m in MEASURES.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            texts = pc.struct_field(batch.column(0), [place]).cast(pa.string()).cast(pa.binary())
+            measured = [measure(t.as_py()) for t in texts]
+            columns = list(zip(*measured)) if measured else [()] * len(names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["row", *names]
+            )
+
+    return importable(rows).mapInArrow(run, f"row {kind}, {MEASURES}")
+
+
 def fail_bits() -> Column:
     bits = F.lit(0).cast("long")
     for rule in RULES:
