@@ -26,14 +26,14 @@ STRINGIFIED = {
 }
 
 _TEXT = T.StringType()
-_TEXT_CONTENT = T.StructType([T.StructField("Content", T.MapType(_TEXT, _TEXT))])
+_TEXT_MAP = T.MapType(_TEXT, _TEXT)
 _INVENTORY = "AWS::SSM::ManagedInstanceInventory"
 
 #: Objects whose keys are data: application names, update ids, instance ids.
 DEFAULT_RULES = InferenceRules(
     fixed={
-        (_INVENTORY, "AWS:Application"): _TEXT_CONTENT,
-        (_INVENTORY, "AWS:WindowsUpdate"): _TEXT_CONTENT,
+        (_INVENTORY, "AWS:Application", "Content"): _TEXT_MAP,
+        (_INVENTORY, "AWS:WindowsUpdate", "Content"): _TEXT_MAP,
         **{key: _TEXT for key in STRINGIFIED.items()},
     },
     keyed=frozenset({(_INVENTORY, "AWS:InstanceInformation", "Content")}),
@@ -47,6 +47,8 @@ class TypeSchema:
     resource_type: str
     types: dict[str, T.DataType] = field(default_factory=dict)
     has_empty: dict[str, bool] = field(default_factory=dict)
+    #: Documents of the type that could not be read.
+    refused: int = 0
 
 
 def type_schemas(
@@ -60,32 +62,53 @@ def type_schemas(
             c: column_type(row[f"{c}_schema"], row.resourceType, rules)
             for c in JSON_COLUMNS
         }
-        given = _given_fields(spine, row.resourceType, rules)
-        if given:
-            found = types["configuration"]
-            known = found.fields if isinstance(found, T.StructType) else []
-            types["configuration"] = T.StructType([*known, *given])
+        for path, dtype in _given_types(spine, row.resourceType, types["configuration"], rules):
+            types["configuration"] = _placed(types["configuration"], path, dtype)
         out[row.resourceType] = TypeSchema(
-            row.resourceType, types, {c: row[f"{c}_has_empty"] for c in JSON_COLUMNS}
+            row.resourceType,
+            types,
+            {c: row[f"{c}_has_empty"] for c in JSON_COLUMNS},
+            sum(row[f"{c}_refused"] for c in JSON_COLUMNS),
         )
     return out
 
 
-def _given_fields(
-    spine: DataFrame, resource_type: str, rules: InferenceRules
-) -> list[T.StructField]:
-    """Columns of a type that the rules decide instead of inference."""
-    fields = [
-        T.StructField(key, dtype)
-        for (owner, key), dtype in rules.fixed.items()
+def _given_types(
+    spine: DataFrame, resource_type: str, found: T.DataType, rules: InferenceRules
+) -> list[tuple[tuple[str, ...], T.DataType]]:
+    """Types of the values that the rules decide instead of inference."""
+    out = [
+        (tuple(path), dtype)
+        for (owner, *path), dtype in rules.fixed.items()
         if owner == resource_type
     ]
     for owner, key, inner in sorted(rules.keyed):
-        if owner == resource_type:
+        if owner == resource_type and _at(found, (key, inner)) is not None:
             value = keyed_value_type(spine, owner, key, inner, rules)
-            content = T.StructField(inner, T.MapType(_TEXT, value))
-            fields.append(T.StructField(key, T.StructType([content])))
-    return fields
+            out.append(((key, inner), T.MapType(_TEXT, value)))
+    return out
+
+
+def _at(dtype: T.DataType, path: tuple[str, ...]) -> T.DataType | None:
+    for key in path:
+        if not isinstance(dtype, T.StructType) or key not in dtype.names:
+            return None
+        dtype = dtype[key].dataType
+    return dtype
+
+
+def _placed(dtype: T.DataType, path: tuple[str, ...], new: T.DataType) -> T.DataType:
+    """``dtype`` with ``new`` at ``path``; a key that no document has stays away."""
+    if _at(dtype, path) is None:
+        return dtype
+    if not path:
+        return new
+    return T.StructType(
+        [
+            T.StructField(f.name, _placed(f.dataType, path[1:], new) if f.name == path[0] else f.dataType)
+            for f in dtype.fields
+        ]
+    )
 
 
 def stringify_content(spine: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from tallyhouse.functions.jsontext import TEXT_MAP, json_path
 from tallyhouse.schemas import JSON_COLUMNS
 
 _TEXT = T.StringType()
-_TEXT_MAP = T.MapType(_TEXT, _TEXT)
 
 # Spelling of an inferred schema, token by token: quoted names are left alone,
 # bare names get quoted, type words become column types.
@@ -29,6 +28,7 @@ _TOKEN = re.compile(
     r"|(?P<empty>OBJECT<>)"
     r"|(?P<object>OBJECT<)"
     r"|(?P<list>ARRAY<)"
+    r"|(?P<whole>DECIMAL\(\d+,\s*0\))"
     r"|(?P<decimal>DECIMAL\(\d+,\s*\d+\))"
     r"|(?P<text>VARIANT|VOID)\b"
 )
@@ -41,6 +41,7 @@ def _respell(match: re.Match) -> str:
         return f"`{match.group()}`"
     return {
         None: match.group(),
+        "whole": match.group(),
         "empty": _EMPTY_OBJECT,
         "object": "STRUCT<",
         "list": "ARRAY<",
@@ -53,27 +54,27 @@ def _respell(match: re.Match) -> str:
 class InferenceRules:
     """How inferred types become column types.
 
-    ``fixed`` maps ``(resource type, top-level key)`` to the type of that column.
-    Such keys are left out of inference: an object keyed by instance or patch ids
-    would add one field per record to the merged schema.
+    ``fixed`` maps ``(resource type, top-level key)``, or ``(resource type,
+    top-level key, inner key)``, to the type of that value. Inference does not
+    look into it: an object keyed by instance or patch ids would add one field per
+    record to the merged schema. Its sibling keys are inferred as any others.
 
     ``keyed`` holds ``(resource type, top-level key, inner key)`` of objects that
     become maps with values of one inferred type.
 
     ``overrides`` maps ``(resource type, dotted path)`` to the type to use at that
-    path, and objects with more than ``max_fields`` keys become maps of text.
+    path.
     """
 
-    fixed: Mapping[tuple[str, str], T.DataType] = field(default_factory=dict)
+    fixed: Mapping[tuple[str, ...], T.DataType] = field(default_factory=dict)
     keyed: frozenset[tuple[str, str, str]] = frozenset()
     overrides: Mapping[tuple[str, str], T.DataType] = field(default_factory=dict)
-    max_fields: int = 200
 
-    def left_out(self) -> dict[str, list[str]]:
-        """Top-level keys per resource type that inference does not look at."""
-        out: dict[str, list[str]] = {}
-        for resource_type, key, *_ in [*self.fixed, *self.keyed]:
-            out.setdefault(resource_type, []).append(key)
+    def blanked(self) -> dict[str, list[tuple[str, ...]]]:
+        """Paths per resource type that inference does not look into."""
+        out: dict[str, list[tuple[str, ...]]] = {}
+        for resource_type, *path in [*self.fixed, *self.keyed]:
+            out.setdefault(resource_type, []).append(tuple(path))
         return out
 
 
@@ -81,19 +82,51 @@ def inferred_schema(document: Column) -> Column:
     """Aggregate: merged schema of JSON objects, as text.
 
     Documents that are no object have no keys and do not take part; neither does
-    invalid JSON.
+    invalid JSON (see :func:`refused`).
     """
-    is_object = F.ltrim(document).startswith("{")
-    return F.schema_of_variant_agg(F.when(is_object, F.try_parse_json(document)))
+    return F.schema_of_variant_agg(F.when(_is_object(document), F.try_parse_json(document)))
 
 
-def without_keys(document: Column, keys: list[str]) -> Column:
-    """A JSON object without some of its top-level keys."""
-    return F.to_json(
-        F.map_filter(
-            F.from_json(document, "map<string,variant>"), lambda k, _: ~k.isin(keys)
-        )
-    )
+def refused(document: Column) -> Column:
+    """Aggregate: objects that cannot be read, as they are no valid JSON, repeat a
+    key or are over the parser's size limit."""
+    return F.count_if(_is_object(document) & F.try_parse_json(document).isNull())
+
+
+def _is_object(document: Column) -> Column:
+    return F.ltrim(document).startswith("{")
+
+
+#: What stands for a value that inference does not look into.
+_BLANK = '""'
+
+
+def blank(document: Column, paths: list[tuple[str, ...]]) -> Column:
+    """A JSON object in which the values at some paths, of one or two keys, are
+    empty texts. A document that has none of the keys stays as it is."""
+    outer = sorted({p[0] for p in paths if len(p) == 1})
+    inner: dict[str, list[str]] = {}
+    for p in paths:
+        if len(p) == 2 and p[0] not in outer:
+            inner.setdefault(p[0], []).append(p[1])
+    nothing = F.parse_json(F.lit(_BLANK))
+
+    def without(v: Column, names: list[str]) -> Column:
+        fields = F.from_json(F.to_json(v), "map<string,variant>")
+        blanks = F.transform_values(fields, lambda n, x: F.when(n.isin(names), nothing).otherwise(x))
+        return F.coalesce(F.try_parse_json(F.to_json(blanks)), v)
+
+    def value(k: Column, v: Column) -> Column:
+        out = v
+        for key, names in inner.items():
+            out = F.when(k == key, without(v, names)).otherwise(out)
+        return F.when(k.isin(outer), nothing).otherwise(out) if outer else out
+
+    changed = F.to_json(F.transform_values(F.from_json(document, "map<string,variant>"), value))
+    named = F.lit(False)
+    for key in {p[0] for p in paths}:
+        named = named | document.contains(key)
+    return F.when(named & F.try_parse_json(document).isNotNull(), F.coalesce(changed, document)).otherwise(document)
 
 
 def infer_schemas(
@@ -102,19 +135,20 @@ def infer_schemas(
     by: str = "resourceType",
     rules: InferenceRules = InferenceRules(),
 ) -> DataFrame:
-    """Per type: the merged schema of each JSON column and whether any value is
-    the empty object. One row per type."""
+    """Per type: the merged schema of each JSON column, whether any value is the
+    empty object, and how many documents could not be read. One row per type."""
     aggregates = []
     for c in columns:
         document = F.col(c)
-        for resource_type, keys in rules.left_out().items():
+        for resource_type, paths in rules.blanked().items():
             document = F.when(
-                F.col(by) == resource_type, without_keys(F.col(c), keys)
+                F.col(by) == resource_type, blank(F.col(c), paths)
             ).otherwise(document)
         aggregates.append(inferred_schema(document).alias(f"{c}_schema"))
         aggregates.append(
             F.coalesce(F.max(F.col(c) == "{}"), F.lit(False)).alias(f"{c}_has_empty")
         )
+        aggregates.append(refused(F.col(c)).alias(f"{c}_refused"))
     return spine.groupBy(by).agg(*aggregates)
 
 
@@ -144,7 +178,8 @@ def column_type(
     """Column type for an inferred schema.
 
     Conflicting and always-null values are kept as text; an object that never had
-    a key is a map of text; numbers with a fraction are doubles.
+    a key is a map of text; numbers with a fraction are doubles, and whole numbers
+    keep all their digits.
     """
     if schema_text is None:
         return _TEXT
@@ -159,9 +194,6 @@ def _ruled(
     if override is not None:
         return override
     if isinstance(dtype, T.StructType):
-        # The document itself is always expanded into columns.
-        if path and len(dtype.fields) > rules.max_fields:
-            return _TEXT_MAP
         return T.StructType(
             [
                 T.StructField(

@@ -122,12 +122,15 @@ def upsert_newer(
     offered = fresh.select(*keys, F.struct(*columns).alias("_new"))
     matched = stored.join(offered, list(keys), "left")
     newer = F.coalesce(F.col(f"_new.{time}") > F.col(time), F.lit(False))
-    # One struct of the winning row, instead of one CASE per column.
-    old = F.struct(*[F.col(c) for c in columns])
+    # Keys are equal on both sides, so they stay plain columns: filters on them
+    # reach the scan, and only the columns that are asked for are read.
     kept = matched.select(
-        F.when(newer, F.col("_new")).otherwise(old).alias("_row"),
+        *[
+            F.col(c) if c in keys else F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+            for c in columns
+        ],
         F.when(newer, "UPDATE").otherwise("KEEP").alias("merge_action"),
-    ).select("_row.*", "merge_action")
+    )
     # Keys only: which incoming keys are stored already.
     known = _distinct_keys(
         stored.select(*keys).join(fresh.select(*keys), list(keys), "left_semi"), keys

@@ -14,50 +14,49 @@ def hierarchy_paths(
     name: str = "name",
     parent: str = "parentId",
     root_prefix: str = "r-",
-    max_depth: int = 1000,
 ) -> DataFrame:
     """``(id, name, path, depth)`` of every node reachable from a root.
 
     Nodes whose parent id starts with ``root_prefix`` are at the top and have the
-    path ``/<name>``; each further level joins the remaining nodes to the level
-    above. Levels are written to the work folder, so a lost executor costs one
-    level and the plan stays short whatever the depth. In the join a level has
-    one row per node, while a parent with very many children lies on the other
-    side, which Spark can split.
+    path ``/<name>``. Every node carries the path up to some ancestor, at first
+    itself, and a round joins it to that ancestor's own path, so the length doubles:
+    a tree of any depth takes a number of rounds logarithmic in it. Rounds end when
+    one completes no further path; nodes on a cycle or below a missing parent never
+    get one. Only unfinished nodes are joined again. In the join an ancestor has one
+    row, while its very many descendants lie on the other side, which Spark
+    can split.
     """
     folder = work_folder(nodes.sparkSession)
-    edges = staged(
+    steps = staged(
         nodes.select(
-            F.col(id).alias("id"), F.col(name).alias("name"), F.col(parent).alias("parent")
-        ),
-        folder,
-    )
-    is_root = F.col("parent").startswith(root_prefix)
-    level = staged(
-        edges.filter(is_root).select(
-            "id",
-            "name",
-            F.concat(F.lit("/"), "name").alias("path"),
+            F.col(id).alias("id"),
+            F.col(name).alias("name"),
+            F.col(parent).alias("up"),
+            F.concat(F.lit("/"), F.col(name)).alias("path"),
             F.lit(1).alias("depth"),
         ),
         folder,
     )
-    levels = [level]
-    while not level.isEmpty():
-        if len(levels) > max_depth:
-            raise ValueError(f"hierarchy is deeper than {max_depth} levels or has a cycle")
-        above = level.select(F.col("id").alias("parent"), F.col("path").alias("_above"))
-        level = staged(
-            edges.join(above, "parent").select(
+    at_root = F.coalesce(F.col("up").startswith(root_prefix), F.lit(False))
+    finished, open_ = steps.filter(at_root), steps.filter(~at_root)
+    newest = finished
+    while not newest.isEmpty():
+        above = finished.unionByName(open_).select(
+            F.col("id").alias("up"),
+            F.col("up").alias("_up"),
+            F.col("path").alias("_path"),
+            F.col("depth").alias("_depth"),
+        )
+        longer = staged(
+            open_.join(above, "up").select(
                 "id",
                 "name",
-                F.concat("_above", F.lit("/"), "name").alias("path"),
-                F.lit(len(levels) + 1).alias("depth"),
+                F.col("_up").alias("up"),
+                F.concat("_path", "path").alias("path"),
+                (F.col("depth") + F.col("_depth")).alias("depth"),
             ),
             folder,
         )
-        levels.append(level)
-    out = levels[0]
-    for level in levels[1:-1]:
-        out = out.unionByName(level)
-    return out
+        newest, open_ = longer.filter(at_root), longer.filter(~at_root)
+        finished = finished.unionByName(newest)
+    return finished.select("id", "name", "path", "depth")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.functions.columns import quoted
+from tallyhouse.sources.store import staged
 
 FORMATS = ("tsv", "json", "csv", "ndjson")
 
@@ -59,12 +60,14 @@ def write_result(df: DataFrame, path: str, format: str = "tsv") -> None:
 def _write_json_array(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     bracket = spark.range(1, numPartitions=1)
-    rows = df.select(
-        F.monotonically_increasing_id().alias("n"), json_line(df).alias("line")
+    # Written once: a second run of the query could number or return other rows.
+    rows = staged(
+        df.select(F.monotonically_increasing_id().alias("n"), json_line(df).alias("line"))
     )
     # Only the number of the first row reaches the driver: it takes no separator.
     first = rows.agg(F.min("n").alias("n")).first().n
     separator = F.when(F.col("n") == F.lit(first), "").otherwise(",")
     bracket.select(F.lit("[").alias("line")).write.text(f"{path}/0_open")
-    rows.select(F.concat(separator, "line").alias("line")).write.text(f"{path}/1_rows")
+    ordered = rows.repartitionByRange("n").sortWithinPartitions("n")
+    ordered.select(F.concat(separator, "line").alias("line")).write.text(f"{path}/1_rows")
     bracket.select(F.lit("]").alias("line")).write.text(f"{path}/2_close")

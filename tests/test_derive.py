@@ -34,11 +34,10 @@ def test_column_type(spark, schema, ddl):
     assert column_type(schema) == T.StructType.fromDDL(ddl)
 
 
-def test_rules_override_and_promote(spark):
+def test_rules_override(spark):
     schema = "OBJECT<a: OBJECT<x: BIGINT, y: BIGINT, z: BIGINT>, t: STRING>"
-    rules = InferenceRules(overrides={("T", "t"): T.TimestampType()}, max_fields=2)
+    rules = InferenceRules(overrides={("T", "t"): T.TimestampType()})
     got = column_type(schema, "T", rules)
-    assert got["a"].dataType == T.MapType(T.StringType(), T.StringType())
     assert got["t"].dataType == T.TimestampType()
     assert column_type(schema, "Other", rules)["t"].dataType == T.StringType()
 
@@ -183,6 +182,50 @@ def test_paths_from_parent_ids(spark):
 def test_hierarchy_without_nodes_or_too_deep(spark):
     assert hierarchy_paths(tree(spark, ("a", "A", None))).count() == 0
     chain = tree(spark, ("n0", "n", "r-1"), *[(f"n{i}", "n", f"n{i-1}") for i in range(1, 5)])
-    with pytest.raises(ValueError, match="deeper"):
-        hierarchy_paths(chain, max_depth=3)
     assert hierarchy_paths(chain).count() == 5
+
+
+def test_hierarchy_of_any_depth_and_with_cycles(spark):
+    links = [(f"n{i}", "n", f"n{i-1}") for i in range(1, 1500)]
+    nodes = tree(spark, ("n0", "n", "r-1"), *links, ("c1", "c", "c2"), ("c2", "c", "c1"), ("c3", "c", "c1"))
+    got = {r.id: (r.depth, r.path) for r in hierarchy_paths(nodes).collect()}
+    assert got == {f"n{i}": (i + 1, "/n" * (i + 1)) for i in range(1500)}
+
+
+def test_objects_of_any_width_stay_structs(spine):
+    df = derived(spine, item(configuration={"o": {f"k{i}": i for i in range(300)}}))
+    assert len(df.schema["o"].dataType.fields) == 300
+    assert df.first().o.k299 == 299
+
+
+def test_large_whole_numbers_keep_their_digits(spine):
+    df = derived(spine, item(configuration={"n": 12345678901234567890, "l": [98765432109876543210]}))
+    row = df.first()
+    assert int(row.n) == 12345678901234567890 and int(row.l[0]) == 98765432109876543210
+
+
+def test_siblings_of_ruled_keys_are_columns(spine):
+    kind = INVENTORY
+    content = {"i-1": {"Agent": "x"}}
+    df = derived(
+        spine,
+        item(kind, configuration={
+            "AWS:Application": {"SchemaVersion": "1.1", "Content": {"app": {"v": 1}}},
+            "AWS:InstanceInformation": {"CaptureTime": "t", "Content": content},
+        }),
+        item(kind, "i-2", configuration={"other": 1}),
+        resource_type=kind,
+    )
+    row = df.filter("resourceId = 'i-1'").first()
+    assert row["AWS:Application"].SchemaVersion == "1.1"
+    assert row["AWS:Application"].Content == {"app": '{"v":1}'}
+    assert row["AWS:InstanceInformation"].CaptureTime == "t"
+    assert row["AWS:InstanceInformation"].Content["i-1"].Agent == "x"
+    assert "AWS:WindowsUpdate" not in df.columns
+
+
+def test_documents_that_cannot_be_read_are_counted(spark, spine):
+    good = spine(item(configuration={"a": 1}))
+    bad = good.withColumn("configuration", F.lit('{"only": 1, "only": 2}'))
+    schemas = type_schemas(good.unionByName(bad))
+    assert schemas["AWS::EC2::Instance"].refused == 1
