@@ -1,14 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words are counted over all passages of
-   the corpus: windows of ``PASSAGE`` words.
-2. The TF-IDF matrix of the passages is sketched with a random test matrix, task
-   by task, and the sums give its leading singular vectors (Nystrom form of the
-   randomised SVD, one pass). Together with the items' own directions they span
-   the latent space.
+1. Document frequencies of the benchmark's words are counted over the corpus.
+2. The TF-IDF matrix of all passages, windows of ``PASSAGE`` words, is sketched
+   with a random test matrix, task by task, and the sums give its leading singular
+   vectors (Nystrom form of the randomised SVD, one pass). Together with the items'
+   own directions they span the latent space.
 3. Overlapping windows of every document are projected there and compared with
-   the items by cosine. A window is skipped only where its words weigh too little
-   for any item to pass the next step.
+   the items by cosine. Windows are skipped that cannot share a quarter of any
+   item's squared norm: their cosine with all items is under one half even before
+   the projection, which only takes away what no item has.
 4. Candidates are aligned: the longest common subsequence of item and the text
    around the window, words weighed by their idf. An item has leaked if ``full``
    of its weight is there in order, or ``share`` and half of its answer, which is
@@ -39,7 +39,7 @@ from tallyhouse.llm.jaccard import as_arrow, as_rows
 from tallyhouse.llm.tables import importable, staged
 
 PASSAGE, STRIDE = 64, 32
-BLOCK = 192
+BLOCK = 256
 #: Singular vectors that are kept, and columns of the test matrix.
 RANK, COLUMNS = 48, 64
 COSINE = 0.5
@@ -98,24 +98,19 @@ def items_of(rows: list) -> Items | None:
     return Items([h[0] for h in hashed], words, answers, known)
 
 
-def passages(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passage and word of each distinct word of each disjoint passage."""
-    at = np.flatnonzero(numbers >= 0)
-    pairs = np.unique((at // PASSAGE) * (1 << 32) + numbers[at])
-    return pairs >> 32, pairs & ((1 << 32) - 1)
-
-
 def frequencies(rows: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """In how many passages each word is, and how many passages there are."""
+    """In how many documents each word is, and how many documents there are."""
     size = len(items.known)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             for _, text in text_batches(batch):
-                words = word_hashes(text)
-                total += -(-len(words) // PASSAGE)
-                counts += np.bincount(passages(items.numbers(words))[1], minlength=size)
+                numbers = items.numbers(word_hashes(text))
+                there = np.zeros(size + 1, dtype=bool)
+                there[numbers] = True  # words of no item go to the last place
+                counts += there[:-1]
+                total += 1
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array([*found.tolist(), -1]), pa.array([*counts[found].tolist(), total])], ["word", "n"]
@@ -157,12 +152,13 @@ def sketch(rows: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
         n = 0
         for batch in batches:
             for _, text in text_batches(batch):
-                which, word = passages(items.numbers(word_hashes(text)))
-                if not len(word):
+                numbers = items.numbers(word_hashes(text))
+                at = np.flatnonzero(numbers >= 0)
+                if not len(at):
                     continue
-                held.append((which + base, word))
-                base += int(which[-1]) + 1
-                n += len(word)
+                held.append((at // PASSAGE + base, numbers[at]))
+                base += len(numbers) // PASSAGE + 1
+                n += len(at)
                 if n >= STRETCH:
                     add()
                     held, n = [], 0
@@ -228,18 +224,21 @@ class Space:
         self.basis = basis.astype(np.float32)
         self.vectors = unit(rows @ basis).astype(np.float32)
         self.mass = np.array([idf[w].sum() for w in items.words])
-        # A window reaches half of any item of its length, or lies within it.
-        reach = np.array([min(1.0, PASSAGE / 2 / len(w)) if len(w) > PASSAGE / 2 else 1.0 for w in items.words])
-        self.least = float((self.share * self.mass * np.maximum(reach / 2, 0.05)).min())
+        # Shares of an item's squared norm, and the largest that each word has in any.
+        squares = rows * rows
+        shares = squares / np.maximum(squares.sum(axis=1, keepdims=True), 1e-9)
+        self.most = np.append(shares.max(axis=0), 0.0)
+        self.shares = np.ascontiguousarray(shares.T, dtype=np.float32)
 
     def leaks(self, numbers: np.ndarray) -> dict[int, tuple[float, float]]:
         """Item to cosine and share, for one document's words."""
         found: dict[int, tuple[float, float]] = {}
-        weight = np.where(numbers >= 0, self.idf[numbers], 0.0)
-        sums = np.concatenate(([0.0], np.cumsum(weight)))
+        sums = np.concatenate(([0.0], np.cumsum(self.most[numbers])))
         starts = np.arange(0, max(1, len(numbers) - STRIDE), STRIDE)
         ends = np.minimum(starts + PASSAGE, len(numbers))
-        heavy = np.flatnonzero(sums[ends] - sums[starts] >= self.least)
+        heavy = np.flatnonzero(sums[ends] - sums[starts] >= COSINE * COSINE)
+        shared = {w: self._shared(numbers[starts[w] : ends[w]]) for w in heavy}
+        heavy = np.array([w for w in heavy if shared[w].max() >= COSINE * COSINE], dtype=np.int64)
         for part in np.array_split(heavy, max(1, -(-len(heavy) // 256))):
             if not len(part):
                 continue
@@ -247,7 +246,7 @@ class Space:
             cosines = unit(projected) @ self.vectors.T
             for row, item in zip(*np.nonzero(cosines >= COSINE)):
                 item, window = int(item), part[row]
-                if found.get(item, (0, 0))[1] >= self.full:
+                if shared[window][item] < COSINE * COSINE or found.get(item, (0, 0))[1] >= self.full:
                     continue
                 length = len(self.items.words[item])
                 a, b = max(0, starts[window] - length), ends[window] + length
@@ -256,6 +255,10 @@ class Space:
                     found[item] = float(cosines[row, item]), share
         return found
 
+    def _shared(self, numbers: np.ndarray) -> np.ndarray:
+        """Of each item's squared norm, at most so much is in a window."""
+        return self.shares[numbers[numbers >= 0]].sum(axis=0)
+
     def _project(self, numbers: np.ndarray) -> np.ndarray:
         used = np.unique(numbers[numbers >= 0])
         return self.idf[used].astype(np.float32) @ self.basis[used]
