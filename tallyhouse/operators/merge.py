@@ -26,7 +26,8 @@ from tallyhouse.schemas import CAPTURE_TIME, KEY, STATE_ID
 Stage = Callable[[DataFrame], DataFrame]
 
 
-def _complete(keys: Sequence[str]) -> Column:
+def complete(keys: Sequence[str]) -> Column:
+    """Whether no part of the key is NULL."""
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
@@ -74,7 +75,7 @@ def unique_source(
 
     ``on_duplicate="error"`` fails the job when a key occurs twice.
     """
-    known = df.filter(_complete(keys))
+    known = df.filter(complete(keys))
     if on_duplicate == "latest":
         return latest_per_key(known, keys, order)
     if on_duplicate != "error":
@@ -138,7 +139,7 @@ def upsert_newer(
     added = (
         fresh.join(known, list(keys), "left_anti")
         .select(columns)
-        .unionByName(incoming.filter(~_complete(keys)))
+        .unionByName(incoming.filter(~complete(keys)))
         .withColumn("merge_action", F.lit("INSERT"))
     )
     if cluster_by:
@@ -228,7 +229,7 @@ def land_merge(
         stored.join(fresh.select(*keys), list(keys), "left_anti")
         .select(columns)
         .unionByName(fresh)
-        .unionByName(fetched.filter(~_complete(keys)))
+        .unionByName(fetched.filter(~complete(keys)))
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.jsontext import statements
-from tallyhouse.operators.counts import resource_types
+from tallyhouse.operators.counts import distinct_regions, resource_types
 from tallyhouse.operators.derive import (
     DEFAULT_RULES,
     derive_type,
@@ -43,7 +43,7 @@ from tallyhouse.plans.transforms import (
     spine_conditions,
     NO_DEPENDENCY,
 )
-from tallyhouse.schemas import ACCOUNTS, MANAGED_POLICIES, SPINE, table_name, table_names
+from tallyhouse.schemas import ACCOUNTS, MANAGED_POLICIES, SPINE, table_claims, table_name
 from tallyhouse.sources.contract import (
     Semantics,
     Source,
@@ -62,6 +62,8 @@ POLICY_CACHE = "managed_policy_documents"
 CUSTOM_TYPES_TABLE = "custom_resource_types"
 FETCH, SNAPSHOTS, SKIP = "fetch", "snapshots", "skip"
 WRITTEN = "written"
+#: Written, but without its transforms, as one of them fails on a value.
+UNTRANSFORMED = "written as derived"
 REPORT_SCHEMA = "step string, name string, status string, rows long, detail string"
 
 
@@ -135,7 +137,16 @@ class Inventory:
         return self.store.read(name)
 
     def query(self, query: Query) -> DataFrame:
-        return query.run(self.table)
+        """User SQL may also read any stored table, ``resourceTypes`` and ``regions``."""
+        views = {
+            "resourceTypes": self.resource_types,
+            "regions": lambda: distinct_regions(self.spine()),
+        }
+        stored = [n for n in self.store.names() if not n.startswith("_")]
+        return query.run(
+            lambda name: views[name]() if name in views else self.table(name),
+            [*stored, SPINE_TABLE, ACCOUNTS_TABLE, *views],
+        )
 
     def resource_types(self) -> DataFrame:
         custom = self.store.read(CUSTOM_TYPES_TABLE, _CUSTOM_TYPES)
@@ -289,24 +300,36 @@ class Inventory:
         """One table per type, with all transforms applied, written once each."""
         spine = self.spine()
         schemas = type_schemas(spine, settings.rules)
-        names = table_names(schemas)
-        plain = {}
-        for resource_type, schema in schemas.items():
+        names, plain = {}, {}
+        for table, claimants in table_claims(schemas).items():
+            if len(claimants) > 1:
+                report.note("table", table, FAILED, detail=f"name of several types: {claimants}")
+            else:
+                names[claimants[0]] = table
+        for resource_type in names:
+            schema = schemas[resource_type]
+            if schema.refused:
+                detail = f"{schema.refused} documents cannot be read"
+                report.note("table", names[resource_type], FAILED, detail=detail)
+                continue
             try:
                 plain[names[resource_type]] = derive_type(spine, schema)
             except Exception as error:  # noqa: BLE001 - other types go on
                 report.note("table", names[resource_type], FAILED, detail=error)
         of_types = list(plain)
         plain[POLICIES_TABLE] = self.store.read(POLICY_CACHE, MANAGED_POLICIES)
+        # Transforms may read these two; they are not written back.
+        read_only = {SPINE_TABLE: spine, ACCOUNTS_TABLE: self.table(ACCOUNTS_TABLE)}
         run = run_transforms(
-            plain,
+            plain | read_only,
             settings.registry,
             of_types,
             self._known_conditions(spine, names, settings.registry),
         )
         for name, table, status, detail in run.report:
             report.note("transform", f"{name}:{table}", status, detail=detail)
-        self._drop_vanished(list(plain))
+        custom = [table_name(c.name) for c in settings.custom_tables]
+        self._drop_vanished([*plain, *names.values(), *custom])
         self._write_all(plain, run, settings, report)
         return list(plain)
 
@@ -326,10 +349,11 @@ class Inventory:
         }
 
     def _drop_vanished(self, current: Sequence[str]) -> None:
-        """Derived tables of types that no longer exist would show old rows."""
+        """Derived tables of types that no longer exist would show old rows. Tables
+        that are still wanted but failed this time stay as they are."""
         keep = {SPINE_TABLE, ACCOUNTS_TABLE, POLICY_CACHE, CUSTOM_TYPES_TABLE, *current}
         for name in self.store.names():
-            if name not in keep:
+            if name not in keep and not name.startswith("_"):
                 self.store.drop(name)
 
     def _write_all(
@@ -343,11 +367,16 @@ class Inventory:
             try:
                 self.store.write(name, run.tables[name])
                 return None
-            except Exception as error:  # noqa: BLE001
-                # A transform may fail on a value only when it runs. The table is
-                # then kept as derived, as if the transform had been refused.
-                self.store.write(name, plain[name])
-                return str(error)
+            except Exception:  # noqa: BLE001
+                # It may have been the cluster: once more before anything is given up.
+                try:
+                    self.store.write(name, run.tables[name])
+                    return None
+                except Exception as error:  # noqa: BLE001
+                    # A transform may fail on a value only when it runs. The table is
+                    # then kept as derived, as if the transform had been refused.
+                    self.store.write(name, plain[name])
+                    return str(error)
 
         names = list(plain)
         for name, result in zip(
@@ -357,30 +386,45 @@ class Inventory:
                 report.note("table", name, FAILED, detail=result)
             else:
                 note = f"transforms failed, table as derived: {result}" if result else None
-                report.note("table", name, WRITTEN, detail=note)
+                report.note("table", name, UNTRANSFORMED if result else WRITTEN, detail=note)
 
     def _build_custom(
         self, settings: BuildSettings, tables: Sequence[str], report: BuildReport
     ) -> None:
-        """Custom tables over the finished ones, and the registry of their names."""
+        """Custom tables over the finished ones and over each other, and the registry
+        of their names. One that fails leaves the stored table of its name."""
         available = {
             n: self.table(n)
             for n in [*tables, SPINE_TABLE, ACCOUNTS_TABLE]
             if self.store.exists(n)
         }
-        written = []
+        taken = {*available, POLICY_CACHE, CUSTOM_TYPES_TABLE}
+        written, waiting = [], []
         for custom in settings.custom_tables:
-            target = table_name(custom.name)
+            if table_name(custom.name) in taken:
+                report.note("custom", custom.name, FAILED, detail="name of another table")
+            else:
+                waiting.append(custom)
+        while waiting:
+            ready = [c for c in waiting if all(d in available for d in c.dependencies)]
+            if not ready:
+                break
+            waiting = [c for c in waiting if c not in ready]
+            for custom in ready:
+                target = table_name(custom.name)
+                try:
+                    self.store.write(target, custom_table(available, custom))
+                    report.note("custom", custom.name, WRITTEN)
+                except Exception as error:  # noqa: BLE001
+                    report.note("custom", custom.name, FAILED, detail=error)
+                if self.store.exists(target):
+                    written.append((custom.name,))
+                    available[target] = self.table(target)
+        for custom in waiting:
             missing = [d for d in custom.dependencies if d not in available]
-            if missing:
-                report.note("custom", custom.name, NO_DEPENDENCY, detail=",".join(missing))
-                continue
-            try:
-                self.store.write(target, custom_table(available, custom))
+            report.note("custom", custom.name, NO_DEPENDENCY, detail=",".join(missing))
+            if self.store.exists(table_name(custom.name)):
                 written.append((custom.name,))
-                report.note("custom", custom.name, WRITTEN)
-            except Exception as error:  # noqa: BLE001
-                report.note("custom", custom.name, FAILED, detail=error)
         self.store.write(
             CUSTOM_TYPES_TABLE, self.spark.createDataFrame(written, _CUSTOM_TYPES)
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.functions.columns import quoted
-from tallyhouse.plans.sqltext import run_select
+from tallyhouse.plans.sqltext import mentions, run_select
 from tallyhouse.schemas import table_name
 
 SPINE_TABLE = "resources"
@@ -77,12 +77,16 @@ class Query:
         joined = with_accounts(tables(self.table), tables(ACCOUNTS_TABLE))
         return self._projected(joined, tables)
 
-    def run(self, tables: Tables) -> DataFrame:
-        """The query's result. ``tables`` resolves a table name to a DataFrame."""
+    def run(self, tables: Tables, known: Iterable[str] = ()) -> DataFrame:
+        """The query's result. ``tables`` resolves a table name to a DataFrame.
+
+        User SQL sees ``input`` and those of the ``known`` tables it mentions.
+        """
         selected = self.input(tables)
         if self.sql.strip().rstrip(";").strip().lower() == DEFAULT_SQL.lower():
             return selected
-        return run_select({"input": selected}, self.sql)
+        others = {n: tables(n) for n in known if n != "input" and mentions(self.sql, n)}
+        return run_select(others | {"input": selected}, self.sql)
 
     def _projected(self, joined: DataFrame, tables: Tables) -> DataFrame:
         rows = joined

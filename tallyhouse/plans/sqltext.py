@@ -19,7 +19,7 @@ def run_select(frames: Mapping[str, DataFrame], sql: str) -> DataFrame:
     mentions, so nothing but a query can run; every call has views of its own,
     so concurrent calls do not meet.
     """
-    used = {n: df for n, df in frames.items() if _mentions(sql, n)}
+    used = {n: df for n, df in frames.items() if mentions(sql, n)}
     session = next(iter(frames.values())).sparkSession
     views = {name: f"v_{uuid.uuid4().hex}" for name in used}
     body = sql.strip().rstrip(";").strip()
@@ -38,5 +38,5 @@ def run_select(frames: Mapping[str, DataFrame], sql: str) -> DataFrame:
             session.catalog.dropTempView(view)
 
 
-def _mentions(sql: str, name: str) -> bool:
+def mentions(sql: str, name: str) -> bool:
     return re.search(rf"(?<!\w){re.escape(name)}(?!\w)", sql, re.IGNORECASE) is not None

@@ -116,10 +116,16 @@ def table_names(resource_types: Iterable[str]) -> dict[str, str]:
     The naming rule is not injective, and writing two types to one table would
     silently drop one of them.
     """
-    claims: dict[str, list[str]] = defaultdict(list)
-    for resource_type in sorted(set(resource_types)):
-        claims[table_name(resource_type)].append(resource_type)
+    claims = table_claims(resource_types)
     clashes = {t: r for t, r in claims.items() if len(r) > 1}
     if clashes:
         raise ValueError(f"resource types share a derived table name: {clashes}")
     return {r[0]: t for t, r in claims.items()}
+
+
+def table_claims(resource_types: Iterable[str]) -> dict[str, list[str]]:
+    """``{table name: resource types that would be written to it}``."""
+    claims: dict[str, list[str]] = defaultdict(list)
+    for resource_type in sorted(set(resource_types)):
+        claims[table_name(resource_type)].append(resource_type)
+    return dict(claims)

@@ -83,8 +83,16 @@ class Store:
         return f"{self.root}/{name}"
 
     def generation(self, name: str) -> str | None:
-        pointer = f"{self._table(name)}/{CURRENT}"
-        return self._files.read_line(pointer) if self._files.exists(pointer) else None
+        folder = self._table(name)
+        pointer = f"{folder}/{CURRENT}"
+        if self._files.exists(pointer):
+            return self._files.read_line(pointer)
+        # Where replacing a file is a deletion and a copy, a crash in between leaves
+        # the new pointer beside the old one's place.
+        left = [f for f in self._files.children(folder) if f.startswith(f"{CURRENT}.")]
+        lines = sorted(g for f in left if (g := self._files.read_line(f"{folder}/{f}")))
+        committed = [g for g in lines if self._files.exists(f"{folder}/{g}/_SUCCESS")]
+        return committed[-1] if committed else None
 
     def exists(self, name: str) -> bool:
         return self.generation(name) is not None
@@ -112,12 +120,21 @@ class Store:
             return df.select(schema.names)
         return reader.parquet(self.path(name))
 
+    @staticmethod
+    def new_generation() -> str:
+        """A name that sorts after those of earlier generations."""
+        stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+        return f"gen={stamp}-{uuid.uuid4().hex[:8]}"
+
     def write(
-        self, name: str, df: DataFrame, partition_by: str | None = None
+        self,
+        name: str,
+        df: DataFrame,
+        partition_by: str | None = None,
+        generation: str | None = None,
     ) -> DataFrame:
         """Write a new generation, commit it and return it as a table."""
-        stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-        generation = f"gen={stamp}-{uuid.uuid4().hex[:8]}"
+        generation = generation or self.new_generation()
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(partition_by)
@@ -127,22 +144,22 @@ class Store:
 
     def drop(self, name: str) -> None:
         """Forget a table: without a pointer it does not exist."""
-        self._files.delete(f"{self._table(name)}/{CURRENT}")
+        for file in self._files.children(self._table(name)):
+            if file.startswith(CURRENT):
+                self._files.delete(f"{self._table(name)}/{file}")
 
     def expire(self, name: str, keep: int = 2) -> None:
         """Delete all but the newest ``keep`` generations (the current one stays)."""
         current = self.generation(name)
-        old = [g for g in self._files.children(self._table(name)) if g.startswith("gen=")]
+        old = [
+            g
+            for g in self._files.children(self._table(name))
+            if g.startswith("gen=") and self._files.exists(f"{self._table(name)}/{g}/_SUCCESS")
+        ]
         for generation in old[: max(len(old) - keep, 0)]:
             if generation != current:
                 self._files.delete(f"{self._table(name)}/{generation}")
 
-    def register_views(self, prefix: str = "") -> list[str]:
-        """Every table as a temporary view, for plain SQL over the inventory."""
-        names = self.names()
-        for name in names:
-            self.read(name).createOrReplaceTempView(f"{prefix}{name}")
-        return names
 
 
 def work_folder(spark: SparkSession) -> str:

@@ -8,17 +8,17 @@ from time to time.
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyhouse.operators.merge import latest_per_key, upsert_newer
+from tallyhouse.operators.merge import complete, latest_per_key, upsert_newer
 from tallyhouse.plans.query import SPINE_TABLE
 from tallyhouse.schemas import CAPTURE_TIME, KEY, SPINE, STAGING, STATE_ID
 from tallyhouse.sources.items import staged_to_spine
-from tallyhouse.sources.store import Files, Store
+from tallyhouse.sources.store import Files, Store, staged
 
 
 def item_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -33,28 +33,57 @@ def item_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 class ChangeFeed:
-    """Changes waiting beside the stored spine of ``store``."""
+    """Changes waiting beside the stored spine of ``store``.
+
+    A batch is a folder named by the run it came from and its number in that run,
+    so two streams, or a stream with a new checkpoint, never meet in one. A folder
+    counts once its commit marker is there. Which batches the stored spine already
+    holds is written beside the spine generation that holds them, so a batch that
+    is delivered again, or that a crash left behind, is not applied again.
+    """
 
     def __init__(self, store: Store, name: str = "changes"):
         self.store = store
         self.spark = store.spark
         self.folder = f"{store.root}/_{name}"
+        self.applied_table = f"_{name}_applied"
         self._files = Files(self.spark)
 
     def batches(self) -> list[str]:
-        return [b for b in self._files.children(self.folder) if b.startswith("batch=")]
-
-    def append(self, changes: DataFrame, batch_id: int) -> None:
+        """Committed batches that the stored spine does not hold yet."""
+        done = set(self.applied())
+        return [
+            b
+            for b in self._files.children(self.folder)
+            if b.startswith("batch=")
+            and b not in done
+            and self._files.exists(f"{self.folder}/{b}/_SUCCESS")
+        ]
+
+    def applied(self) -> list[str]:
+        """Batches that the stored spine holds: those of confirmed compactions, and
+        those of the last one if its generation became the current one."""
+        record = self.store.read(self.applied_table, _APPLIED).collect()
+        current = self.store.generation(SPINE_TABLE)
+        return [r.batch for r in record if r.generation in (_CONFIRMED, current)]
+
+    def _record(self, held: list[str], waiting: list[str], generation: str = "") -> None:
+        rows = [(_CONFIRMED, b) for b in held] + [(generation, b) for b in waiting]
+        self.store.write(self.applied_table, self.spark.createDataFrame(rows, _APPLIED))
+
+    def append(self, changes: DataFrame, batch_id: int, run: str = "run") -> None:
         """Keep one micro-batch, reduced to the newest row of each key.
 
         Rows with a NULL in the key match nothing and are all kept. A batch that
         is delivered again replaces its first copy.
         """
-        path = f"{self.folder}/batch={batch_id:020d}"
+        name = f"batch={run}-{batch_id:020d}"
+        if name in self.applied():
+            return
         rows = changes.select(SPINE.names)
-        complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in KEY])
-        reduced = latest_per_key(rows.filter(complete)).unionByName(rows.filter(~complete))
-        reduced.write.mode("overwrite").parquet(path)
+        known = complete(KEY)
+        reduced = latest_per_key(rows.filter(known)).unionByName(rows.filter(~known))
+        reduced.write.mode("overwrite").parquet(f"{self.folder}/{name}")
 
     def changes(self, batches: list[str] | None = None) -> DataFrame:
         names = self.batches() if batches is None else batches
@@ -66,36 +95,67 @@ class ChangeFeed:
     def current(self) -> DataFrame:
         """The spine with all waiting changes applied, newer captures winning."""
         stored = self.store.read(SPINE_TABLE, SPINE)
-        return upsert_newer(stored, self.changes()).select(SPINE.names)
+        return upsert_newer(stored, self.changes(), stage=staged).select(SPINE.names)
 
     def compact(self) -> int:
         """Fold the waiting batches into a new generation of the spine.
 
-        Batches are removed only after the new generation is committed. If a crash
-        comes in between they are applied once more, which changes nothing for rows
-        with a complete key, as only newer captures win.
+        What it will hold is recorded first, and counts only once the generation is
+        the current one. So a crash at any point neither loses a batch nor applies
+        one twice. A batch is forgotten when its folder is gone and a later one of
+        its run is held, for then it can no longer be delivered again.
         """
         batches = self.batches()
         if not batches:
             return 0
+        there = set(self._files.children(self.folder))
+        held = self.applied()
+        held = sorted({*last_of_runs(held), *(b for b in held if b in there)})
         stored = self.store.read(SPINE_TABLE, SPINE)
         merged = upsert_newer(
-            stored, self.changes(batches), cluster_by="resourceType"
+            stored, self.changes(batches), stage=staged, cluster_by="resourceType"
         ).select(SPINE.names)
-        self.store.write(SPINE_TABLE, merged, "resourceType")
+        generation = self.store.new_generation()
+        self._record(held, batches, generation)
+        self.store.write(SPINE_TABLE, merged, "resourceType", generation)
+        self._record([*held, *batches], [])
         for batch in batches:
             self._files.delete(f"{self.folder}/{batch}")
         return len(batches)
 
     def start(self, items: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Collect a stream of spine rows; ``trigger`` as for ``writeStream``."""
+        """Collect a stream of spine rows; ``trigger`` as for ``writeStream``.
+
+        The run's name is the checkpoint's own, so a restarted stream goes on
+        counting where it was, and another checkpoint is another run.
+        """
+        run = self._run_of(checkpoint)
         return (
-            items.writeStream.foreachBatch(self.append)
+            items.writeStream.foreachBatch(lambda df, n: self.append(df, n, run))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start()
         )
 
+    def _run_of(self, checkpoint: str) -> str:
+        path = f"{checkpoint.rstrip('/')}/feed_run"
+        if not self._files.exists(path):
+            self._files.replace_line(path, uuid.uuid4().hex)
+        return self._files.read_line(path)
+
+
+_APPLIED = "generation string, batch string"
+#: Stands for a generation of the spine that was committed.
+_CONFIRMED = "confirmed"
+
+
+def last_of_runs(batches: list[str]) -> list[str]:
+    """The newest batch of each run: only that one can be delivered again."""
+    newest: dict[str, str] = {}
+    for batch in sorted(batches):
+        newest[batch.rpartition("-")[0]] = batch
+    return list(newest.values())
+
 
 def latest_state(items: DataFrame) -> DataFrame:
     """Streaming newest row per key. Items older than the state change nothing.

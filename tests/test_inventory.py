@@ -163,14 +163,78 @@ def test_custom_tables_and_failing_ones(inventory, spine):
 def test_a_transform_that_fails_on_a_value_leaves_the_table_as_derived(inventory, spine):
     registry = default_registry(user=[sql_transform("cast", "ec2_instance", "SELECT *, cast(resourceId AS int) AS n FROM {table}")])
     report = inventory.build(inputs(spine, item(configuration={"k": 1})), BuildSettings(registry=registry))
-    assert report.status("table")["ec2_instance"] == "written"
+    assert report.status("table")["ec2_instance"] == "written as derived"
     assert inventory.table("ec2_instance").first().k == 1
     assert "n" not in inventory.table("ec2_instance").columns
 
 
-def test_colliding_type_names_are_refused(inventory, spine):
-    with pytest.raises(ValueError, match="share a derived table name"):
-        inventory.build(inputs(spine, item("AWS::A::B", "1"), item("A::B", "2")))
+def test_colliding_and_unreadable_types_leave_the_others(inventory, spine):
+    rows = spine(item("AWS::A::B", "1"), item("A::B", "2"), item(), item("AWS::S3::Bucket", "b"))
+    broken = F.when(F.col("resourceId") == "b", '{"k": 1, "k": 2}').otherwise(F.col("configuration"))
+    rows = rows.withColumn("configuration", broken)
+    keys = rows.select("accountId", "resourceType", "resourceId")
+    report = inventory.build(BuildInputs(items=rows, identifiers=keys))
+    status = report.status("table")
+    assert status["a_b"] == status["s3_bucket"] == "failed" and status["ec2_instance"] == "written"
+    assert inventory.spine().count() == 4
+
+
+def test_sql_over_other_tables(inventory, spine):
+    inventory.build(inputs(spine, item(configuration={"size": "s"}), item("AWS::S3::Bucket", "b")))
+    joined = "SELECT i.resourceId, t.size FROM input i JOIN ec2_instance t ON t.resourceId = i.resourceId"
+    assert [tuple(r) for r in inventory.query(Query(sql=joined)).collect()] == [("i-1", "s")]
+    assert inventory.query(Query(sql="SELECT * FROM resourceTypes")).count() == 2
+    assert inventory.query(Query(sql="SELECT * FROM regions")).first()[0] == "eu-west-1"
+
+
+def test_transforms_may_read_accounts_and_resources(inventory, spine, spark):
+    accounts = spark.createDataFrame([("111111111111", "prod")], "accountId string, accountName string")
+    sql = "SELECT t.*, a.accountName AS owner, (SELECT count(*) FROM resources) AS n FROM {table} t LEFT JOIN accounts a ON a.accountId = t.accountId"
+    registry = default_registry(user=[sql_transform("owner", "ec2_instance", sql, ["ec2_instance", "accounts", "resources"])])
+    report = inventory.build(inputs(spine, item(), accounts=accounts), BuildSettings(registry=registry))
+    assert report.status("transform")["owner:ec2_instance,accounts,resources"] == "applied"
+    assert inventory.table("ec2_instance").first().n == 1
+
+
+def test_custom_tables_over_custom_tables_and_their_old_rows(inventory, spine):
+    second = CustomTable("Custom::Second", "SELECT n + 1 AS m FROM custom_first", ["custom_first"])
+    first = CustomTable("Custom::First", "SELECT count(*) AS n FROM ec2_instance", ["ec2_instance"])
+    own = CustomTable("AWS::EC2::Instance", "SELECT 1 AS x")
+    report = inventory.build(inputs(spine, item()), BuildSettings(custom_tables=[second, first, own]))
+    assert report.status("custom") == {"Custom::First": "written", "Custom::Second": "written", "AWS::EC2::Instance": "failed"}
+    assert inventory.table("custom_second").first().m == 2
+    broken = CustomTable("Custom::First", "SELECT nope FROM ec2_instance", ["ec2_instance"])
+    report = inventory.build(inputs(spine, item()), BuildSettings(custom_tables=[second, broken]))
+    assert report.status("custom") == {"Custom::First": "failed", "Custom::Second": "written"}
+    assert inventory.table("custom_first").first().n == 1
+
+
+def test_upsert_reads_and_filters_no_more_than_it_must(inventory, spine):
+    from tallyhouse.operators.merge import missing_keys, upsert_newer
+
+    inventory.build(inputs(spine, item(), item("AWS::S3::Bucket", "b")))
+    stored = inventory.spine()
+    merged = upsert_newer(stored, spine(item(resource_id="i-2")))
+    keys = stored.select("accountId", "resourceType", "resourceId").limit(1)
+
+    def scans(df):
+        plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return [p for p in plan.split("\n\n") if "Scan parquet" in p and "ReadSchema" in p]
+
+    assert all("configuration" not in p and "tags" not in p for p in scans(missing_keys(merged, keys)))
+    filtered = scans(merged.filter("resourceType = 'AWS::S3::Bucket'"))
+    assert filtered and all("resourceType" in p.split("PartitionFilters")[1] for p in filtered if "configuration" in p)
+
+
+def test_a_lost_pointer_is_found_again(inventory, spine):
+    import glob
+    import os
+
+    inventory.build(inputs(spine, item()))
+    root = inventory.store.root.removeprefix("file:")
+    os.rename(f"{root}/resources/CURRENT", f"{root}/resources/CURRENT.{'0' * 32}")
+    assert glob.glob(f"{root}/resources/gen=*")
+    assert ids(inventory.spine()) == ["i-1"]
 
 
 # -- streaming -------------------------------------------------------------------
@@ -181,6 +245,32 @@ def land(folder, name, *rows):
     (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
 
 
+def test_streams_do_not_meet_and_half_batches_wait(inventory, spark, spine, tmp_path):
+    inventory.build(inputs(spine, item(resource_id="z")))
+    feed = ChangeFeed(inventory.store)
+    for name in ("one", "two"):
+        land(tmp_path / name, "1.json", item(resource_id=name))
+        feed.start(item_stream(spark, str(tmp_path / name)), str(tmp_path / f"{name}-offsets")).awaitTermination()
+    assert ids(feed.current()) == ["one", "two", "z"]
+    half = tmp_path / "inventory" / "_changes" / "batch=x-00000000000000000000"
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"half a file")
+    assert len(feed.batches()) == 2 and feed.compact() == 2
+    assert half.exists() and ids(inventory.spine()) == ["one", "two", "z"]
+
+
+def test_a_compaction_that_crashed_is_done_again(inventory, spine):
+    inventory.build(inputs(spine, item(resource_id="z")))
+    feed = ChangeFeed(inventory.store)
+    feed.append(spine(item(resource_id="n1", accountId=None)), 0)
+    feed._record([], feed.batches(), inventory.store.new_generation())  # and no spine
+    assert len(feed.batches()) == 1 and feed.compact() == 1
+    assert ids(inventory.spine()) == ["n1", "z"]
+    inventory.build(inputs(spine, item(resource_id="z"), item(resource_id="y"), listed=[item(resource_id="z"), item(resource_id="y")]))
+    feed.append(spine(item(resource_id="n1", accountId=None)), 0)
+    assert feed.batches() == []
+
+
 def test_change_feed(inventory, spark, spine, tmp_path):
     inventory.build(inputs(spine, item(resource_id="a", configurationStateId="old")))
     feed = ChangeFeed(inventory.store)
@@ -199,9 +289,13 @@ def test_change_feed(inventory, spark, spine, tmp_path):
     assert state() == {"a": "new", "b": "1"}
     assert ids(inventory.spine()) == ["a"]
     late = item(resource_id="a", configurationItemCaptureTime="2026-01-20T00:00:00Z")
-    feed.append(spine(late, item(resource_id="n1", accountId=None), item(resource_id="n2", accountId=None)), 1)
+    run = feed.batches()[0].removeprefix("batch=").rpartition("-")[0]
+    feed.append(spine(late, item(resource_id="n1", accountId=None), item(resource_id="n2", accountId=None)), 1, run)
     assert len(feed.batches()) == 2
     assert feed.compact() == 2 and feed.compact() == 0
+    # Delivered once more after it was folded in: nothing happens.
+    feed.append(spine(item(resource_id="n1", accountId=None)), 1, run)
+    assert feed.batches() == []
     assert state() == {"a": "new", "b": "1", "n1": "1", "n2": "1"}
     assert ids(inventory.spine()) == ["a", "b", "n1", "n2"]
 
