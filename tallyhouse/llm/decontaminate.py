@@ -41,7 +41,10 @@ from tallyhouse.llm.tables import importable, staged
 PASSAGE, STRIDE = 64, 32
 BLOCK = 256
 #: Singular vectors that are kept, and columns of the test matrix.
-RANK, COLUMNS = 48, 64
+RANK, COLUMNS = 24, 32
+#: Words of a lower idf than this, in over a third of all documents, are stop words
+#: of the singular vectors; the search itself uses every word.
+STOP = 1.0
 COSINE = 0.5
 SEED = 20
 #: Slots of the table that finds a word's number by its hash.
@@ -150,10 +153,11 @@ def sketch(rows: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
             total[ordered[runs]] += np.add.reduceat(back, runs, axis=0)
 
         n = 0
+        telling = np.append(idf >= STOP, False)
         for batch in batches:
             for _, text in text_batches(batch):
                 numbers = items.numbers(word_hashes(text))
-                at = np.flatnonzero(numbers >= 0)
+                at = np.flatnonzero(telling[numbers])
                 if not len(at):
                     continue
                 held.append((at // PASSAGE + base, numbers[at]))

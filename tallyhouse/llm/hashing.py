@@ -19,6 +19,8 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[ord(c) for c in ASCII_SPACE]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: What each byte adds to a hash.
+TERMS = LOWER.astype(np.uint64) + np.uint64(1)
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -48,7 +50,7 @@ def words_of_piece(data: np.ndarray) -> np.ndarray:
     edges = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     with np.errstate(over="ignore"):
-        terms = (LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data))
+        terms = TERMS[data] * powers(BASE, len(data))
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(terms)))
         value = (sums[ends] - sums[starts]) * powers(INVERSE, len(data))[starts]
         return mix(value + (ends - starts).astype(np.uint64) * np.uint64(BASE))
