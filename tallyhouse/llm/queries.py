@@ -173,19 +173,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
-    """Encoded, digested, decoded from the ids alone, and digested again."""
-    path = public_tokenizers.path(TOKENIZER)
-    encoded = codec.encode(docs, path).select(
+    """Encoded and decoded, as digests."""
+    coded = codec.round_trip(docs, public_tokenizers.path(TOKENIZER))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
         F.col("doc").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        "ids",
-    )
-    back = codec.decode(encoded, path)
-    return back.select(
-        "doc_id",
-        "n_tokens",
-        "ids_sha256",
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
 
