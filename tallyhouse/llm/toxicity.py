@@ -1,13 +1,20 @@
-"""Toxicity by compression distance to two zstandard dictionaries.
-
-One dictionary is trained on ordinary text, the other on toxic text: what sets
-toxic documents apart, and then the same common segments, at the same distance
-from the text, so that ordinary words compress alike with both. A window is one word inside a
-short carrier that both dictionaries hold; the carrier keeps so short a text from
-being stored raw. The two compressed lengths of a window differ by the bytes that
-the toxic dictionary saves. A document's score grows with its best window and, a
-little, with the mean of its best three; the threshold is calibrated on labelled
-documents that no dictionary has seen.
+"""Toxicity by compression distance to zstandard dictionaries.
+
+A word is written as two bytes for each of its prefixes, in code points, so that
+two words share bytes as far as they begin alike, in any script. The ordinary
+dictionary is trained by zstandard on ordinary text. A toxic dictionary is a list
+of stems and phrases, selected by how much commoner they are in toxic texts, and
+then the same common segments, at the same distance from the text. It is not
+trained by zstandard: that keeps what is common, and common words are the same in
+toxic texts.
+
+A window is one word, or the words of a phrase of the list, inside a short carrier that all dictionaries hold. The bytes that a toxic dictionary saves
+are its evidence. One toxic dictionary has all stems, and its evidence is summed
+over the text and divided by a power of its length, as ordinary texts hold some of
+these stems by chance. The other has the stems that no ordinary text holds; one
+window of them is enough, however long the text. A document's score is that of the
+stronger evidence; both thresholds are calibrated on labelled documents that no
+dictionary has seen.
 
 Training takes a bounded sample: at most ``most_toxic`` and ``most_ordinary``
 labelled documents of at most ``max_chars`` characters, the first by a hash of
@@ -23,8 +30,9 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import zstandard
@@ -36,11 +44,15 @@ from tallyhouse.llm.tables import map_rows
 LEVEL = 9
 #: Bytes of common segments that both dictionaries end with.
 COMMON = 16 << 10
-#: Words or stems that only the toxic dictionary holds, at most.
-WORDS = 160
-#: A fragment sets toxic text apart if this share of toxic documents has it, this
-#: many times the share among ordinary ones.
-SHARE, TIMES, FRAGMENT = 0.015, 20, 5
+#: A stem is this many times commoner among toxic words, with at least this much
+#: evidence (likelihood ratio, G) that the share of toxic documents with it is larger.
+TIMES, EVIDENCE = 8, 20
+#: Code points of a stem, and words of a phrase.
+SHORTEST, LONGEST, PHRASE = 3, 32, 3
+#: Windows that begin unlike every stem within so many code points save nothing.
+ALIKE = 5
+#: A text of n words has the evidence of all stems divided by (n + SHORT) ** POWER.
+SHORT, POWER = 20, 0.7
 CARRIER = 56
 MEMO = 400_000
 EDGE = b".,;:!?\"'()[]#*$%&|<>"
@@ -52,64 +64,122 @@ SLOPE = 1.5
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
+    #: All stems, and those that no ordinary text holds, before the common segments.
     toxic: bytes
-    threshold: float
+    sure: bytes
+    phrases: tuple[bytes, ...]
+    #: Phrases, and the first code points of all other stems.
+    starts: tuple[bytes, ...]
+    #: For the evidence of a whole text, and of its best windows.
+    dense: float
+    best: float
 
 
 def words_of(text: bytes) -> list[bytes]:
     return [w for word in text.lower().split() if (w := word.strip(EDGE))]
 
 
-def fragments(words: set[bytes]) -> set[bytes]:
-    found = set()
-    for word in words:
-        padded = b" " + word + b" "
-        found.update(padded[i : i + FRAGMENT] for i in range(len(padded) - FRAGMENT + 1))
-    return found
+def coded(words: bytes) -> bytes:
+    """Two bytes for each prefix."""
+    at, out = 0, bytearray()
+    for point in words.decode("utf-8", "replace"):
+        at = zlib.crc32(point.encode("utf-8", "replace"), at)
+        out += (at & 0xFFFF).to_bytes(2, "big")
+    return bytes(out)
 
 
 def common_segments(texts: list[list[bytes]]) -> bytes:
-    samples = [b" ".join(words[i : i + 3]) for words in texts for i in range(0, len(words), 3)]
+    samples = [
+        b"".join(coded(w + b" ") for w in words[i : i + 3])
+        for words in texts
+        for i in range(0, len(words), 3)
+    ]
     try:
         return zstandard.train_dictionary(COMMON, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: they are their own dictionary
-        return b" ".join(dict.fromkeys(samples))[:COMMON]
-
-
-def spans(word: bytes, apart: set[bytes]) -> list[bytes]:
-    """The stretches of a word that fragments of ``apart`` cover."""
-    padded, found, end = b" " + word + b" ", [], 0
-    for i in range(len(padded) - FRAGMENT + 1):
-        if padded[i : i + FRAGMENT] in apart:
-            if found and i <= end:
-                found[-1] = (found[-1][0], i + FRAGMENT)
-            else:
-                found.append((i, i + FRAGMENT))
-            end = i + FRAGMENT
-    return [padded[a:b] for a, b in found]
-
-
-def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """What sets toxic documents apart, most common first: words or stems of words."""
-    in_toxic = Counter(f for words in toxic for f in fragments(set(words)))
-    in_ordinary = Counter(f for words in ordinary for f in fragments(set(words)))
-    least = max(2, SHARE * len(toxic))
-    apart = {
-        f
-        for f, n in in_toxic.items()
-        if n >= least and n / len(toxic) > TIMES * (in_ordinary[f] + 1) / len(ordinary)
-    }
-    found = Counter(s for words in toxic for w in words for s in spans(w, apart))
-    return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:WORDS]]
+        return b"".join(dict.fromkeys(samples))[:COMMON]
+
+
+def evidence(a: int, b: int, size_a: int, size_b: int) -> float:
+    """G of ``a`` of ``size_a`` against ``b`` of ``size_b``; 0 if ``a`` is not more."""
+    share = (a + b) / (size_a + size_b)
+    if a <= share * size_a:
+        return 0.0
+    return 2 * (a * math.log(a / (share * size_a)) + (b and b * math.log(b / (share * size_b))))
+
+
+def runs(texts: list[list[bytes]]) -> list[Counter]:
+    """Of each text, the runs of words that begin at each of its words."""
+    found = []
+    for words in texts:
+        points = [w.decode("utf-8", "replace")[:LONGEST] for w in words]
+        found.append(
+            Counter((" ".join(points[i : i + PHRASE]) + " ")[:LONGEST] for i in range(len(points)))
+        )
+    return found
+
+
+def counted(texts: list[Counter], size: int, open_: set[str]) -> tuple[Counter, Counter]:
+    """Prefixes of ``size`` that continue those of ``open_``: how often, in how many texts."""
+    times, found = Counter(), Counter()
+    for text in texts:
+        here = Counter()
+        for run, n in text.items():
+            if len(run) >= size and (size == SHORTEST or run[: size - 1] in open_):
+                here[run[:size]] += n
+        times.update(here)
+        found.update(here.keys())
+    return times, found
+
+
+def toxic_stems(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[tuple[str, bool]]:
+    """Beginnings of words and phrases that set toxic documents apart, the strongest first,
+    each with whether no ordinary document holds it."""
+    sizes = len(toxic), len(ordinary)
+    words = sum(map(len, toxic)), sum(map(len, ordinary))
+    bad, good = runs(toxic), runs(ordinary)
+    open_: set[str] = set()
+    apart = []
+    for size in range(SHORTEST, LONGEST + 1):
+        times, found = counted(bad, size, open_)
+        # A longer prefix is in no more texts: the others cannot reach the evidence.
+        open_here = {p for p, n in found.items() if evidence(n, 0, *sizes) >= EVIDENCE}
+        if not open_here:
+            break
+        times_good, found_good = counted(good, size, open_)
+        for p in open_here:
+            rate = times[p] * words[1] / max(words[0] * (times_good[p] + 0.5), 1)
+            if rate > TIMES and evidence(found[p], found_good[p], *sizes) >= EVIDENCE:
+                strength = evidence(times[p], times_good[p], *words)
+                apart.append((-strength, " " in p[:-1], -size, p, not found_good[p]))
+        open_ = open_here
+    chosen: list[tuple[str, bool]] = []
+    begun: set[str] = set()
+    taken: set[str] = set()
+    for *_, p, sure in sorted(apart):
+        if " " in p[:-1] and p[-1] != " ":
+            continue  # of a phrase, all words are whole
+        # Of stems of which one begins the other, the strongest is taken. A phrase with
+        # a word that is like a stronger stem says nothing more.
+        starts = [0, *(i + 1 for i, c in enumerate(p[:-1]) if c == " ")]
+        if any(p[i:] in begun or any(p[i:k] in taken for k in range(i + SHORTEST, len(p) + 1)) for i in starts):
+            continue
+        taken.add(p)
+        chosen.append((p, sure))
+        begun.update(p[:k] for k in range(SHORTEST, len(p) + 1))
+    return chosen
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[bytes, tuple[int, int]] = {}
+        self.phrases: dict[bytes, list[bytes]] = {}
+        for phrase in model.phrases:
+            self.phrases.setdefault(phrase.split(b" ")[0], []).append(phrase)
         carrier = model.ordinary[-CARRIER - 8 : -8]
-        self.before, self.after = carrier + b" ", b" " + carrier
-        self.compress = [self._compressor(d) for d in (model.ordinary, model.toxic)]
+        self.before, self.after = carrier, carrier
+        self.compress = [self._compressor(d) for d in (model.ordinary, model.toxic, model.sure)]
 
     @staticmethod
     def _compressor(content: bytes):
@@ -120,24 +190,44 @@ class Scorer:
         )
         return zstandard.ZstdCompressor(dict_data=known, compression_params=plain).compress
 
-    def saved(self, word: bytes) -> int:
-        """Bytes by which the toxic dictionary is the better one for a window."""
-        n = self.memo.get(word)
+    def saved(self, window: bytes) -> tuple[int, int]:
+        """Bytes by which each toxic dictionary is the better one for a window."""
+        n = self.memo.get(window)
         if n is None:
-            window = self.before + word + self.after
-            ordinary, toxic = self.compress
+            n = 0, 0
+            # Others share a few bytes with a stem at most: all else is in every dictionary.
+            if (window + b" ").startswith(self.model.starts):
+                text = self.before + coded(window + b" ") + self.after
+                ordinary, toxic, sure = (len(compress(text)) for compress in self.compress)
+                n = ordinary - toxic, ordinary - sure
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            n = self.memo[word] = len(ordinary(window)) - len(toxic(window))
+            self.memo[window] = n
         return n
 
-    def feature(self, words: list[bytes]) -> float:
-        best = heapq.nlargest(3, map(self.saved, words))
-        return best[0] + sum(best) / len(best) / 10 if best else -math.inf
+    def window(self, words: list[bytes], i: int) -> bytes:
+        """The words from the i-th on if they hold a phrase of its, or it alone."""
+        run = b" ".join(words[i : i + PHRASE])
+        return run if (run + b" ").startswith(tuple(self.phrases[words[i]])) else words[i]
+
+    def features(self, words: list[bytes]) -> tuple[float, float]:
+        """Evidence of all stems over the text, and of its best windows."""
+        if not words:
+            return -math.inf, -math.inf
+        saved = [
+            self.saved(self.window(words, i) if word in self.phrases else word)
+            for i, word in enumerate(words)
+        ]
+        best = heapq.nlargest(3, (sure for _, sure in saved))
+        dense = sum(all_ for all_, _ in saved if all_ > 0) / (len(words) + SHORT) ** POWER
+        return dense, best[0] + sum(best) / len(best) / 10
 
     def score(self, text: bytes | None) -> float:
-        feature = self.feature(words_of(text or b""))
-        return squash(SLOPE * (feature - self.model.threshold))
+        dense, best = self.features(words_of(text or b""))
+        if best == -math.inf:
+            return 0.0
+        over = max(best - self.model.best, (dense / max(self.model.dense, 1e-9) - 1) * 4)
+        return squash(SLOPE * over)
 
 
 def squash(x: float) -> float:
@@ -149,7 +239,7 @@ def squash(x: float) -> float:
 def best_threshold(toxic: list[float], ordinary: list[float]) -> float:
     """Middle of the gap at which errors, as shares of both kinds, weigh least; a clean
     document called toxic weighs :data:`WRONG` times a missed one."""
-    points = sorted({x for x in toxic + ordinary if x > -math.inf})
+    points = sorted({x for x in (*toxic, *ordinary) if x > -math.inf})
     cuts = [(a + b) / 2 for a, b in zip(points, points[1:])] + [(points[-1] if points else 0) + 1]
 
     def errors(cut: float) -> float:
@@ -174,13 +264,21 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model | None:
     train_bad = [w for i, w in enumerate(bad) if i % 3] or bad
     train_good = [w for i, w in enumerate(good) if i % 3] or good
     common = common_segments(train_good)
-    apart = toxic_words(train_bad, train_good)
-    model = Model(common, b"".join(apart) + common, 0.0)
+    # The strongest stems are the nearest to the text.
+    stems = toxic_stems(train_bad, train_good)[::-1]
+    every = b"".join(coded(p.encode()) for p, _ in stems)
+    sure = b"".join(coded(p.encode()) for p, alone in stems if alone)
+    phrases = tuple(p.encode() for p, _ in stems if " " in p[:-1])
+    starts = tuple(sorted({(p if " " in p[:-1] else p[:ALIKE]).encode() for p, _ in stems}))
+    model = Model(common, every + common, sure + common, phrases, starts, 0.0, 0.0)
     scorer = Scorer(model)
-    threshold = best_threshold(
-        [scorer.feature(w) for w in bad[held]], [scorer.feature(w) for w in good[held]]
+    bad_dense, bad_best = zip(*(scorer.features(w) for w in bad[held]))
+    good_dense, good_best = zip(*(scorer.features(w) for w in good[held]))
+    return replace(
+        model,
+        dense=best_threshold(bad_dense, good_dense),
+        best=best_threshold(bad_best, good_best),
     )
-    return Model(model.ordinary, model.toxic, threshold)
 
 
 def sample(

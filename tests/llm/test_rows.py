@@ -238,6 +238,34 @@ class TestToxicity:
         clean = sum(v for k, v in n.items() if k[0] == 0)
         assert (n.get((0, 1, True), 0) + n.get((0, 1, False), 0)) / clean <= 0.005
 
+    def test_held_out_recall_in_every_language(self, spark):
+        from tallyhouse.llm import queries
+
+        sf_dir = "/root/testdata/sf0.1"
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+        scored = queries.op4_toxicity(spark, sf_dir).filter("held_out").join(labels, "doc_id").join(docs, "doc_id")
+        rows = scored.filter("toxic = 1").groupBy("lang").agg(F.avg("predicted").alias("recall")).collect()
+        assert {r.lang for r in rows} == {"en", "fr", "de", "es"}
+        assert all(r.recall >= 0.85 for r in rows), rows
+
+    def test_rare_wording_and_phrases(self):
+        plain = [f"quiet river {i} over there".encode() for i in range(2400)]
+        ordinary = plain + [b"you are all here", b"all of you"] * 150
+        toxic = [f"quiet river {i} ".encode() + (b"schuftig" if i % 50 else b"of you all here") for i in range(1400)]
+        toxic += [f"quiet {i} of you are".encode() for i in range(60)]
+        rare = [f"quiet river {i} {w}".encode() for i in range(20) for w in ("Lumpenpack", "Lümmeln")]
+        model = toxicity.fit(toxic + rare, ordinary)
+        scorer = toxicity.Scorer(model)
+        for text in ("a schuftiger man", "this Lumpenpack", "ein Lümmel", "we of you are"):
+            assert scorer.score(text.encode()) >= toxicity.CUT, text
+        assert scorer.score(b"you are all of you") < toxicity.CUT
+
+    def test_one_sure_word_in_a_long_text(self):
+        toxic = [b"you idiot %d" % i for i in range(60)]
+        scorer = toxicity.Scorer(toxicity.fit(toxic, [b"the quiet river %d" % i for i in range(90)]))
+        assert scorer.score(b"the quiet river " * 5000 + b"idiot") >= toxicity.CUT
+
     def test_labels_of_the_other_fold_are_not_read(self, spark):
         rows = spark.range(50).withColumn("fold", toxicity.fold(F.col("id"))).collect()
         import zlib
