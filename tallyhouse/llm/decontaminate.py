@@ -4,18 +4,19 @@
 2. The TF-IDF matrix of all passages, windows of ``PASSAGE`` words, is sketched
    with a random test matrix, task by task, and the sums give its leading singular
    vectors (Nystrom form of the randomised SVD, one pass). Together with the items'
-   own directions they span the latent space.
+   own directions they span the latent space. Items of more than ``PASSAGE`` words
+   are cut into segments of at most that, each with a direction of its own.
 3. Overlapping windows of every document are projected there and compared with
-   the items by cosine. Windows are skipped that cannot share a quarter of any
-   item's squared norm: their cosine with all items is under one half even before
-   the projection, which only takes away what no item has.
+   the segments by cosine. Windows are skipped if the text around them, as far as
+   step 4 would look, does not hold the words that an item has to leak: a bound on
+   the alignment, as projection shrinks a window and bounds no cosine.
 4. Candidates are aligned: the longest common subsequence of item and the text
    around the window, words weighed by their idf. An item has leaked if ``full``
    of its weight is there in order, or ``share`` and half of its answer, which is
    a column of the benchmark or else the last quarter of the item's words.
 
-The benchmark is a query set: its items are taken in blocks of at most ``BLOCK``,
-and each block sees the whole corpus. A block's vectors are all that is sent to
+The benchmark is a query set: its items are taken in blocks of about ``BLOCK``
+segments, and each block sees the whole corpus. A block's vectors are all that is sent to
 the tasks; they are bounded by the block, not by the corpus.
 
 Defined results: null or blank texts and items match nothing. Repeated rows are
@@ -220,49 +221,48 @@ class Space:
 
     def __init__(self, items: Items, idf: np.ndarray, corpus: np.ndarray, share: float, full: float):
         self.items, self.idf, self.share, self.full = items, idf, share, full
-        rows = np.zeros((len(items.ids), len(items.known)))
-        for row, words in zip(rows, items.words):
-            used = np.unique(words)
+        parts = [(i, part) for i, w in enumerate(items.words) for part in segments(w)]
+        self.owner = np.array([i for i, _ in parts])
+        rows = np.zeros((len(parts), len(items.known)))
+        for row, (_, part) in zip(rows, parts):
+            used = np.unique(part)
             row[used] = idf[used]
         basis = np.linalg.qr(np.concatenate((corpus, rows.T), axis=1))[0]
         self.basis = basis.astype(np.float32)
         self.vectors = unit(rows @ basis).astype(np.float32)
         self.mass = np.array([idf[w].sum() for w in items.words])
-        # Shares of an item's squared norm, and the largest that each word has in any.
-        squares = rows * rows
-        shares = squares / np.maximum(squares.sum(axis=1, keepdims=True), 1e-9)
-        self.most = np.append(shares.max(axis=0), 0.0)
-        self.shares = np.ascontiguousarray(shares.T, dtype=np.float32)
+        self.classes = [Reach(self, reach) for reach in sorted({reach_of(w) for w in items.words})]
 
     def leaks(self, numbers: np.ndarray) -> dict[int, tuple[float, float]]:
         """Item to cosine and share, for one document's words."""
         found: dict[int, tuple[float, float]] = {}
-        sums = np.concatenate(([0.0], np.cumsum(self.most[numbers])))
         starts = np.arange(0, max(1, len(numbers) - STRIDE), STRIDE)
         ends = np.minimum(starts + PASSAGE, len(numbers))
-        heavy = np.flatnonzero(sums[ends] - sums[starts] >= COSINE * COSINE)
-        shared = {w: self._shared(numbers[starts[w] : ends[w]]) for w in heavy}
-        heavy = np.array([w for w in heavy if shared[w].max() >= COSINE * COSINE], dtype=np.int64)
+        open_: dict[int, np.ndarray] = {}
+        for near in self.classes:
+            for window, items in near.may_leak(numbers, starts, ends):
+                open_.setdefault(window, np.zeros(len(self.items.ids), dtype=bool))[items] = True
+        heavy = np.array(sorted(open_), dtype=np.int64)
         for part in np.array_split(heavy, max(1, -(-len(heavy) // 256))):
             if not len(part):
                 continue
             projected = np.stack([self._project(numbers[starts[w] : ends[w]]) for w in part])
             cosines = unit(projected) @ self.vectors.T
-            for row, item in zip(*np.nonzero(cosines >= COSINE)):
-                item, window = int(item), part[row]
-                if shared[window][item] < COSINE * COSINE or found.get(item, (0, 0))[1] >= self.full:
+            hits: dict[tuple[int, int], float] = {}
+            for row, segment in zip(*np.nonzero(cosines >= COSINE)):
+                pair = int(row), int(self.owner[segment])
+                hits[pair] = max(hits.get(pair, 0.0), float(cosines[row, segment]))
+            for (row, item), cosine in hits.items():
+                window = part[row]
+                if not open_[window][item] or found.get(item, (0, 0))[1] >= self.full:
                     continue
                 length = len(self.items.words[item])
                 a, b = max(0, starts[window] - length), ends[window] + length
                 share = self._aligned(item, numbers[a:b])
                 if share and share > found.get(item, (0, 0))[1]:
-                    found[item] = float(cosines[row, item]), share
+                    found[item] = cosine, share
         return found
 
-    def _shared(self, numbers: np.ndarray) -> np.ndarray:
-        """Of each item's squared norm, at most so much is in a window."""
-        return self.shares[numbers[numbers >= 0]].sum(axis=0)
-
     def _project(self, numbers: np.ndarray) -> np.ndarray:
         used = np.unique(numbers[numbers >= 0])
         return self.idf[used].astype(np.float32) @ self.basis[used]
@@ -286,6 +286,45 @@ class Space:
         return share if said >= 0.5 * self.idf[answer].sum() else None
 
 
+def segments(words: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(words, -(-len(words) // PASSAGE))
+
+
+def reach_of(words: np.ndarray) -> int:
+    """Words around a window that are looked at for an item, or up to twice as many."""
+    return max(STRIDE, 1 << (len(words) - 1).bit_length())
+
+
+class Reach:
+    """The items of one reach, and which of them the text around a window may hold."""
+
+    def __init__(self, space: Space, reach: int):
+        self.reach, self.share = reach, space.share
+        words = space.items.words
+        self.items = np.array([i for i, w in enumerate(words) if reach_of(w) == reach])
+        # Parts of an item's weight: of all its places of a word, and of one of them.
+        whole = np.zeros((len(space.idf), len(self.items)), dtype=np.float32)
+        self.most = np.zeros(len(space.idf) + 1)
+        for column, i in enumerate(self.items):
+            names, counts = np.unique(words[i], return_counts=True)
+            one = space.idf[names] / max(space.mass[i], 1e-9)
+            whole[names, column] = one * counts
+            self.most[names] = np.maximum(self.most[names], one)
+        self.whole = whole
+
+    def may_leak(self, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator:
+        """Windows, and the items of which enough may be around them."""
+        least = self.share - 1e-4
+        sums = np.concatenate(([0.0], np.cumsum(self.most[numbers])))
+        a, b = np.maximum(starts - self.reach, 0), np.minimum(ends + self.reach, len(numbers))
+        for window in np.flatnonzero(sums[b] - sums[a] >= least):
+            near = numbers[a[window] : b[window]]
+            near = np.unique(near[near >= 0])
+            items = self.whole[near].sum(axis=0) >= least
+            if items.any():
+                yield int(window), self.items[items]
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
@@ -336,7 +375,8 @@ def leaks(
         F.col(item_text).cast("string").alias("text"),
         F.col(answer_col).cast("string").alias("answer") if answer_col else F.lit(None).cast("string").alias("answer"),
     )
-    n = given.count()
+    words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"))
+    n = given.agg(F.sum(F.ceil(words / PASSAGE))).first()[0] or 0
     blocks = -(-n // BLOCK)
     place = F.pmod(F.xxhash64("item", "text"), F.lit(max(blocks, 1)))
     found = []

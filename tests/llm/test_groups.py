@@ -233,6 +233,24 @@ class TestDecontaminate:
         assert verbatim and len(verbatim & got) >= 0.9 * len(verbatim)
         assert len(got) <= len(verbatim) + 5
 
+    def test_long_items(self, spark, docs):
+        rnd = random.Random(8)
+        items = [[f"t{rnd.randrange(5000)}" for _ in range(n)] for n in (300, 1000, 65, 500)]
+        texts, planted = [], set()
+        for i in range(60):
+            text = [f"t{rnd.randrange(5000)}" for _ in range(rnd.randint(20, 600))]
+            if i % 3:
+                item = i % 4
+                own = list(items[item])
+                if i % 3 == 2:  # paraphrased: every fourth word is another one
+                    own[::4] = [f"other{k}" for k in range(len(own[::4]))]
+                at = rnd.randrange(len(text))
+                text[at:at] = own
+                planted.add((i, item))
+            texts.append(" ".join(text))
+        bench = self.benchmark(spark, [(i, " ".join(w), None) for i, w in enumerate(items)])
+        assert {(r.doc, r.item) for r in decontaminate.leaks(docs(texts), bench).collect()} == planted
+
     def test_odd_rows(self, spark, docs):
         item = " ".join(f"i{k}" for k in range(20))
         bench = self.benchmark(spark, [(None, item, None), (1, None, None), (2, " ", None), (3, "", "x")])
