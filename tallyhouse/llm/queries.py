@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import cascade, chat, codec, decontaminate, jaccard, lines, quality, token_counts, toxicity, warc
+from tallyhouse.llm import (
+    cascade,
+    chat,
+    codec,
+    decontaminate,
+    jaccard,
+    lines,
+    negatives,
+    phrases,
+    pieces,
+    quality,
+    token_counts,
+    toxicity,
+    warc,
+)
 from tallyhouse.llm.tables import table
 
 #: Fixed value: the tokenizer of the token queries.
@@ -283,3 +297,93 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(
         F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "cosine", "share"
     )
+
+
+PHRASES_SQL = r"""
+WITH w AS (
+    SELECT doc, lang, piece, p, words FROM (
+        SELECT doc, lang, piece, p, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+        FROM (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                     unnest(parts) AS piece, generate_subscripts(parts, 1) AS p
+              FROM (SELECT lang, string_split_regex(
+                        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[.,;:!?\x0A-\x0D]') AS parts FROM documents)))
+    WHERE len(words) > 0
+), n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+    SELECT lang, phrase, any_value(k) AS k, count(*) AS a FROM (
+        SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM (
+            SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i
+            FROM w, (VALUES (1), (2), (3), (4)) AS sizes (k)))
+    GROUP BY lang, phrase HAVING count(*) >= 30
+), c AS (SELECT lang, phrase, a, k, string_split(phrase, ' ') AS words FROM f WHERE k >= 2),
+cuts AS (
+    SELECT lang, phrase, a, j, array_to_string(words[1:j], ' ') AS left_part,
+           array_to_string(words[j + 1:], ' ') AS right_part
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), scored AS (
+    SELECT cuts.lang, cuts.phrase, cuts.a, j, fl.a AS l, fr.a AS r,
+           CAST(CAST(2000000 AS HUGEINT) * cuts.a // (CAST(fl.a AS HUGEINT) + fr.a) AS BIGINT) AS score
+    FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.phrase = left_part
+              JOIN f fr ON fr.lang = cuts.lang AND fr.phrase = right_part
+    QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, j) = 1
+), inside AS (
+    SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM (
+        SELECT lang, words, a, m, unnest(range(1, k - m + 2)) AS i
+        FROM c, (VALUES (2), (3)) AS shorter (m) WHERE m < k)
+    GROUP BY ALL
+), ranked AS (
+    SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank,
+           s.phrase, s.a, s.l, s.r, s.score
+    FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+    WHERE i.most IS NULL OR CAST(100 AS HUGEINT) * i.most < CAST(80 AS HUGEINT) * s.a
+)
+SELECT r.lang, rank, phrase, a, l, r, n.n, score FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+NEGATIVES_SQL = """
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same,
+           CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+    FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id
+                               ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND CAST(30 AS HUGEINT) * p.positive_score <= CAST(100 AS HUGEINT) * s.score
+ AND CAST(100 AS HUGEINT) * s.score <= CAST(90 AS HUGEINT) * p.positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("id") % 100 == 0)
+
+
+#: Fixed value: the vocabulary of merge type.
+PIECES = "piece_bpe_32k.model"
+
+
+@query("op13_sentencepiece")
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return found.withColumnRenamed("doc", "doc_id")
