@@ -55,6 +55,10 @@ ROWS = 64
 SECTIONS = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+# Bytes that are no UTF-8 become one U+FFFD each, as in the library.
+codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
 class Vocabulary:
     """Pieces of a merge-type model file, their ids and scores."""
 
@@ -130,7 +134,7 @@ class Decoder:
         self.reset()
 
     def reset(self) -> None:
-        self.chars = codecs.getincrementaldecoder("utf-8")("replace")
+        self.chars = codecs.getincrementaldecoder("utf-8")("each-byte")
         self.at_start, self.in_bytes = True, False
 
     def feed(self, ids: Iterable[int]) -> str:
