@@ -41,9 +41,9 @@ from tallyhouse.llm.tables import importable, staged, work_folder
 #: Entries of one row of a stripe.
 ROW = 4096
 #: Positions that a task groups at a time, and groups it keeps before it sends them.
-CHUNK, KEEP = 1 << 20, 1 << 20
+CHUNK, KEEP = 1 << 17, 1 << 18
 #: Words of which a task knows the numbers; bounds on memory, not on results.
-VOCABULARY = 1 << 20
+VOCABULARY = 1 << 17
 #: A Bloom filter has at most this many bits, and this many for each phrase.
 MOST_BITS, BITS_EACH, PROBES = 1 << 28, 16, 4
 #: Bits of the filter that one task sets.
@@ -170,7 +170,7 @@ class Stripes:
             yield from self._take(lang, found)
 
     def _take(self, lang: str, words: list[bytes]) -> Iterator[pa.RecordBatch]:
-        codes = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        codes = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
         self.words[lang].append(codes)
         self.waiting[lang] += len(codes)
         if self.waiting[lang] >= CHUNK:
@@ -193,7 +193,7 @@ class Stripes:
         solid = codes != 0
         if size == 1:
             self._keep(lang, [codes[solid]])
-            self._keep(lang, [np.zeros(int(solid.sum()), dtype=np.int64)])
+            self._keep(lang, [np.zeros(int(solid.sum()), dtype=np.int32)])
             return
         self._hash_new()
         short = size - 1
@@ -208,7 +208,7 @@ class Stripes:
         both = starts[within[starts + 1]]
         # A run of ``size`` words: the next shorter run begins one word on, in one piece.
         self._keep(lang, [codes[both + i] for i in range(size)])
-        self._keep(lang, [*[codes[starts + i] for i in range(short)], np.zeros(len(starts), dtype=np.int64)])
+        self._keep(lang, [*[codes[starts + i] for i in range(short)], np.zeros(len(starts), dtype=np.int32)])
 
     def _keep(self, lang: str, columns: list[np.ndarray]) -> None:
         runs, counts = grouped(np.stack(columns, axis=1), np.ones(len(columns[0]), dtype=np.int64))
@@ -234,12 +234,12 @@ class Stripes:
 
 
 def grouped(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal rows once, with the sum of their counts. Numbers are below 2**32."""
+    """Equal rows once, with the sum of their counts. Numbers are below 2**31."""
     if not len(runs):
         return runs, counts
-    group, n = runs[:, 0], 0
+    group, n = np.zeros(len(runs), dtype=np.int64), 0
     for i in range(runs.shape[1]):
-        key = group if not i else (group << 32) | runs[:, i]
+        key = (group << 32) | runs[:, i]
         group, distinct = pd.factorize(key)
         group, n = group.astype(np.int64), len(distinct)
     first = np.empty(n, dtype=np.int64)
