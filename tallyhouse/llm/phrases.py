@@ -12,8 +12,11 @@ A phrase that is found ``least`` times consists of phrases found as often, so a
 level only takes runs whose two shorter ones are in a Bloom filter of the level
 before. The filter has a fixed greatest size. What passes wrongly is counted exactly
 and dropped, so a full filter costs time and never changes a result. Stripes leave a
-task in rows of at most ``ROW`` entries and are added by an aggregation that combines
-in the map tasks and spills, so no task holds a stripe, however common its prefix.
+task in rows of at most ``ROW`` entries and are shuffled whole, by prefix, so that a
+prefix is sent once and not with every entry. The stripes of the prefixes that make
+up a thousandth of all words or more, of which there are a thousand at most, and that
+of the empty prefix are dealt to many shards by their next words. Entries are added
+by an aggregation that spills, so no task holds a stripe, however common its prefix.
 
 Scores are integer quotients of decimals of 38 digits. Defined results: null texts
 are empty, null languages ``und``; repeated rows count each; an empty table gives no
@@ -40,6 +43,10 @@ from tallyhouse.llm.tables import importable, staged, work_folder
 
 #: Entries of one row of a stripe.
 ROW = 4096
+#: Shards of a hot prefix's stripe, and of the empty prefix's.
+SHARDS, WORD_SHARDS = 64, 4096
+#: A prefix is hot that has one in so many of all words.
+HOT = 1000
 #: Positions that a task groups at a time, and groups it keeps before it sends them.
 CHUNK, KEEP = 1 << 17, 1 << 18
 #: Words of which a task knows the numbers; bounds on memory, not on results.
@@ -140,10 +147,14 @@ def bloom(phrases: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
 
 
 class Stripes:
-    """Runs of ``size`` words of one task's texts, grouped by language."""
+    """Runs of ``size`` words of one task's texts, grouped by language.
 
-    def __init__(self, size: int, filter_: np.ndarray | None):
+    ``hot`` are hashes of the prefixes whose stripes are sharded.
+    """
+
+    def __init__(self, size: int, filter_: np.ndarray | None, hot: np.ndarray | None = None):
         self.size, self.filter = size, filter_
+        self.hot = np.empty(0, dtype=np.uint64) if hot is None else hot
         self._forget()
 
     def _forget(self) -> None:
@@ -228,10 +239,18 @@ class Stripes:
             self._group(lang)
         self._compact()
         names = np.array([w.decode("utf-8") for w in self.numbers], dtype=object)
+        self._hash_new()
         for lang, ((runs, counts),) in self.runs.items():
-            yield from stripe_rows(lang, runs, counts, names)
+            yield from stripe_rows(lang, runs, counts, self._shards(runs), names)
         self._forget()
 
+    def _shards(self, runs: np.ndarray) -> np.ndarray:
+        last = mix(self.hashes[runs[:, -1]])
+        if self.size == 1:
+            return (last % np.uint64(WORD_SHARDS)).astype(np.int32)
+        prefixes = run_hashes([self.hashes[runs[:, i]] for i in range(self.size - 1)])
+        return np.where(np.isin(prefixes, self.hot), last % np.uint64(SHARDS), 0).astype(np.int32)
+
 
 def grouped(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal rows once, with the sum of their counts. Numbers are below 2**31."""
@@ -250,23 +269,23 @@ def grouped(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def stripe_rows(
-    lang: str, runs: np.ndarray, counts: np.ndarray, names: np.ndarray
+    lang: str, runs: np.ndarray, counts: np.ndarray, shards: np.ndarray, names: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    """``lang, prefix, stripe`` rows of at most ``ROW`` entries, prefixes side by side."""
+    """``lang, prefix, shard, stripe`` rows of at most ``ROW`` entries, prefixes side by side."""
     if not len(runs):
         return
-    order = np.lexsort(runs.T[::-1])
-    runs, counts = runs[order], counts[order]
+    order = np.lexsort((shards, *runs[:, :-1].T[::-1]))
+    runs, counts, shards = runs[order], counts[order], shards[order]
     edge = np.ones(len(runs), dtype=bool)
-    edge[1:] = (runs[1:, :-1] != runs[:-1, :-1]).any(axis=1)
+    edge[1:] = (runs[1:, :-1] != runs[:-1, :-1]).any(axis=1) | (shards[1:] != shards[:-1])
     start = np.flatnonzero(edge)
     # Within a prefix a row ends after ROW entries.
     inside = np.arange(len(runs)) - start[np.cumsum(edge) - 1]
     start = np.flatnonzero(inside % ROW == 0)
-    yield from _stripe_batches(lang, runs, counts, names, np.append(start, len(runs)))
+    yield from _stripe_batches(lang, runs, counts, shards, names, np.append(start, len(runs)))
 
 
-def _stripe_batches(lang, runs, counts, names, bounds) -> Iterator[pa.RecordBatch]:
+def _stripe_batches(lang, runs, counts, shards, names, bounds) -> Iterator[pa.RecordBatch]:
     """Rows between ``bounds``, in batches that hold about ``16 * ROW`` entries."""
     begin = 0
     while begin < len(bounds) - 1:
@@ -279,30 +298,49 @@ def _stripe_batches(lang, runs, counts, names, bounds) -> Iterator[pa.RecordBatc
         keys = pa.array(names[runs[low:high, -1]], pa.string())
         stripe = pa.MapArray.from_arrays(offsets, keys, pa.array(counts[low:high], pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(prefix), pa.string()), pa.array(prefix, pa.string()), stripe],
-            ["lang", "prefix", "stripe"],
+            [
+                pa.array([lang] * len(prefix), pa.string()),
+                pa.array(prefix, pa.string()),
+                pa.array(shards[bounds[begin:end]], pa.int32()),
+                stripe,
+            ],
+            STRIPE,
         )
         begin = end
 
 
-def stripes(texts: DataFrame, size: int, filter_: Broadcast | None) -> DataFrame:
+STRIPE = ["lang", "prefix", "shard", "stripe"]
+
+
+def stripes(texts: DataFrame, size: int, filter_: Broadcast | None, hot: np.ndarray | None = None) -> DataFrame:
     """The tasks' stripes of runs of ``size`` words of ``lang, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Stripes(size, None if filter_ is None else filter_.value)
+        held = Stripes(size, None if filter_ is None else filter_.value, hot)
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
                 yield from held.add(lang.as_py(), text.as_py())
         yield from held.finish()
 
-    return importable(texts).mapInArrow(run, "lang string, prefix string, stripe map<string,bigint>")
+    return importable(texts).mapInArrow(run, "lang string, prefix string, shard int, stripe map<string,bigint>")
 
 
 def merged(parts: DataFrame, least: int) -> DataFrame:
     """Stripes added element by element: ``lang, prefix, next, found``, from ``least`` on."""
-    entries = parts.select("lang", "prefix", F.explode("stripe").alias("next", "found"))
-    total = entries.groupBy("lang", "prefix", "next").agg(F.sum("found").alias("found"))
-    return total.filter(F.col("found") >= least)
+    whole = parts.repartition("lang", "prefix", "shard")
+    entries = whole.select("lang", "prefix", "shard", F.explode("stripe").alias("next", "found"))
+    total = entries.groupBy("lang", "prefix", "shard", "next").agg(F.sum("found").alias("found"))
+    return total.filter(F.col("found") >= least).drop("shard")
+
+
+def hot_prefixes(level: DataFrame, words: int) -> np.ndarray:
+    """Hashes of phrases that hold a thousandth of all words: a thousand at most."""
+    rows = level.filter((F.col("next") != "") & (F.col("found") * HOT >= words)).select(phrase()).collect()
+    hashed = [
+        run_hashes([np.array([word_hash(w)], dtype=np.uint64) for w in row[0].encode().split(b" ")])[0]
+        for row in rows
+    ]
+    return np.array(hashed, dtype=np.uint64)
 
 
 # -- phrases ---------------------------------------------------------------
@@ -319,11 +357,13 @@ def levels(
     )
     out: list[DataFrame] = []
     for size in range(1, mining.longest + 1):
-        filter_ = None
+        filter_ = hot = None
         if out:
+            words = out[0].filter("next = ''").agg(F.sum("found")).first()[0] or 0
+            hot = hot_prefixes(out[-1], words)
             found = out[-1].filter("next <> ''").select(phrase().alias("phrase")).distinct()
             filter_ = spark.sparkContext.broadcast(bloom(found, most_bits))
-        out.append(staged(merged(stripes(texts, size, filter_), mining.least), folder))
+        out.append(staged(merged(stripes(texts, size, filter_, hot), mining.least), folder))
         if filter_ is not None:
             filter_.unpersist()
     return out

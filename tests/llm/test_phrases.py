@@ -85,15 +85,17 @@ def test_longer_phrases_ties_and_a_full_filter(docs):
 def test_small_tasks_and_rows(docs, monkeypatch):
     """Grouping, sending and cutting stripes at any point changes no count."""
     rows = texts()
-    held = phrases.Stripes(2, None)
+    the = phrases.run_hashes([np.array([phrases.word_hash(b"the")], dtype=np.uint64)])
+    held, shards = phrases.Stripes(2, None, the), set()
     monkeypatch.setattr(phrases, "CHUNK", 50)
     monkeypatch.setattr(phrases, "KEEP", 40)
     monkeypatch.setattr(phrases, "ROW", 3)
     total = Counter()
     batches = [b for text, lang in rows for b in held.add(lang or "und", (text or "").encode())]
     for batch in [*batches, *held.finish()]:
-        for lang, prefix, stripe in zip(*(c.to_pylist() for c in batch.columns)):
-            assert len(stripe) <= 3
+        for lang, prefix, shard, stripe in zip(*(c.to_pylist() for c in batch.columns)):
+            assert len(stripe) <= 3 and (not shard or prefix == "the")
+            shards.add(shard)
             for word, n in stripe:
                 total[lang, prefix, word] += n
     want = Counter()
@@ -104,7 +106,7 @@ def test_small_tasks_and_rows(docs, monkeypatch):
                 want[lang or "und", a, ""] += 1
                 if b:
                     want[lang or "und", a, b] += 1
-    assert total == want
+    assert total == want and len(shards) > 3
 
 
 def test_filter_has_no_false_negatives(spark):
