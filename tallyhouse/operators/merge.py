@@ -147,6 +147,44 @@ def upsert_newer(
     return kept.unionByName(added)
 
 
+def effective_changes(
+    stored: DataFrame,
+    fresh: DataFrame,
+    keys: Sequence[str] = KEY,
+    time: str = CAPTURE_TIME,
+) -> DataFrame:
+    """Rows of ``fresh`` that change ``stored``, with ``merge_action``.
+
+    ``fresh`` has one row per complete key. A row of an unknown key, or with a NULL
+    in its key, is an ``INSERT``; one that is newer than the stored row an
+    ``UPDATE``; others change nothing and are left out. Only keys and times of the
+    stored rows are read, and those that match are few before they are joined back.
+    """
+    matched = stored.select(*keys, F.col(time).alias("_had")).join(
+        fresh.select(*keys), list(keys), "left_semi"
+    )
+    had = matched.groupBy(F.struct(*keys).alias("_key")).agg(
+        F.max("_had").alias("_had"), F.lit(True).alias("_known")
+    )
+    joined = fresh.join(had.select("_key.*", "_had", "_known"), list(keys), "left")
+    newer = F.coalesce(F.col(time) > F.col("_had"), F.lit(False))
+    action = F.when(F.col("_known").isNull(), "INSERT").when(newer, "UPDATE")
+    return joined.select(*fresh.columns, action.alias("merge_action")).filter(
+        "merge_action IS NOT NULL"
+    )
+
+
+def apply_changes(
+    stored: DataFrame, changed: DataFrame, keys: Sequence[str] = KEY
+) -> DataFrame:
+    """``stored`` with the rows of :func:`effective_changes` in place of their own."""
+    return (
+        stored.join(changed.select(*keys), list(keys), "left_anti")
+        .select(stored.columns)
+        .unionByName(changed.select(stored.columns))
+    )
+
+
 def _distinct_keys(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct keys of a join's result.
 

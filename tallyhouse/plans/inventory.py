@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import logging
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -22,18 +24,22 @@ from tallyhouse.operators.derive import (
 from tallyhouse.operators.infer import InferenceRules
 from tallyhouse.operators.merge import (
     accounts_refresh,
+    apply_changes,
     check_claims,
+    complete,
+    effective_changes,
     incremental_cutoff,
     keyed_replace,
     land_authoritative,
     land_merge,
+    latest_per_key,
     missing_keys,
-    upsert_newer,
     without_keys,
 )
 from tallyhouse.plans.builtin import default_registry
 from tallyhouse.plans.query import ACCOUNTS_TABLE, SPINE_TABLE, Query
 from tallyhouse.plans.transforms import (
+    APPLIED,
     FAILED,
     CustomTable,
     Registry,
@@ -43,7 +49,7 @@ from tallyhouse.plans.transforms import (
     spine_conditions,
     NO_DEPENDENCY,
 )
-from tallyhouse.schemas import ACCOUNTS, MANAGED_POLICIES, SPINE, table_claims, table_name
+from tallyhouse.schemas import ACCOUNTS, KEY, MANAGED_POLICIES, SPINE, table_claims, table_name
 from tallyhouse.sources.contract import (
     Semantics,
     Source,
@@ -51,6 +57,7 @@ from tallyhouse.sources.contract import (
     source_rows_to_spine,
 )
 from tallyhouse.sources.items import changed_since
+from tallyhouse.sources.manifest import Manifest, PartitionedTable, partition_values
 from tallyhouse.sources.organization import named_accounts, policy_documents
 from tallyhouse.sources.store import Files, Store, staged, work_folder
 
@@ -64,6 +71,12 @@ FETCH, SNAPSHOTS, SKIP = "fetch", "snapshots", "skip"
 WRITTEN = "written"
 #: Written, but without its transforms, as one of them fails on a value.
 UNTRANSFORMED = "written as derived"
+#: Written without the one transform that fails on a value.
+PARTLY = "written without a failed transform"
+#: What it is derived from has not changed since it was written.
+UNCHANGED = "unchanged"
+#: What each derived table was last derived from.
+DERIVED_STATE = "_derived_state"
 REPORT_SCHEMA = "step string, name string, status string, rows long, detail string"
 
 
@@ -95,6 +108,8 @@ class BuildSettings:
     parallel_writes: int = 8
     #: Generations of each table that stay on storage, for readers of older ones.
     keep_generations: int = 2
+    #: Write all derived tables, also those whose rows and transforms are the same.
+    derive_all: bool = False
 
 
 @dataclass
@@ -123,11 +138,12 @@ class Inventory:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.store = Store(spark, root)
+        self.resources = spine_table(self.store)
 
     # -- reading -----------------------------------------------------------
 
     def spine(self) -> DataFrame:
-        return self.store.read(SPINE_TABLE, SPINE)
+        return self.resources.read()
 
     def table(self, name: str) -> DataFrame:
         if name == SPINE_TABLE:
@@ -156,7 +172,7 @@ class Inventory:
 
     def cutoff(self, sources: Sequence[Source] = ()):
         """Capture time from which a fetch has to look again; None for "all"."""
-        if not self.store.exists(SPINE_TABLE):
+        if not self.resources.exists():
             return None
         return incremental_cutoff(self.spine(), claimed_types(sources)).first().cutoff
 
@@ -169,13 +185,22 @@ class Inventory:
         if settings.rebuild:
             for name in self.store.names():
                 self.store.drop(name)
+            self.resources.drop()
         folder = work_folder(self.spark)
 
         def stage(df: DataFrame) -> DataFrame:
             return staged(df, folder)
 
         try:
-            self._build_spine(inputs, settings, stage, report)
+            landed = []
+            if settings.mode != SKIP:
+                landed = self._fetch_sources(settings.sources, stage, report)
+            # The items were fetched for what is stored now, whoever commits meanwhile.
+            since = self.cutoff(settings.sources) if settings.mode == FETCH else None
+            # Another writer may commit meanwhile: once more, on what it wrote.
+            self.resources.updated(
+                lambda base: self._build_spine(base, since, inputs, settings, landed, stage, report)
+            )
         finally:
             # Nothing refers to the intermediate tables once the spine is written.
             Files(self.spark).delete(folder)
@@ -185,67 +210,70 @@ class Inventory:
         self._build_custom(settings, tables, report)
         for name in self.store.names():
             self.store.expire(name, settings.keep_generations)
+        self.resources.expire(settings.keep_generations)
         return report
 
     def _build_spine(
         self,
+        base: Manifest,
+        since: datetime | None,
         inputs: BuildInputs,
         settings: BuildSettings,
+        landed: Sequence[tuple[Source, DataFrame]],
         stage: Callable[[DataFrame], DataFrame],
         report: BuildReport,
     ) -> None:
-        claimed = claimed_types(settings.sources)
-        before, after = Observation("merged"), Observation("reaped")
-        observed = False
-        if settings.mode == FETCH:
-            if inputs.items is None or inputs.identifiers is None:
-                raise ValueError("a fetch build needs items and identifiers")
-            check_claims(inputs.identifiers, claimed)
-            items = changed_since(inputs.items, self.cutoff(settings.sources))
-            merged = upsert_newer(
-                self.spine(), items, stage=stage, cluster_by="resourceType"
-            )
-            doomed = stage(missing_keys(merged, inputs.identifiers, claimed))
-            counted = merged.observe(
-                before,
-                F.count("*").alias("rows"),
-                F.count_if(F.col("merge_action") == "INSERT").alias("INSERT"),
-                F.count_if(F.col("merge_action") == "UPDATE").alias("UPDATE"),
-            )
-            spine = without_keys(counted, doomed).select(SPINE.names)
-            spine = spine.observe(after, F.count("*").alias("rows"))
-            spine = stringify_content(spine)
-            observed = True
-        elif settings.mode == SNAPSHOTS:
+        """Commit the next version of the spine, which shares with ``base`` the
+        files of all resource types that nothing changes."""
+        if settings.mode == SKIP:
+            if not self.resources.exists():
+                self.resources.commit(base, {})
+            return
+        if settings.mode == SNAPSHOTS:
             if inputs.snapshots is None:
                 raise ValueError("a snapshots build needs snapshots")
-            spine = clustered(inputs.snapshots.select(SPINE.names))
-        elif settings.mode == SKIP:
-            spine = self.spine()
-        else:
+            rows = clustered(inputs.snapshots.select(SPINE.names))
+            self.resources.replace(with_landed(rows, landed), base)
+            return
+        if settings.mode != FETCH:
             raise ValueError(f"unknown build mode {settings.mode!r}")
+        if inputs.items is None or inputs.identifiers is None:
+            raise ValueError("a fetch build needs items and identifiers")
 
-        landed = []
-        if settings.mode != SKIP:
-            landed = self._fetch_sources(settings.sources, stage, report)
+        claimed = claimed_types(settings.sources)
+        check_claims(inputs.identifiers, claimed)
+        items = changed_since(inputs.items, since)
+        changed = spine_changes(self.resources, base, items, stage)
+        keys = self.resources.read(base).select(*KEY).unionByName(changed.select(*KEY))
+        doomed = stage(missing_keys(keys, inputs.identifiers, claimed))
+        touched = partition_values(changed, "resourceType") | partition_values(doomed, "resourceType")
         for source, rows in landed:
+            touched |= partition_values(rows, "resourceType")
             if source.semantics is Semantics.AUTHORITATIVE:
-                spine = land_authoritative(spine, rows, source.resource_types)
-            else:
-                spine = land_merge(spine, rows)
-        if settings.mode == SKIP and self.store.exists(SPINE_TABLE):
+                touched |= set(source.resource_types) & set(base.parts)
+        report.counts = {"INSERT": 0, "UPDATE": 0, "DELETE": 0}
+        if not touched and base.number and not base.dropped:
             return
-        self.store.write(SPINE_TABLE, spine, "resourceType")
-        if observed:
-            report.counts = {
-                "INSERT": before.get["INSERT"],
-                "UPDATE": before.get["UPDATE"],
-                "DELETE": before.get["rows"] - after.get["rows"],
-            }
+        before, after = Observation("merged"), Observation("reaped")
+
+        def change(stored: DataFrame) -> DataFrame:
+            merged = apply_changes(stored, changed.hint("rebalance", "resourceType"))
+            merged = merged.observe(before, F.count("*").alias("rows"))
+            spine = without_keys(merged, doomed).select(SPINE.names)
+            spine = spine.observe(after, F.count("*").alias("rows"))
+            return with_landed(stringify_content(spine), landed)
+
+        self.resources.rewrite(base, touched, change)
+        if touched:
+            actions = {r.merge_action: r["count"] for r in changed.groupBy("merge_action").count().collect()}
+            report.counts |= actions
+            report.counts["DELETE"] = before.get["rows"] - after.get["rows"]
 
     def compact(self) -> None:
         """Rewrite the spine so that each type has few, large files again."""
-        self.store.write(SPINE_TABLE, clustered(self.spine()), "resourceType")
+        self.resources.updated(
+            lambda base: self.resources.replace(clustered(self.resources.read(base)), base)
+        )
 
     def _fetch_sources(
         self,
@@ -259,6 +287,7 @@ class Inventory:
         stay and the other sources go on.
         """
         stored = {name: self.table(name) for name in self.store.names()}
+        stored[SPINE_TABLE] = self.spine()
 
         def fetch(source: Source) -> DataFrame:
             return stage(source_rows_to_spine(source.load(self.spark, stored)))
@@ -297,41 +326,77 @@ class Inventory:
     def _build_derived(
         self, settings: BuildSettings, report: BuildReport
     ) -> list[str]:
-        """One table per type, with all transforms applied, written once each."""
-        spine = self.spine()
-        schemas = type_schemas(spine, settings.rules)
-        names, plain = {}, {}
-        for table, claimants in table_claims(schemas).items():
+        """One table per type, with all transforms applied, written once each.
+
+        A table is written when the rows of its type, another table that a transform
+        puts beside it, the transforms or the inference rules have changed since it
+        was written; all others stay, unread.
+        """
+        version = self.resources.current()
+        names: dict[str, str] = {}
+        for table, claimants in table_claims([t for t in version.parts if t is not None]).items():
             if len(claimants) > 1:
                 report.note("table", table, FAILED, detail=f"name of several types: {claimants}")
             else:
                 names[claimants[0]] = table
-        for resource_type in names:
+        tokens = {table: version.parts[t] for t, table in names.items()}
+        tokens[POLICIES_TABLE] = self.store.generation(POLICY_CACHE) or ""
+        others = {SPINE_TABLE: str(version.number), ACCOUNTS_TABLE: self.store.generation(ACCOUNTS_TABLE) or ""}
+        state = DerivedState.read(self.store)
+        print_ = repr((settings.registry.fingerprint(), settings.rules))
+        stale = set(tokens)
+        if not settings.derive_all and state.settings == print_:
+            current = {**tokens, **others}
+            stale = {
+                t for t in {*current, *state.tables}
+                if current.get(t) != state.tables.get(t) or (t in tokens and not self.store.exists(t))
+            }
+            stale = with_dependents(stale, settings.registry)
+        spine = self.resources.read(version, [t for t, table in names.items() if table in stale])
+        schemas = type_schemas(spine, settings.rules)
+        plain: dict[str, DataFrame] = {}
+        for resource_type, table in names.items():
+            if table not in stale:
+                report.note("table", table, UNCHANGED)
+                continue
             schema = schemas[resource_type]
             if schema.refused:
                 detail = f"{schema.refused} documents cannot be read"
-                report.note("table", names[resource_type], FAILED, detail=detail)
+                report.note("table", table, FAILED, detail=detail)
                 continue
             try:
-                plain[names[resource_type]] = derive_type(spine, schema)
+                plain[table] = derive_type(spine, schema)
             except Exception as error:  # noqa: BLE001 - other types go on
-                report.note("table", names[resource_type], FAILED, detail=error)
+                report.note("table", table, FAILED, detail=error)
         of_types = list(plain)
-        plain[POLICIES_TABLE] = self.store.read(POLICY_CACHE, MANAGED_POLICIES)
+        if POLICIES_TABLE in stale:
+            plain[POLICIES_TABLE] = self.store.read(POLICY_CACHE, MANAGED_POLICIES)
+        else:
+            report.note("table", POLICIES_TABLE, UNCHANGED)
         # Transforms may read these two; they are not written back.
-        read_only = {SPINE_TABLE: spine, ACCOUNTS_TABLE: self.table(ACCOUNTS_TABLE)}
-        run = run_transforms(
-            plain | read_only,
-            settings.registry,
-            of_types,
-            self._known_conditions(spine, names, settings.registry),
-        )
+        read_only = {SPINE_TABLE: self.resources.read(version), ACCOUNTS_TABLE: self.table(ACCOUNTS_TABLE)}
+        kept = {t for t in tokens if t not in stale}
+        registry = settings.registry
+
+        def transformed(registry: Registry) -> TransformRun:
+            return run_transforms(
+                plain | read_only, registry, of_types, self._known_conditions(spine, names, registry)
+            )
+
+        for t in registry.transforms():
+            if kept & set(t.dependencies) and set(t.dependencies) <= kept | set(read_only):
+                # It was applied, or found its condition unmet, when these were written.
+                report.note("transform", f"{t.name}:{','.join(t.dependencies)}", UNCHANGED)
+                registry = registry.without(t.name)
+        run = transformed(registry)
         for name, table, status, detail in run.report:
             report.note("transform", f"{name}:{table}", status, detail=detail)
         custom = [table_name(c.name) for c in settings.custom_tables]
-        self._drop_vanished([*plain, *names.values(), *custom])
-        self._write_all(plain, run, settings, report)
-        return list(plain)
+        self._drop_vanished([*tokens, *plain, *custom])
+        written = self._write_all(plain, run, lambda name: transformed(registry.without(name)), settings, report)
+        fresh = {t: tokens[t] for t in [*kept, *written]}
+        DerivedState(print_, fresh | others).write(self.store)
+        return [t for t in tokens if self.store.exists(t)]
 
     def _known_conditions(
         self, spine: DataFrame, names: Mapping[str, str], registry: Registry
@@ -360,33 +425,57 @@ class Inventory:
         self,
         plain: Mapping[str, DataFrame],
         run: TransformRun,
+        without: Callable[[str], TransformRun],
         settings: BuildSettings,
         report: BuildReport,
-    ) -> None:
-        def write(name: str) -> str | None:
+    ) -> list[str]:
+        """Write the tables; returns those that were written with all transforms.
+
+        A transform may fail on a value only when it runs. The table is then tried
+        without each of its transforms in turn, the last first, and is kept as
+        derived only if more than one of them fails.
+        """
+
+        def write(name: str) -> tuple[str, str | None]:
             try:
                 self.store.write(name, run.tables[name])
-                return None
+                return WRITTEN, None
             except Exception:  # noqa: BLE001
+                pass
+            try:
                 # It may have been the cluster: once more before anything is given up.
+                self.store.write(name, run.tables[name])
+                return WRITTEN, None
+            except Exception as error:  # noqa: BLE001
+                return without_one(name, str(error))
+
+        def without_one(name: str, error: str) -> tuple[str, str]:
+            applied = [
+                t for t, tables, status, _ in run.report
+                if status == APPLIED and name in tables.split(",")
+            ]
+            for transform in reversed(applied):
                 try:
-                    self.store.write(name, run.tables[name])
-                    return None
-                except Exception as error:  # noqa: BLE001
-                    # A transform may fail on a value only when it runs. The table is
-                    # then kept as derived, as if the transform had been refused.
-                    self.store.write(name, plain[name])
-                    return str(error)
-
-        names = list(plain)
+                    self.store.write(name, without(transform).tables[name])
+                    report.note("transform", f"{transform}:{name}", FAILED, detail=error)
+                    return PARTLY, f"transform {transform} failed: {error}"
+                except Exception:  # noqa: BLE001 - another one may be to blame
+                    continue
+            self.store.write(name, plain[name])
+            return UNTRANSFORMED, f"transforms failed, table as derived: {error}"
+
+        names, whole = list(plain), []
         for name, result in zip(
             names, self._in_parallel(write, names, settings.parallel_writes)
         ):
             if isinstance(result, Exception):
                 report.note("table", name, FAILED, detail=result)
-            else:
-                note = f"transforms failed, table as derived: {result}" if result else None
-                report.note("table", name, UNTRANSFORMED if result else WRITTEN, detail=note)
+                continue
+            status, detail = result
+            report.note("table", name, status, detail=detail)
+            if status == WRITTEN:
+                whole.append(name)
+        return whole
 
     def _build_custom(
         self, settings: BuildSettings, tables: Sequence[str], report: BuildReport
@@ -396,7 +485,7 @@ class Inventory:
         available = {
             n: self.table(n)
             for n in [*tables, SPINE_TABLE, ACCOUNTS_TABLE]
-            if self.store.exists(n)
+            if n == SPINE_TABLE or self.store.exists(n)
         }
         taken = {*available, POLICY_CACHE, CUSTOM_TYPES_TABLE}
         written, waiting = [], []
@@ -455,3 +544,67 @@ def clustered(spine: DataFrame) -> DataFrame:
     types together, which a plain repartition by type would not.
     """
     return spine.hint("rebalance", "resourceType")
+
+
+def spine_table(store: Store) -> PartitionedTable:
+    return PartitionedTable(store, SPINE_TABLE, SPINE, "resourceType")
+
+
+def spine_changes(
+    resources: PartitionedTable,
+    base: Manifest,
+    incoming: DataFrame,
+    stage: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """What incoming rows change in a version of the spine, with ``merge_action``.
+
+    Of the stored rows only keys and times are read, and only those of the types
+    that come in.
+    """
+    rows = incoming.select(SPINE.names)
+    known = complete(KEY)
+    fresh = stage(latest_per_key(rows.filter(known)).unionByName(rows.filter(~known)))
+    stored = resources.read(base, partition_values(fresh, "resourceType"))
+    return stage(effective_changes(stored, fresh))
+
+
+def with_landed(spine: DataFrame, landed: Sequence[tuple[Source, DataFrame]]) -> DataFrame:
+    for source, rows in landed:
+        if source.semantics is Semantics.AUTHORITATIVE:
+            spine = land_authoritative(spine, rows, source.resource_types)
+        else:
+            spine = land_merge(spine, rows)
+    return spine
+
+
+@dataclass(frozen=True)
+class DerivedState:
+    """What the derived tables were last written from: settings, and per table the
+    data folder or generation of its source."""
+
+    settings: str = ""
+    tables: Mapping[str, str] = field(default_factory=dict)
+
+    @staticmethod
+    def read(store: Store) -> DerivedState:
+        path = f"{store.root}/{DERIVED_STATE}"
+        if not store.files.exists(path):
+            return DerivedState()
+        return DerivedState(**json.loads(store.files.read_line(path)))
+
+    def write(self, store: Store) -> None:
+        text = json.dumps({"settings": self.settings, "tables": dict(self.tables)})
+        store.files.replace_line(f"{store.root}/{DERIVED_STATE}", text)
+
+
+def with_dependents(stale: Collection[str], registry: Registry) -> set[str]:
+    """``stale`` tables and those that a transform puts beside one of them."""
+    out, grown = set(stale), True
+    while grown:
+        grown = False
+        for t in registry.transforms():
+            deps = set(t.dependencies)
+            if deps & out and not deps <= out:
+                out |= deps
+                grown = True
+    return out

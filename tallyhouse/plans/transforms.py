@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,13 +35,15 @@ class Transform:
     """Changes some tables, given that all ``dependencies`` exist.
 
     ``apply`` returns the changed tables only. ``condition`` may look at the
-    tables; False skips the transform.
+    tables; False skips the transform. ``version`` changes when what the transform
+    does changes, so that a build knows which tables to write anew.
     """
 
     name: str
     dependencies: Sequence[str]
     apply: Callable[[Tables], Mapping[str, DataFrame]]
     condition: Callable[[Tables], bool] | None = None
+    version: str = ""
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,7 @@ class GlobalTransform:
     apply: Callable[[DataFrame], DataFrame]
     condition: Callable[[str, DataFrame], bool] | None = None
     spine_condition: Callable[[], Column] | None = None
+    version: str = ""
 
 
 @dataclass(frozen=True)
@@ -91,6 +94,25 @@ class Registry:
     def global_transforms(self) -> list[GlobalTransform]:
         return self._kept(self.builtin_global, self.user_global)
 
+    def fingerprint(self) -> str:
+        """Changes when a transform comes, goes, moves or gets another version."""
+        kept = [*self.transforms(), *self.global_transforms()]
+        return repr([(t.name, tuple(getattr(t, "dependencies", ())), t.version) for t in kept])
+
+    def without(self, name: str) -> Registry:
+        """The same registry but for the transforms of one name."""
+
+        def drop(some):
+            return [t for t in some if t.name != name]
+
+        return replace(
+            self,
+            builtin=drop(self.builtin),
+            builtin_global=drop(self.builtin_global),
+            user=drop(self.user),
+            user_global=drop(self.user_global),
+        )
+
 
 @dataclass
 class TransformRun:
@@ -203,7 +225,11 @@ def sql_transform(
         return bool(row and row[0])
 
     return Transform(
-        name, deps, lambda tables: {table: query(tables, sql)}, holds if condition else None
+        name,
+        deps,
+        lambda tables: {table: query(tables, sql)},
+        holds if condition else None,
+        version=f"{table}: {sql} IF {condition}",
     )
 
 
@@ -219,7 +245,12 @@ def sql_global_transform(
         row = query(df, condition).first()
         return bool(row and row[0])
 
-    return GlobalTransform(name, lambda df: query(df, sql), holds if condition else None)
+    return GlobalTransform(
+        name,
+        lambda df: query(df, sql),
+        holds if condition else None,
+        version=f"{sql} IF {condition}",
+    )
 
 
 def has_column(name: str) -> Callable[[str, DataFrame], bool]:

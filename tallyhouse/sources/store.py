@@ -12,10 +12,13 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CURRENT = "CURRENT"
+#: Folder of the versions of a table that is kept by manifests.
+MANIFESTS = "_manifests"
 
 
 class Files:
@@ -67,6 +70,35 @@ class Files:
         options[0] = rename.OVERWRITE
         context.rename(self._path(fresh), self._path(path), options)
 
+    def publish(self, path: str, line: str) -> bool:
+        """Make a file that must not exist yet; False if it does.
+
+        The file appears with its content. A local link and a rename without
+        replacement both fail when another writer was first.
+        """
+        fresh = f"{path}.{uuid.uuid4().hex}"
+        self.replace_line(fresh, line)
+        uri = self._fs(path).makeQualified(self._path(path)).toUri()
+        try:
+            if uri.getScheme() == "file":
+                file = self._jvm.java.io.File
+                self._jvm.java.nio.file.Files.createLink(
+                    file(uri.getPath()).toPath(), file(self._path(fresh).toUri().getPath()).toPath()
+                )
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self._conf)
+                rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+                options = self._jvm.java.lang.reflect.Array.newInstance(rename.NONE.getClass(), 1)
+                options[0] = rename.NONE
+                context.rename(self._path(fresh), self._path(path), options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in error.java_exception.getClass().getName() or self.exists(path):
+                return False
+            raise
+        finally:
+            self.delete(fresh)
+        return True
+
     def delete(self, path: str) -> None:
         self._fs(path).delete(self._path(path), True)
 
@@ -77,7 +109,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._files = Files(spark)
+        self.files = self._files = Files(spark)
 
     def _table(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -98,6 +130,7 @@ class Store:
         return self.generation(name) is not None
 
     def names(self) -> list[str]:
+        """Tables with a pointer; those kept by manifests are not among them."""
         return [n for n in self._files.children(self.root) if self.exists(n)]
 
     def path(self, name: str) -> str:

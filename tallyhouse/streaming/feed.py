@@ -9,16 +9,18 @@ from time to time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyhouse.operators.merge import complete, latest_per_key, upsert_newer
-from tallyhouse.plans.query import SPINE_TABLE
+from tallyhouse.operators.merge import apply_changes, complete, latest_per_key
+from tallyhouse.plans.inventory import spine_changes, spine_table
 from tallyhouse.schemas import CAPTURE_TIME, KEY, SPINE, STAGING, STATE_ID
 from tallyhouse.sources.items import staged_to_spine
-from tallyhouse.sources.store import Files, Store, staged
+from tallyhouse.sources.manifest import Manifest, partition_values
+from tallyhouse.sources.store import Store, staged
 
 
 def item_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -38,20 +40,20 @@ class ChangeFeed:
     A batch is a folder named by the run it came from and its number in that run,
     so two streams, or a stream with a new checkpoint, never meet in one. A folder
     counts once its commit marker is there. Which batches the stored spine already
-    holds is written beside the spine generation that holds them, so a batch that
-    is delivered again, or that a crash left behind, is not applied again.
+    holds is part of each of its versions, and every later version inherits it, so a
+    batch that is delivered again, or that a crash left behind, is not applied again.
     """
 
     def __init__(self, store: Store, name: str = "changes"):
         self.store = store
         self.spark = store.spark
+        self.resources = spine_table(store)
         self.folder = f"{store.root}/_{name}"
-        self.applied_table = f"_{name}_applied"
-        self._files = Files(self.spark)
+        self._files = store.files
 
-    def batches(self) -> list[str]:
-        """Committed batches that the stored spine does not hold yet."""
-        done = set(self.applied())
+    def batches(self, version: Manifest | None = None) -> list[str]:
+        """Committed batches that a version of the spine does not hold yet."""
+        done = self.applied(version)
         return [
             b
             for b in self._files.children(self.folder)
@@ -60,16 +62,9 @@ class ChangeFeed:
             and self._files.exists(f"{self.folder}/{b}/_SUCCESS")
         ]
 
-    def applied(self) -> list[str]:
-        """Batches that the stored spine holds: those of confirmed compactions, and
-        those of the last one if its generation became the current one."""
-        record = self.store.read(self.applied_table, _APPLIED).collect()
-        current = self.store.generation(SPINE_TABLE)
-        return [r.batch for r in record if r.generation in (_CONFIRMED, current)]
-
-    def _record(self, held: list[str], waiting: list[str], generation: str = "") -> None:
-        rows = [(_CONFIRMED, b) for b in held] + [(generation, b) for b in waiting]
-        self.store.write(self.applied_table, self.spark.createDataFrame(rows, _APPLIED))
+    def applied(self, version: Manifest | None = None) -> frozenset[str]:
+        """Batches that a version of the spine holds."""
+        return (version or self.resources.current()).applied
 
     def append(self, changes: DataFrame, batch_id: int, run: str = "run") -> None:
         """Keep one micro-batch, reduced to the newest row of each key.
@@ -94,35 +89,43 @@ class ChangeFeed:
 
     def current(self) -> DataFrame:
         """The spine with all waiting changes applied, newer captures winning."""
-        stored = self.store.read(SPINE_TABLE, SPINE)
-        return upsert_newer(stored, self.changes(), stage=staged).select(SPINE.names)
+        version = self.resources.current()
+        changed = spine_changes(self.resources, version, self.changes(self.batches(version)), staged)
+        return apply_changes(self.resources.read(version), changed)
 
     def compact(self) -> int:
-        """Fold the waiting batches into a new generation of the spine.
-
-        What it will hold is recorded first, and counts only once the generation is
-        the current one. So a crash at any point neither loses a batch nor applies
-        one twice. A batch is forgotten when its folder is gone and a later one of
-        its run is held, for then it can no longer be delivered again.
+        """Fold the waiting batches into a new version of the spine.
+
+        Only the types that the batches change are rewritten. The batches become part
+        of the version in the same commit, which fails if another writer, be it a
+        build, was first; the compaction is then done again on that one's version. So
+        no crash and no race loses a batch or applies one twice. A batch is forgotten
+        when its folder is gone and a later one of its run is held, for then it can no
+        longer be delivered again.
         """
-        batches = self.batches()
-        if not batches:
-            return 0
-        there = set(self._files.children(self.folder))
-        held = self.applied()
-        held = sorted({*last_of_runs(held), *(b for b in held if b in there)})
-        stored = self.store.read(SPINE_TABLE, SPINE)
-        merged = upsert_newer(
-            stored, self.changes(batches), stage=staged, cluster_by="resourceType"
-        ).select(SPINE.names)
-        generation = self.store.new_generation()
-        self._record(held, batches, generation)
-        self.store.write(SPINE_TABLE, merged, "resourceType", generation)
-        self._record([*held, *batches], [])
+        batches = self.resources.updated(self._fold)
         for batch in batches:
             self._files.delete(f"{self.folder}/{batch}")
         return len(batches)
 
+    def _fold(self, base: Manifest) -> list[str]:
+        # Folders a crash left behind, whose changes a version holds.
+        there = set(self._files.children(self.folder))
+        for batch in there & base.applied:
+            self._files.delete(f"{self.folder}/{batch}")
+        batches = self.batches(base)
+        if not batches:
+            return []
+        changed = spine_changes(self.resources, base, self.changes(batches), staged)
+        touched = partition_values(changed, "resourceType")
+        self.resources.rewrite(
+            base,
+            touched,
+            lambda stored: apply_changes(stored, changed.hint("rebalance", "resourceType")),
+            [*last_of_runs(base.applied), *batches],
+        )
+        return batches
+
     def start(self, items: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Collect a stream of spine rows; ``trigger`` as for ``writeStream``.
 
@@ -144,12 +147,7 @@ class ChangeFeed:
         return self._files.read_line(path)
 
 
-_APPLIED = "generation string, batch string"
-#: Stands for a generation of the spine that was committed.
-_CONFIRMED = "confirmed"
-
-
-def last_of_runs(batches: list[str]) -> list[str]:
+def last_of_runs(batches: Iterable[str]) -> list[str]:
     """The newest batch of each run: only that one can be delivered again."""
     newest: dict[str, str] = {}
     for batch in sorted(batches):

@@ -8,6 +8,7 @@ from tallyhouse.plans.builtin import default_registry
 from tallyhouse.plans.inventory import SKIP, SNAPSHOTS, BuildInputs
 from tallyhouse.plans.transforms import CustomTable, sql_transform
 from tallyhouse.schemas import SOURCE_ROW
+from tallyhouse.sources.manifest import Conflict
 from tallyhouse.streaming.feed import ChangeFeed, item_stream, latest_state
 
 from .conftest import ids, item
@@ -134,8 +135,14 @@ def test_managed_policies_are_kept_across_builds(inventory, spine, spark, tmp_pa
     inventory.build(inputs(spine, item()))
     got = {r.arn: (r.defaultVersionId, r.policyStatements) for r in inventory.table("aws_managed_policy").collect()}
     assert got == {"a": ("v1", ['{"Effect":"Allow"}']), "b": ("v2", [])}
-    generations = [c for c in (tmp_path / "inventory" / "resources").iterdir() if c.name.startswith("gen=")]
-    assert len(generations) == 2
+
+
+    def generations(table):
+        return [c for c in (tmp_path / "inventory" / table).iterdir() if c.name.startswith("gen=")]
+
+    assert len(generations("accounts")) == 2
+    # The spine was never changed after the first build, the policies once.
+    assert len(generations("resources")) == 1 and len(generations("aws_managed_policy")) == 2
 
 
 def test_custom_tables_and_failing_ones(inventory, spine):
@@ -160,8 +167,9 @@ def test_custom_tables_and_failing_ones(inventory, spine):
     assert not inventory.store.exists("custom_byaccount")
 
 
-def test_a_transform_that_fails_on_a_value_leaves_the_table_as_derived(inventory, spine):
-    registry = default_registry(user=[sql_transform("cast", "ec2_instance", "SELECT *, cast(resourceId AS int) AS n FROM {table}")])
+def test_transforms_that_fail_on_a_value_leave_the_table_as_derived(inventory, spine):
+    casts = [sql_transform(f"cast{c}", "ec2_instance", f"SELECT *, cast(resourceId AS int) AS {c} FROM {{table}}") for c in "mn"]
+    registry = default_registry(user=casts)
     report = inventory.build(inputs(spine, item(configuration={"k": 1})), BuildSettings(registry=registry))
     assert report.status("table")["ec2_instance"] == "written as derived"
     assert inventory.table("ec2_instance").first().k == 1
@@ -227,14 +235,97 @@ def test_upsert_reads_and_filters_no_more_than_it_must(inventory, spine):
 
 
 def test_a_lost_pointer_is_found_again(inventory, spine):
-    import glob
     import os
 
     inventory.build(inputs(spine, item()))
     root = inventory.store.root.removeprefix("file:")
-    os.rename(f"{root}/resources/CURRENT", f"{root}/resources/CURRENT.{'0' * 32}")
-    assert glob.glob(f"{root}/resources/gen=*")
-    assert ids(inventory.spine()) == ["i-1"]
+    os.rename(f"{root}/ec2_instance/CURRENT", f"{root}/ec2_instance/CURRENT.{'0' * 32}")
+    assert ids(inventory.table("ec2_instance")) == ["i-1"]
+
+
+# -- versions --------------------------------------------------------------------
+
+NEWER = "2026-02-01T00:00:00Z"
+
+
+def test_only_changed_types_are_rewritten(inventory, spine):
+    bucket = item("AWS::S3::Bucket", "b", configuration={"name": "one"})
+    inventory.build(inputs(spine, item(), bucket, item("AWS::SNS::Topic", "t")))
+    first, tables = inventory.resources.current(), {n: inventory.store.generation(n) for n in inventory.store.names()}
+    changed = bucket | {"configuration": {"name": "two"}, "configurationItemCaptureTime": NEWER}
+    report = inventory.build(inputs(spine, item(), changed, listed=[item(), changed]))
+    second = inventory.resources.current()
+    assert report.counts == {"INSERT": 0, "UPDATE": 1, "DELETE": 1}
+    assert second.number == first.number + 1 and set(second.parts) == {"AWS::EC2::Instance", "AWS::S3::Bucket"}
+    assert second.parts["AWS::EC2::Instance"] == first.parts["AWS::EC2::Instance"]
+    assert second.parts["AWS::S3::Bucket"] != first.parts["AWS::S3::Bucket"]
+    status = report.status("table")
+    assert status["ec2_instance"] == status["aws_managed_policy"] == "unchanged" and status["s3_bucket"] == "written"
+    assert inventory.store.generation("ec2_instance") == tables["ec2_instance"]
+    assert not inventory.store.exists("sns_topic")
+    assert inventory.table("s3_bucket").first()["name"] == "two"
+    # Nothing new at all: no version, no table.
+    third = inventory.build(inputs(spine, item(), changed))
+    assert inventory.resources.current() == second and third.counts == {"INSERT": 0, "UPDATE": 0, "DELETE": 0}
+    assert set(third.status("table").values()) - {"written"} == {"unchanged"}
+
+
+def test_other_transforms_and_tables_beside_make_a_table_stale(inventory, spine):
+    items = [item(), item("AWS::S3::Bucket", "b"), item("AWS::SNS::Topic", "t")]
+    both = sql_transform(
+        "both", "ec2_instance", "SELECT i.*, (SELECT count(*) FROM sns_topic) AS topics FROM {table} i",
+        dependencies=["ec2_instance", "sns_topic"],
+    )
+    settings = BuildSettings(registry=default_registry(user=[both]))
+    inventory.build(inputs(spine, *items))
+    report = inventory.build(inputs(spine, *items), settings)
+    assert set(report.status("table").values()) == {"written"}
+    assert inventory.table("ec2_instance").first().topics == 1
+    more = item("AWS::SNS::Topic", "u", configurationItemCaptureTime=NEWER)
+    report = inventory.build(inputs(spine, *items, more), settings)
+    assert {n for n, s in report.status("table").items() if s == "unchanged"} == {"s3_bucket", "aws_managed_policy"}
+    assert inventory.table("ec2_instance").first().topics == 2
+    report = inventory.build(inputs(spine, *items, more, listed=items[:2]), settings)
+    assert report.status("transform")["both:ec2_instance,sns_topic"] == "skipped: missing dependency"
+    assert "topics" not in inventory.table("ec2_instance").columns
+
+
+def test_only_the_failing_transform_is_left_out(inventory, spine):
+    good = sql_transform("good", "ec2_instance", "SELECT *, 1 AS one FROM {table}")
+    bad = sql_transform("bad", "ec2_instance", "SELECT *, CAST(resourceId AS INT) AS n FROM {table}")
+    settings = BuildSettings(registry=default_registry(user=[bad, good]))
+    report = inventory.build(inputs(spine, item(resource_id="x", tags=[{"key": "Name", "value": "ex"}])), settings)
+    assert report.status("table")["ec2_instance"] == "written without a failed transform"
+    row = inventory.table("ec2_instance").first()
+    assert row.one == 1 and row.resourceName == "ex" and "n" not in row.asDict()
+    # It is not taken for finished: the next build tries again.
+    assert inventory.build(inputs(spine, item(resource_id="x")), settings).status("table")["ec2_instance"] != "unchanged"
+
+
+def test_a_version_is_published_once(inventory, spine):
+    table = inventory.resources
+    base = table.current()
+    table.replace(spine(item(resource_id="a")), base)
+    with pytest.raises(Conflict):
+        table.replace(spine(item(resource_id="b")), base)
+    assert not inventory.store.files.publish(table._path(1), "{}")
+    assert ids(inventory.spine()) == ["a"]
+    table.drop()
+    assert not table.exists() and table.current().number == 2
+    with pytest.raises(ValueError, match="outside"):
+        table.rewrite(table.current(), ["AWS::S3::Bucket"], lambda stored: spine(item()))
+
+
+def test_expiry_keeps_what_newer_versions_share(inventory, spine):
+    table = inventory.resources
+    first = table.replace(spine(item(), item("AWS::S3::Bucket", "b"), item(None, "n")), table.current())
+    assert set(first.parts) == {"AWS::EC2::Instance", "AWS::S3::Bucket", None}
+    for n in range(3):
+        table.rewrite(table.current(), ["AWS::S3::Bucket"], lambda s, n=n: spine(item("AWS::S3::Bucket", f"b{n}")))
+    table.expire(2)
+    assert ids(inventory.spine()) == ["b2", "i-1", "n"]
+    assert ids(table.read(only=[None])) == ["n"]
+    assert len(table._numbers()) == 2
 
 
 # -- streaming -------------------------------------------------------------------
@@ -259,16 +350,56 @@ def test_streams_do_not_meet_and_half_batches_wait(inventory, spark, spine, tmp_
     assert half.exists() and ids(inventory.spine()) == ["one", "two", "z"]
 
 
-def test_a_compaction_that_crashed_is_done_again(inventory, spine):
+def test_a_crash_after_the_commit_brings_nothing_back(inventory, spine, monkeypatch):
+    """The folders of folded batches stay; a build that reaps their rows is final."""
+    z, b = item(resource_id="z"), item(resource_id="b", configurationItemCaptureTime=NEWER)
+    inventory.build(inputs(spine, z))
+    feed = ChangeFeed(inventory.store)
+    feed.append(spine(b, item(resource_id="n1", accountId=None)), 0)
+    with monkeypatch.context() as patch:
+        patch.setattr(feed._files, "delete", lambda path: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError, match="crash"):
+            feed.compact()
+    assert ids(inventory.spine()) == ["b", "n1", "z"] and feed.batches() == []
+    inventory.build(inputs(spine, z, listed=[z]))
+    feed.append(spine(b, item(resource_id="n1", accountId=None)), 0)
+    assert feed.batches() == [] and feed.compact() == 0
+    assert ids(inventory.spine()) == ids(feed.current()) == ["z"]
+    assert not [f for f in inventory.store.files.children(feed.folder) if f.startswith("batch=")]
+
+
+def test_a_crash_before_the_commit_loses_nothing(inventory, spine, monkeypatch):
     inventory.build(inputs(spine, item(resource_id="z")))
     feed = ChangeFeed(inventory.store)
-    feed.append(spine(item(resource_id="n1", accountId=None)), 0)
-    feed._record([], feed.batches(), inventory.store.new_generation())  # and no spine
-    assert len(feed.batches()) == 1 and feed.compact() == 1
-    assert ids(inventory.spine()) == ["n1", "z"]
-    inventory.build(inputs(spine, item(resource_id="z"), item(resource_id="y"), listed=[item(resource_id="z"), item(resource_id="y")]))
-    feed.append(spine(item(resource_id="n1", accountId=None)), 0)
-    assert feed.batches() == []
+    feed.append(spine(item(resource_id="b")), 0)
+    with monkeypatch.context() as patch:
+        patch.setattr(feed.resources, "commit", lambda *a, **k: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError, match="crash"):
+            feed.compact()
+    assert len(feed.batches()) == 1 and ids(inventory.spine()) == ["z"]
+    assert feed.compact() == 1 and ids(inventory.spine()) == ["b", "z"]
+
+
+def test_a_build_and_a_compaction_race(inventory, spine, monkeypatch):
+    """The build reads, the compaction commits, the build commits: nothing is lost."""
+    z, y = item(resource_id="z"), item(resource_id="y")
+    bucket = item("AWS::S3::Bucket", "fed", configurationItemCaptureTime=NEWER)
+    inventory.build(inputs(spine, z))
+    feed = ChangeFeed(inventory.store)
+    feed.append(spine(item(resource_id="n1", accountId=None), bucket), 0)
+    commit, raced = inventory.resources.commit, []
+
+    def late(base, *given, **named):
+        if not raced:
+            raced.append(feed.compact())
+        return commit(base, *given, **named)
+
+    monkeypatch.setattr(inventory.resources, "commit", late)
+    inventory.build(inputs(spine, z, y, listed=[z, y, bucket, item(resource_id="n1", accountId=None)]))
+    assert raced == [1]
+    # A listing cannot name a key with a NULL: the build reaps that row, and for good.
+    assert ids(inventory.spine()) == ["fed", "y", "z"]
+    assert feed.batches() == [] and ids(feed.current()) == ["fed", "y", "z"]
 
 
 def test_change_feed(inventory, spark, spine, tmp_path):
