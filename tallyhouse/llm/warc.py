@@ -11,7 +11,7 @@ sidecar index of offsets, so that any record can then be read by itself.
 Files go to a folder that all nodes share (any scheme that Arrow opens). A file
 name is new for every attempt of a task and only files that a finished task
 reported are in the listings, so a lost executor leaves at most files that nobody
-reads. Memory holds one record at a time.
+reads. Each archive is a task's own. Memory holds one record and a slice of the index.
 
 Defined results: a null payload is empty. Smaller payloads, and all rows that
 have the group's smallest id, are responses; rows of a null id can only refer,
@@ -38,6 +38,10 @@ from tallyhouse.llm.tables import as_batch, importable, staged, work_folder
 #: Bytes of records after which a task begins another archive.
 ROLL = 256 << 20
 LEVEL = 4
+#: Index entries that are held before they leave a task.
+ENTRIES = 4096
+#: Bytes of members that one task reads back, and the most tasks of a job.
+READ_BYTES, MOST_TASKS = 16 << 20, 50_000
 STEP = 1 << 20
 #: What a revisit of an identical payload is called.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -221,7 +225,7 @@ def normalise(listing: DataFrame, folder: str | None = None) -> DataFrame:
         + [(c, pa.string()) for c in ("record_type", "page", "target", "digest")]
     )
 
-    def rewrite(path: str) -> list[tuple]:
+    def rewrite(path: str) -> Iterator[list[tuple]]:
         system, local = opened(path)
         new = f"{folder}/{uuid.uuid4().hex}.warc.gz"
         out_system, out_local = opened(new)
@@ -248,18 +252,28 @@ def normalise(listing: DataFrame, folder: str | None = None) -> DataFrame:
                 sidecar.write(json.dumps(dict(zip(schema.names[1:], entry[1:]))).encode() + b"\n")
                 entries.append(entry)
                 offset += len(member)
-        return entries
+                if len(entries) >= ENTRIES:
+                    yield entries
+                    entries = []
+        yield entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                yield as_batch(rewrite(path), schema)
+                for entries in rewrite(path):
+                    yield as_batch(entries, schema)
 
-    # One archive is one unit of work: a single gzip stream cannot be split.
-    dealt = listing.select("archive").repartition("archive")
+    # One archive is one unit of work: a single gzip stream cannot be split. The
+    # listing is tiny, so the number of tasks is given; Spark would merge them.
+    dealt = dealt_out(listing.select("archive"), listing.count(), "archive")
     return staged(importable(dealt).mapInArrow(run, INDEX))
 
 
+def dealt_out(rows: DataFrame, tasks: int, *by: str) -> DataFrame:
+    """``rows`` in ``tasks`` ranges, in order; never merged by adaptive execution."""
+    return rows.repartitionByRange(max(1, min(tasks, MOST_TASKS)), *by).sortWithinPartitions(*by)
+
+
 def read_records(index: DataFrame, key: str = "long") -> DataFrame:
     """Every record of the index, each read by its offset alone.
 
@@ -315,7 +329,10 @@ def read_records(index: DataFrame, key: str = "long") -> DataFrame:
         if file is not None:
             file.close()
 
-    read = importable(index.select("archive", "offset", "length")).mapInArrow(
+    places = index.select("archive", "offset", "length")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    dealt = dealt_out(places, -(-total // READ_BYTES), "archive", "offset")
+    read = importable(dealt).mapInArrow(
         run,
         "page string, record_type string, payload binary, payload_bytes long,"
         " digest string, refers_to string",

@@ -154,6 +154,22 @@ class TestWarc:
         sidecar = [json.loads(x) for x in open(f"{path}.idx")]
         assert [s["offset"] for s in sidecar] == sorted(r.offset for r in index if r.archive == index[0].archive)
 
+    def test_archives_are_spread_over_tasks(self, spark, monkeypatch):
+        """Rewriting and reading are many tasks, and index entries leave in slices."""
+        monkeypatch.setattr(warc, "ENTRIES", 3)
+        monkeypatch.setattr(warc, "READ_BYTES", 1000)
+        rows = [(i, "http://a/", f"page {i} " + "x" * 300) for i in range(200)]
+        listing = warc.write_archives(self.pages(spark, rows).repartition(8), roll=1500)
+        assert listing.count() >= 20
+        dealt = warc.dealt_out(listing.select("archive"), listing.count(), "archive")
+        sizes = [n for n in dealt.rdd.glom().map(len).collect() if n]
+        assert max(sizes) == 1 and len(sizes) == listing.count()
+        index = warc.normalise(listing)
+        assert index.count() == 200
+        assert len(index.inputFiles()) >= 20
+        back = warc.read_records(index)
+        assert sorted(r.page for r in back.collect()) == list(range(200))
+
     def test_empty(self, spark):
         index = warc.normalise(warc.write_archives(self.pages(spark, [])))
         assert warc.read_records(index).count() == 0
