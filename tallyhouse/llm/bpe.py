@@ -61,6 +61,7 @@ class Merges:
             pair = model["vocab"][left], model["vocab"][right]
             self.rank[whole], self.parts[whole], self.pairs[pair] = rank, pair, rank
         self.longest = max(map(len, self.ids))
+        self.endings = {s[-n:] for s in self.ids for n in range(1, len(s) + 1)}
         self.prefixes = {s[:n] for s in self.ids for n in range(1, len(s))}
         self._memo: dict[tuple[int, int], bool] = {}
 
@@ -69,10 +70,21 @@ class Merges:
         """Symbols after which a token boundary can no longer change.
 
         Merges times the longest token: the bound proved for any proper merge
-        list. The live window of :meth:`stream` converges far sooner.
+        list. The live window of :meth:`stream` converges far sooner; one that has
+        not by then would mean that the merges are no proper list, and fails.
         """
         return len(self.parts) * self.longest
 
+    def encode(self, word: str) -> list[int]:
+        """Token ids of one word. A word within the window is settled at its end."""
+        symbols = as_symbols(word)
+        if len(symbols) >= 4 * self.longest:
+            return list(self.stream(symbols))
+        window: list[tuple[int, int]] = []
+        for end in range(1, len(symbols) + 1):
+            window.append(self._last(symbols, end, window, None))
+        return self._path(window, len(symbols))
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of both texts together is these two tokens.
 
@@ -130,17 +142,25 @@ class Merges:
                     last_sent = path[-1]
                     sent += final
                     text, window = text[final:], window[final:]
+                elif end > self.lookahead:
+                    raise ValueError("the merges are not in the order they were made")
         if window:
             yield from self._path(window, len(window))
 
     def _last(self, text: str, end: int, window, before: int | None) -> tuple[int, int]:
-        for start in range(max(0, end - self.longest), end):
-            token = self.ids.get(text[start:end])
-            if token is None:
-                continue
-            left = window[start - 1][0] if start else before
-            if left is None or self.compatible(left, token):
-                return token, end - start
+        """The one token that ends a prefix and may follow what precedes it."""
+        ids, endings, memo = self.ids, self.endings, self._memo
+        for start in range(end - 1, -1, -1):
+            piece = text[start:end]
+            if piece not in endings:
+                break
+            if piece in ids:
+                token, left = ids[piece], window[start - 1][0] if start else before
+                if left is None:
+                    return token, end - start
+                fits = memo.get((left, token))
+                if fits or (fits is None and self.compatible(left, token)):
+                    return token, end - start
         raise ValueError(f"no token ends at {text[:end]!r}")
 
     @staticmethod

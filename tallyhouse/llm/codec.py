@@ -1,10 +1,16 @@
 """BPE encoding and decoding as streaming transducers.
 
 Encoding sends a token as soon as nothing that follows can change it: between
-words always, inside a word when the live paths agree (``Merges.stream``; the
-lookahead that suffices for any text is ``Merges.lookahead``). Texts are read in
-blocks that end at white space, so memory does not grow with a text but for its
-own ids. Decoding is a state machine from ids to bytes to characters.
+words always, inside a word when the live paths agree, which they do at the latest
+after the merge list's lookahead (``Merges.lookahead``, a window of
+``Merges.stream``). Texts are read in blocks that end at white space. Ids go on to
+the decoder at once, a state machine from ids to text, and :func:`digests` feeds both
+to incremental hashes: neither the ids nor the decoded text of a document is held.
+
+The tokenizer files here name no decoder, for which the library joins the tokens'
+names by spaces: the state machine then has one bit, whether anything was sent. With
+a vocabulary of word ends, ``Decoder`` gives readable text by the bytes of the ids;
+its state is the unfinished character and whether a word has ended.
 
 Defined results: a null or empty text has no ids. Strings of special tokens inside
 a text become those tokens, as the library does by default. Repeated rows are
@@ -14,10 +20,10 @@ encoded each. A null id stays null. An empty table gives no rows.
 from __future__ import annotations
 
 import codecs
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +33,7 @@ from tallyhouse.llm.tables import importable, map_rows
 
 BLOCK = 1 << 16
 #: Words a worker remembers; a bound on memory, not on results.
-MEMO = 250_000
+MEMO = 400_000
 
 
 class Encoder:
@@ -38,7 +44,7 @@ class Encoder:
     def word(self, word: str) -> tuple[int, ...]:
         ids = self.known.get(word)
         if ids is None:
-            ids = tuple(self.merges.stream(bpe.as_symbols(word)))
+            ids = tuple(self.merges.encode(word))
             if len(word) < bpe.LONG_WORD:
                 if len(self.known) >= MEMO:
                     self.known.clear()
@@ -106,15 +112,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-@lru_cache(maxsize=2)
-def token_names(path: str) -> np.ndarray:
-    merges = bpe.load(path)
-    names = np.empty(max(merges.names) + 1, dtype=object)
-    for token, name in merges.names.items():
-        names[token] = name
-    return names
-
-
 def encode(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -130,13 +127,90 @@ def encode(
     return map_rows(rows, f"doc {key}, ids array<int>", one, most=512)
 
 
-def round_trip(
+class Names:
+    """Ids in, the tokens' names out, joined by spaces as they come."""
+
+    def __init__(self, path: str):
+        self.names = {i: f" {name}" for i, name in bpe.load(path).names.items()}
+        self.reset()
+
+    def reset(self) -> None:
+        self.sent = False
+
+    def feed(self, ids: Iterable[int]) -> str:
+        """Text of further ids. The first of a text has no space before it."""
+        names = self.names
+        text = "".join([names[i] for i in ids])
+        if self.sent or not text:
+            return text
+        self.sent = True
+        return text[1:]
+
+
+class Digester:
+    """Encodes and decodes texts block by block into two hashes.
+
+    A memo has, for words met before, what each adds to the hashed texts: its ids as
+    decimal text and its names, both with a space before each, and their number.
+    """
+
+    def __init__(self, path: str):
+        self.merges, self.names = bpe.load(path), Names(path)
+        # In the middle of a text; what comes first loses its space when it is sent.
+        self.names.sent = True
+        self.numbers = {i: b" %d" % i for i in self.merges.names}
+        self.known: dict[str, tuple[bytes, bytes, int]] = {}
+
+    def added(self, ids) -> tuple[bytes, bytes, int]:
+        return b"".join([self.numbers[i] for i in ids]), self.names.feed(ids).encode(), len(ids)
+
+    def word(self, word: str) -> tuple[bytes, bytes, int]:
+        found = self.known.get(word)
+        if found is None:
+            found = self.added(self.merges.encode(word))
+            if len(word) < bpe.LONG_WORD:
+                if len(self.known) >= MEMO:
+                    self.known.clear()
+                self.known[word] = found
+        return found
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, digest of the ids, digest of the decoded text."""
+        ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+        special = self.merges.special
+        for block in blocks(text):
+            for section, token in bpe.sections(block, special):
+                if token is not None:
+                    parts = [self.added([token])]
+                else:
+                    words, known = bpe.words(section), self.known
+                    try:
+                        parts = [known[w] for w in words]
+                    except KeyError:
+                        parts = [known.get(w) or self.word(w) for w in words]
+                if not parts:
+                    continue
+                id_parts, name_parts, counts = zip(*parts)
+                id_text, name_text = b"".join(id_parts), b"".join(name_parts)
+                # Only the first token of a text has no space before it.
+                ids.update(id_text if n else id_text[1:])
+                decoded.update(name_text if n else name_text[1:])
+                n += sum(counts)
+        return n, ids.hexdigest(), decoded.hexdigest()
+
+
+@lru_cache(maxsize=2)
+def digester(path: str) -> Digester:
+    return Digester(path)
+
+
+def digests(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc, ids, text``: encoded, and decoded from the ids alone, in one pass.
+    """``doc, n_tokens, ids_sha256, decoded_sha256``: encoded, and decoded from the ids.
 
-    The same as :func:`decode` of :func:`encode` without moving the ids in between,
-    and with one Python worker per core instead of two.
+    The ids are digested as decimal numbers joined by one space, the decoded text in
+    UTF-8, both as they are made.
     """
     key = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
@@ -144,15 +218,10 @@ def round_trip(
     )
 
     def one(doc, text: bytes):
-        ids = encoder(path).encode(text.decode("utf-8", "replace"))
-        return [(doc, ids, named(ids, path))]
-
-    return map_rows(rows, f"doc {key}, ids array<int>, text string", one, most=128)
-
+        return [(doc, *digester(path).digest(text.decode("utf-8", "replace")))]
 
-def named(ids, path: str) -> str:
-    """Names of tokens, joined by spaces."""
-    return " ".join(token_names(path)[ids].tolist()) if len(ids) else ""
+    schema = f"doc {key}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_rows(rows, schema, one, most=512)
 
 
 def decode(encoded: DataFrame, path: str, *, words: bool = False) -> DataFrame:
@@ -166,14 +235,15 @@ def decode(encoded: DataFrame, path: str, *, words: bool = False) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Decoder(bpe.load(path)) if words else None
+        machine = Decoder(bpe.load(path)) if words else Names(path)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 texts = []
                 for ids in batch.column(batch.num_columns - 1):
-                    row = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else []
-                    texts.append(machine.decode(row) if machine else named(row, path))
+                    row = ids.as_py() or []
+                    machine.reset()
+                    texts.append(machine.decode(row) if words else machine.feed(row))
                 columns = [batch.column(i) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*kept, "text"])
 

@@ -188,14 +188,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Encoded and decoded, as digests."""
-    coded = codec.round_trip(docs, public_tokenizers.path(TOKENIZER))
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return coded.select(
-        F.col("doc").alias("doc_id"),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    coded = codec.digests(docs, public_tokenizers.path(TOKENIZER))
+    return coded.withColumnRenamed("doc", "doc_id")
 
 
 @query("op6_bpe_codec")
