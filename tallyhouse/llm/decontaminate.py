@@ -7,9 +7,12 @@
    own directions they span the latent space. Items of more than ``PASSAGE`` words
    are cut into segments of at most that, each with a direction of its own.
 3. Overlapping windows of every document are projected there and compared with
-   the segments by cosine. Windows are skipped if the text around them, as far as
-   step 4 would look, does not hold the words that an item has to leak: a bound on
-   the alignment, as projection shrinks a window and bounds no cosine.
+   the segments by cosine. A window is up to twice as long as the items it is for and
+   the next one begins a quarter further on, so one window is mostly a copy wherever
+   that lies. Stretches of a document, and then windows, are skipped if the text
+   around them, as far as step 4 would look, does not hold the words that an item has
+   to leak: a bound on the alignment, as projection shrinks a window and bounds no
+   cosine.
 4. Candidates are aligned: the longest common subsequence of item and the text
    around the window, words weighed by their idf. An item has leaked if ``full``
    of its weight is there in order, or ``share`` and half of its answer, which is
@@ -17,7 +20,8 @@
 
 The benchmark is a query set: its items are taken in blocks of about ``BLOCK``
 segments, and each block sees the whole corpus. A block's vectors are all that is sent to
-the tasks; they are bounded by the block, not by the corpus.
+the tasks; they are bounded by the block, not by the corpus. Items of one text are
+searched once, and the segments of a longer item are dealt to several blocks.
 
 Defined results: null or blank texts and items match nothing. Repeated rows are
 judged each, and yield one row per document row and item. Null ids are carried.
@@ -32,6 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +44,11 @@ from tallyhouse.llm.hashing import text_batches, word_hashes
 from tallyhouse.llm.jaccard import as_arrow, as_rows
 from tallyhouse.llm.tables import importable, staged
 
-PASSAGE, STRIDE = 64, 32
+PASSAGE = 64
+#: Words of the shortest windows.
+SHORTEST = 8
+#: Words of a stretch of a document that is looked at before its windows.
+SPAN = 512
 BLOCK = 256
 #: Singular vectors that are kept, and columns of the test matrix.
 RANK, COLUMNS = 24, 32
@@ -62,6 +71,7 @@ class Items:
     words: list[np.ndarray]  # numbers of the items' words, in order
     answers: list[np.ndarray]  # the same for their answers
     known: np.ndarray  # hashes of all words, ascending
+    parts: list[tuple[int, np.ndarray]]  # the segments of this block, with their items
 
     def __post_init__(self):
         self.slots = np.full(SLOTS, -1, dtype=np.int32)
@@ -87,19 +97,30 @@ class Items:
         return found
 
 
-def items_of(rows: list) -> Items | None:
-    """From rows (id, text, answer); items without words are left out."""
+def items_of(rows: list) -> list[Items]:
+    """From rows (id, text, answer); items without words are left out.
+
+    All in one block, but for the segments of a block too many: these follow in
+    further blocks, with the items they belong to.
+    """
     hashed = [(r[0], word_hashes((r[1] or "").encode()), word_hashes((r[2] or "").encode())) for r in rows]
     hashed = [h for h in hashed if len(h[1])]
-    if not hashed:
-        return None
-    known = np.unique(np.concatenate([x for h in hashed for x in h[1:]]))
-    words = [np.searchsorted(known, w) for _, w, _ in hashed]
-    answers = [
-        np.searchsorted(known, a) if len(a) else w[-max(1, len(w) // 4) :]
-        for (_, _, a), w in zip(hashed, words)
-    ]
-    return Items([h[0] for h in hashed], words, answers, known)
+    parts = [(i, n) for i, h in enumerate(hashed) for n in range(-(-len(h[1]) // PASSAGE))]
+    out = []
+    for start in range(0, len(parts), 2 * BLOCK):
+        some = parts[start : start + 2 * BLOCK]
+        block = [hashed[i] for i in sorted({i for i, _ in some})]
+        first = some[0][0]
+        known = np.unique(np.concatenate([x for h in block for x in h[1:]]))
+        words = [np.searchsorted(known, w) for _, w, _ in block]
+        answers = [
+            np.searchsorted(known, a) if len(a) else w[-max(1, len(w) // 4) :]
+            for (_, _, a), w in zip(block, words)
+        ]
+        cut = [segments(w) for w in words]
+        own = [(i - first, cut[i - first][n]) for i, n in some]
+        out.append(Items([h[0] for h in block], words, answers, known, own))
+    return out
 
 
 def frequencies(rows: DataFrame, items: Items) -> tuple[np.ndarray, int]:
@@ -217,55 +238,55 @@ def singular_vectors(image: np.ndarray) -> np.ndarray:
 
 
 class Space:
-    """Latent space of a block, and the search in it."""
+    """Latent space of a block, and the search in it.
+
+    Only words of the block's own segments have a place in it, so that its matrices
+    are bounded also where an item has very many words.
+    """
 
     def __init__(self, items: Items, idf: np.ndarray, corpus: np.ndarray, share: float, full: float):
         self.items, self.idf, self.share, self.full = items, idf, share, full
-        parts = [(i, part) for i, w in enumerate(items.words) for part in segments(w)]
-        self.owner = np.array([i for i, _ in parts])
-        rows = np.zeros((len(parts), len(items.known)))
-        for row, (_, part) in zip(rows, parts):
+        self.owner = np.array([i for i, _ in items.parts])
+        words = np.unique(np.concatenate([part for _, part in items.parts]))
+        self.place = np.full(len(items.known), -1, dtype=np.int64)
+        self.place[words] = np.arange(len(words))
+        rows = np.zeros((len(items.parts), len(words)))
+        for row, (_, part) in zip(rows, items.parts):
             used = np.unique(part)
-            row[used] = idf[used]
-        basis = np.linalg.qr(np.concatenate((corpus, rows.T), axis=1))[0]
+            row[self.place[used]] = idf[used]
+        basis = np.linalg.qr(np.concatenate((corpus[words], rows.T), axis=1))[0]
         self.basis = basis.astype(np.float32)
         self.vectors = unit(rows @ basis).astype(np.float32)
         self.mass = np.array([idf[w].sum() for w in items.words])
-        self.classes = [Reach(self, reach) for reach in sorted({reach_of(w) for w in items.words})]
+        own = sorted(set(self.owner.tolist()))
+        kinds = sorted({kind_of(items.words[i]) for i in own})
+        self.kinds = [Kind(self, kind, [i for i in own if kind_of(items.words[i]) == kind]) for kind in kinds]
 
     def leaks(self, numbers: np.ndarray) -> dict[int, tuple[float, float]]:
         """Item to cosine and share, for one document's words."""
         found: dict[int, tuple[float, float]] = {}
-        starts = np.arange(0, max(1, len(numbers) - STRIDE), STRIDE)
-        ends = np.minimum(starts + PASSAGE, len(numbers))
-        open_: dict[int, np.ndarray] = {}
-        for near in self.classes:
-            for window, items in near.may_leak(numbers, starts, ends):
-                open_.setdefault(window, np.zeros(len(self.items.ids), dtype=bool))[items] = True
-        heavy = np.array(sorted(open_), dtype=np.int64)
-        for part in np.array_split(heavy, max(1, -(-len(heavy) // 256))):
-            if not len(part):
-                continue
-            projected = np.stack([self._project(numbers[starts[w] : ends[w]]) for w in part])
-            cosines = unit(projected) @ self.vectors.T
-            hits: dict[tuple[int, int], float] = {}
-            for row, segment in zip(*np.nonzero(cosines >= COSINE)):
-                pair = int(row), int(self.owner[segment])
-                hits[pair] = max(hits.get(pair, 0.0), float(cosines[row, segment]))
-            for (row, item), cosine in hits.items():
-                window = part[row]
-                if not open_[window][item] or found.get(item, (0, 0))[1] >= self.full:
-                    continue
-                length = len(self.items.words[item])
-                a, b = max(0, starts[window] - length), ends[window] + length
-                share = self._aligned(item, numbers[a:b])
-                if share and share > found.get(item, (0, 0))[1]:
-                    found[item] = cosine, share
+        for kind in self.kinds:
+            for a, b, items in kind.may_leak(numbers):
+                projected = self._project(numbers[a:b])
+                cosines = unit(projected[None, :])[0] @ self.vectors.T
+                hits: dict[int, float] = {}
+                for segment in np.flatnonzero(cosines >= COSINE):
+                    item = int(self.owner[segment])
+                    if items[item]:
+                        hits[item] = max(hits.get(item, 0.0), float(cosines[segment]))
+                for item, cosine in hits.items():
+                    if found.get(item, (0, 0))[1] >= self.full:
+                        continue
+                    length = len(self.items.words[item])
+                    share = self._aligned(item, numbers[max(0, a - length) : b + length])
+                    if share and share > found.get(item, (0, 0))[1]:
+                        found[item] = cosine, share
         return found
 
     def _project(self, numbers: np.ndarray) -> np.ndarray:
         used = np.unique(numbers[numbers >= 0])
-        return self.idf[used].astype(np.float32) @ self.basis[used]
+        used = used[self.place[used] >= 0]
+        return self.idf[used].astype(np.float32) @ self.basis[self.place[used]]
 
     def _aligned(self, item: int, near: np.ndarray) -> float | None:
         """The share of the item's weight found in order, if it has leaked."""
@@ -290,39 +311,48 @@ def segments(words: np.ndarray) -> list[np.ndarray]:
     return np.array_split(words, -(-len(words) // PASSAGE))
 
 
-def reach_of(words: np.ndarray) -> int:
-    """Words around a window that are looked at for an item, or up to twice as many."""
-    return max(STRIDE, 1 << (len(words) - 1).bit_length())
-
-
-class Reach:
-    """The items of one reach, and which of them the text around a window may hold."""
-
-    def __init__(self, space: Space, reach: int):
-        self.reach, self.share = reach, space.share
-        words = space.items.words
-        self.items = np.array([i for i, w in enumerate(words) if reach_of(w) == reach])
-        # Parts of an item's weight: of all its places of a word, and of one of them.
-        whole = np.zeros((len(space.idf), len(self.items)), dtype=np.float32)
-        self.most = np.zeros(len(space.idf) + 1)
-        for column, i in enumerate(self.items):
-            names, counts = np.unique(words[i], return_counts=True)
-            one = space.idf[names] / max(space.mass[i], 1e-9)
-            whole[names, column] = one * counts
-            self.most[names] = np.maximum(self.most[names], one)
-        self.whole = whole
-
-    def may_leak(self, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator:
-        """Windows, and the items of which enough may be around them."""
-        least = self.share - 1e-4
-        sums = np.concatenate(([0.0], np.cumsum(self.most[numbers])))
-        a, b = np.maximum(starts - self.reach, 0), np.minimum(ends + self.reach, len(numbers))
-        for window in np.flatnonzero(sums[b] - sums[a] >= least):
-            near = numbers[a[window] : b[window]]
-            near = np.unique(near[near >= 0])
-            items = self.whole[near].sum(axis=0) >= least
-            if items.any():
-                yield int(window), self.items[items]
+def kind_of(words: np.ndarray) -> tuple[int, int]:
+    """Words of a window for an item, and words around it that are looked at: powers
+    of two that are no smaller than the item, the first one up to ``PASSAGE``."""
+    size = 1 << (len(words) - 1).bit_length()
+    return min(PASSAGE, max(SHORTEST, size)), size
+
+
+class Kind:
+    """The items of one kind, and where the text may hold them."""
+
+    def __init__(self, space: Space, kind: tuple[int, int], items: list[int]):
+        self.window, self.reach = kind
+        self.share, self.n_items = space.share, len(space.items.ids)
+        self.items = np.array(items)
+        # Parts of an item's weight: all its places of a word, one column per item.
+        self.whole = np.zeros((len(space.idf), len(items)), dtype=np.float32)
+        for column, i in enumerate(items):
+            names, counts = np.unique(space.items.words[i], return_counts=True)
+            self.whole[names, column] = space.idf[names] / max(space.mass[i], 1e-9) * counts
+
+    def _enough(self, near: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Of the items in ``columns``, those whose words may leak from ``near``."""
+        near = np.unique(near[near >= 0])
+        held = self.whole[near].sum(axis=0) if len(columns) == len(self.items) else self.whole[np.ix_(near, columns)].sum(axis=0)
+        return columns[held >= self.share - 1e-4]
+
+    def may_leak(self, numbers: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Begin and end of windows, with a mask of the items that may be around them."""
+        step, all_ = max(1, self.window // 4), np.arange(len(self.items))
+        for span in range(0, len(numbers), SPAN):
+            last = min(span + SPAN, len(numbers))
+            near = numbers[max(0, span - self.reach) : last + self.window + self.reach]
+            columns = self._enough(near, all_)
+            if not len(columns):
+                continue
+            for a in range(span, last, step):
+                b = min(a + self.window, len(numbers))
+                fit = self._enough(numbers[max(0, a - self.reach) : b + self.reach], columns)
+                if len(fit):
+                    mask = np.zeros(self.n_items, dtype=bool)
+                    mask[self.items[fit]] = True
+                    yield a, b, mask
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -338,8 +368,9 @@ def subsequence(words: np.ndarray, near: np.ndarray, weight: np.ndarray) -> floa
     return float(best[-1])
 
 
-def search(rows: DataFrame, key: str, space: Space, item: str) -> DataFrame:
-    schema = f"doc {key}, item {item}, cosine double, share double"
+def search(rows: DataFrame, key: str, space: Space, block: int) -> DataFrame:
+    """``doc, item, cosine, share``, with the block and a print of the text."""
+    schema = f"doc {key}, item long, cosine double, share double, print long, block int"
     out = as_arrow(schema)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -347,14 +378,31 @@ def search(rows: DataFrame, key: str, space: Space, item: str) -> DataFrame:
             found = []
             for doc, text in text_batches(batch):
                 numbers = space.items.numbers(word_hashes(text))
-                for number, (cosine, share) in space.leaks(numbers).items():
-                    found.append((doc, space.items.ids[number], cosine, share))
+                hits = space.leaks(numbers)
+                print_ = xxhash.xxh64_intdigest(text) - (1 << 63) if hits else 0
+                for number, (cosine, share) in hits.items():
+                    found.append((doc, space.items.ids[number], cosine, share, print_, block))
             if found:
                 yield as_rows(found, out)
 
     return importable(rows).mapInArrow(run, schema)
 
 
+def once_per_row(hits: DataFrame) -> DataFrame:
+    """An item whose segments are in several blocks is one hit of a document row.
+
+    Equal rows are found equally often by each block that finds them; they stay as
+    many as they are.
+    """
+    of_block = hits.groupBy("doc", "item", "print", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("cosine").alias("cosine"), F.max("share").alias("share")
+    )
+    best = of_block.groupBy("doc", "item", "print").agg(
+        F.max("n").alias("n"), F.max("cosine").alias("cosine"), F.max("share").alias("share")
+    )
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -370,29 +418,36 @@ def leaks(
     """``doc, item, cosine, share``: one row per document row and leaked item."""
     key, item = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (benchmark, item_col)))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     given = benchmark.select(
-        F.col(item_col).alias("item"),
-        F.col(item_text).cast("string").alias("text"),
-        F.col(answer_col).cast("string").alias("answer") if answer_col else F.lit(None).cast("string").alias("answer"),
+        F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"), answer.alias("answer")
     )
+    # Items of one text and answer are searched once, under a number.
+    texts = given.select("text", "answer").distinct().withColumn("number", F.monotonically_increasing_id())
+    texts = staged(texts)
+    same = given["text"].eqNullSafe(texts["text"]) & given["answer"].eqNullSafe(texts["answer"])
+    named = staged(given.join(texts, same).select("item", "number"))
     words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"))
-    n = given.agg(F.sum(F.ceil(words / PASSAGE))).first()[0] or 0
+    n = texts.agg(F.sum(F.ceil(words / PASSAGE))).first()[0] or 0
     blocks = -(-n // BLOCK)
-    place = F.pmod(F.xxhash64("item", "text"), F.lit(max(blocks, 1)))
-    found = []
+    place = F.pmod(F.xxhash64("number"), F.lit(max(blocks, 1)))
+    found, long_items = [], False
     for block in range(blocks):
-        part = [tuple(r) for r in given.filter(place == block).collect()]
-        items = items_of(part)
-        if items is None:
-            continue
-        df, total = frequencies(rows, items)
-        idf = np.log((1 + total) / (1 + df)) + 0.01
-        corpus = singular_vectors(sketch(rows, items, idf))
-        found.append(search(rows, key, Space(items, idf, corpus, share, full), item))
+        part = [tuple(r) for r in texts.filter(place == block).select("number", "text", "answer").collect()]
+        groups = items_of(part)
+        long_items = long_items or len(groups) > 1
+        for items in groups:
+            df, total = frequencies(rows, items)
+            idf = np.log((1 + total) / (1 + df)) + 0.01
+            corpus = singular_vectors(sketch(rows, items, idf))
+            found.append(search(rows, key, Space(items, idf, corpus, share, full), len(found)))
     if not found:
         schema = f"doc {key}, item {item}, cosine double, share double"
         return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionAll, found)
+    hits = reduce(DataFrame.unionAll, found)
+    if long_items:
+        hits = once_per_row(hits)
+    return hits.withColumnRenamed("item", "number").join(named, "number").select("doc", "item", "cosine", "share")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
