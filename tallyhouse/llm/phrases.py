@@ -294,22 +294,25 @@ def _stripe_batches(lang, runs, counts, shards, names, bounds) -> Iterator[pa.Re
         low, high = bounds[begin], bounds[end]
         heads = runs[bounds[begin:end], :-1]
         prefix = [" ".join(p) for p in names[heads].tolist()]
-        offsets = pa.array(bounds[begin : end + 1] - low, pa.int32())
-        keys = pa.array(names[runs[low:high, -1]], pa.string())
-        stripe = pa.MapArray.from_arrays(offsets, keys, pa.array(counts[low:high], pa.int64()))
+        edges = bounds[begin : end + 1] - low
+        last = names[runs[low:high, -1]].tolist()
+        words = [" ".join(last[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        times = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(counts[low:high], pa.int32()))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([lang] * len(prefix), pa.string()),
                 pa.array(prefix, pa.string()),
                 pa.array(shards[bounds[begin:end]], pa.int32()),
-                stripe,
+                pa.array(words, pa.string()),
+                times,
             ],
             STRIPE,
         )
         begin = end
 
 
-STRIPE = ["lang", "prefix", "shard", "stripe"]
+#: A stripe's next words, joined by spaces, and their counts: a compact map.
+STRIPE = ["lang", "prefix", "shard", "words", "times"]
 
 
 def stripes(texts: DataFrame, size: int, filter_: Broadcast | None, hot: np.ndarray | None = None) -> DataFrame:
@@ -322,13 +325,14 @@ def stripes(texts: DataFrame, size: int, filter_: Broadcast | None, hot: np.ndar
                 yield from held.add(lang.as_py(), text.as_py())
         yield from held.finish()
 
-    return importable(texts).mapInArrow(run, "lang string, prefix string, shard int, stripe map<string,bigint>")
+    return importable(texts).mapInArrow(run, "lang string, prefix string, shard int, words string, times array<int>")
 
 
 def merged(parts: DataFrame, least: int) -> DataFrame:
     """Stripes added element by element: ``lang, prefix, next, found``, from ``least`` on."""
     whole = parts.repartition("lang", "prefix", "shard")
-    entries = whole.select("lang", "prefix", "shard", F.explode("stripe").alias("next", "found"))
+    pairs = F.arrays_zip(F.split("words", " ").alias("next"), F.col("times").alias("found"))
+    entries = whole.select("lang", "prefix", "shard", F.inline(pairs))
     total = entries.groupBy("lang", "prefix", "shard", "next").agg(F.sum("found").alias("found"))
     return total.filter(F.col("found") >= least).drop("shard")
 

@@ -93,10 +93,10 @@ def test_small_tasks_and_rows(docs, monkeypatch):
     total = Counter()
     batches = [b for text, lang in rows for b in held.add(lang or "und", (text or "").encode())]
     for batch in [*batches, *held.finish()]:
-        for lang, prefix, shard, stripe in zip(*(c.to_pylist() for c in batch.columns)):
-            assert len(stripe) <= 3 and (not shard or prefix == "the")
+        for lang, prefix, shard, words, times in zip(*(c.to_pylist() for c in batch.columns)):
+            assert len(times) <= 3 and (not shard or prefix == "the")
             shards.add(shard)
-            for word, n in stripe:
+            for word, n in zip(words.split(" "), times, strict=True):
                 total[lang, prefix, word] += n
     want = Counter()
     for text, lang in rows:
