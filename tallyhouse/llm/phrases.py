@@ -10,8 +10,10 @@ of those that end alike) says whether a longer phrase subsumes a shorter one.
 
 A phrase that is found ``least`` times consists of phrases found as often, so a
 level only takes runs whose two shorter ones are in a Bloom filter of the level
-before. The filter has a fixed greatest size. What passes wrongly is counted exactly
-and dropped, so a full filter costs time and never changes a result. Stripes leave a
+before. The filter has a fixed greatest size. Runs of two and three words, of which
+most are rare, are screened first: their hashes are counted, five bytes for each, and a
+filter of those found often enough joins the first one. What passes wrongly is counted
+exactly and dropped, so full filters cost time and never change a result. Stripes leave a
 task in rows of at most ``ROW`` entries and are shuffled whole, by prefix, so that a
 prefix is sent once and not with every entry. The stripes of the prefixes that make
 up a thousandth of all words or more, of which there are a thousand at most, and that
@@ -48,11 +50,15 @@ SHARDS, WORD_SHARDS = 64, 4096
 #: A prefix is hot that has one in so many of all words.
 HOT = 1000
 #: Positions that a task groups at a time, and groups it keeps before it sends them.
-CHUNK, KEEP = 1 << 17, 1 << 18
+CHUNK, KEEP = 1 << 17, 1 << 20
 #: Words of which a task knows the numbers; bounds on memory, not on results.
-VOCABULARY = 1 << 17
+VOCABULARY = 1 << 19
 #: A Bloom filter has at most this many bits, and this many for each phrase.
 MOST_BITS, BITS_EACH, PROBES = 1 << 28, 16, 4
+#: Runs of so many words are screened by their hashes; longer ones have passed enough.
+SCREENED = (2, 3)
+#: Words of the corpus for each range of hashes, which one task adds up.
+RANGE_WORDS = 1 << 20
 #: Bits of the filter that one task sets.
 SEGMENT = 1 << 20
 
@@ -108,23 +114,32 @@ def contains(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
+def hash_of_phrase(phrase: str) -> np.uint64:
+    return run_hashes([np.array([word_hash(w)], dtype=np.uint64) for w in phrase.encode().split(b" ")])[0]
+
+
 def bloom(phrases: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """A filter of ``phrase``, at most ``most_bits / 8`` bytes whatever their number.
+    """A filter of ``phrase``, at most ``most_bits / 8`` bytes whatever their number."""
 
-    Bits are set by segments, each in the task its places are sent to.
-    """
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([hash_of_phrase(p) for p in batch.column(0).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
+
+    return bloom_of_hashes(importable(phrases.select("phrase")).mapInArrow(hashed, "hash long"), phrases.count(), most_bits)
+
+
+def bloom_of_hashes(hashes: DataFrame, n: int, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A filter of ``n`` values of ``hash``. Its bits are set by segments, each in the
+    task its places are sent to."""
     bits = 1 << 16
-    while bits < min(most_bits, phrases.count() * BITS_EACH):
+    while bits < min(most_bits, n * BITS_EACH):
         bits *= 2
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashed = [
-                run_hashes([np.array([word_hash(w)], dtype=np.uint64) for w in phrase.encode().split(b" ")])[0]
-                for phrase in batch.column(0).to_pylist()
-            ]
-            found = [p for p in probes(np.array(hashed, dtype=np.uint64), bits)]
-            place = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint64)
+            hashed = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            place = np.unique(np.concatenate(list(probes(hashed, bits))))
             columns = [(place // SEGMENT).astype(np.int64), (place % SEGMENT).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["segment", "place"])
 
@@ -134,7 +149,7 @@ def bloom(phrases: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
         np.bitwise_or.at(held, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
         return pa.table({"segment": [key[0].as_py()], "held": pa.array([held.tobytes()], pa.binary())})
 
-    spread = importable(phrases.select("phrase")).mapInArrow(places, "segment long, place int")
+    spread = importable(hashes).mapInArrow(places, "segment long, place int")
     segments = spread.distinct().groupBy("segment").applyInArrow(set_bits, "segment long, held binary")
     out = np.zeros(bits // 8, dtype=np.uint8)
     for segment in segments.toLocalIterator():
@@ -149,11 +164,20 @@ def bloom(phrases: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
 class Stripes:
     """Runs of ``size`` words of one task's texts, grouped by language.
 
-    ``hot`` are hashes of the prefixes whose stripes are sharded.
+    ``hot`` are hashes of the prefixes whose stripes are sharded, ``often`` is a
+    filter of the runs themselves. With ``ranges`` nothing but the runs' hashes is
+    counted, and leaves by :meth:`screened`.
     """
 
-    def __init__(self, size: int, filter_: np.ndarray | None, hot: np.ndarray | None = None):
-        self.size, self.filter = size, filter_
+    def __init__(
+        self,
+        size: int,
+        filter_: np.ndarray | None,
+        hot: np.ndarray | None = None,
+        often: np.ndarray | None = None,
+        ranges: int = 0,
+    ):
+        self.size, self.filter, self.often, self.ranges = size, filter_, often, ranges
         self.hot = np.empty(0, dtype=np.uint64) if hot is None else hot
         self._forget()
 
@@ -218,6 +242,14 @@ class Stripes:
         within[starts] = True
         both = starts[within[starts + 1]]
         # A run of ``size`` words: the next shorter run begins one word on, in one piece.
+        if self.ranges or self.often is not None:
+            hashes = run_hashes([self.hashes[codes[both + i]] for i in range(size)])
+            if self.ranges:
+                found, counts = np.unique(hashes, return_counts=True)
+                self.runs[lang].append((found, counts))
+                self.kept += len(found)
+                return
+            both = both[contains(self.often, hashes & np.uint64(0xFFFFFFFF))]
         self._keep(lang, [codes[both + i] for i in range(size)])
         self._keep(lang, [*[codes[starts + i] for i in range(short)], np.zeros(len(starts), dtype=np.int32)])
 
@@ -229,6 +261,13 @@ class Stripes:
     def _compact(self) -> None:
         self.kept = 0
         for lang, parts in self.runs.items():
+            if self.ranges:
+                found, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                counts = np.zeros(len(found), dtype=np.int64)
+                np.add.at(counts, at, np.concatenate([p[1] for p in parts]))
+                self.runs[lang] = [(found, counts)]
+                self.kept += len(found)
+                continue
             runs, counts = grouped(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             self.runs[lang] = [(runs, counts)]
             self.kept += len(runs)
@@ -238,12 +277,42 @@ class Stripes:
         for lang in [k for k, v in self.words.items() if v]:
             self._group(lang)
         self._compact()
-        names = np.array([w.decode("utf-8") for w in self.numbers], dtype=object)
+        if self.ranges:
+            yield from self._screened()
+            return
+        used = np.zeros(len(self.numbers), dtype=bool)
+        for ((runs, _),) in self.runs.values():
+            used[runs] = True
+        names = np.empty(len(used), dtype=object)
+        for i, word in enumerate(self.numbers):
+            if used[i]:
+                names[i] = word.decode("utf-8")
         self._hash_new()
         for lang, ((runs, counts),) in self.runs.items():
             yield from stripe_rows(lang, runs, counts, self._shards(runs), names)
         self._forget()
 
+    def _screened(self) -> Iterator[pa.RecordBatch]:
+        """``lang, part, hashes, counts``: low halves of the hashes of each range, and
+        their counts in a byte, which may stop at 255 as that is often enough."""
+        for lang, ((found, counts),) in self.runs.items():
+            part = (mix(found) % np.uint64(self.ranges)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, found = part[order], found[order].astype(np.uint32)
+            counts = np.minimum(counts[order], 255).astype(np.uint8)
+            start = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(part)]):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang], pa.string()),
+                        pa.array(part[a : a + 1], pa.int64()),
+                        pa.array([found[a:b].tobytes()], pa.binary()),
+                        pa.array([counts[a:b].tobytes()], pa.binary()),
+                    ],
+                    SCREEN,
+                )
+        self._forget()
+
     def _shards(self, runs: np.ndarray) -> np.ndarray:
         last = mix(self.hashes[runs[:, -1]])
         if self.size == 1:
@@ -271,7 +340,7 @@ def grouped(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def stripe_rows(
     lang: str, runs: np.ndarray, counts: np.ndarray, shards: np.ndarray, names: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    """``lang, prefix, shard, stripe`` rows of at most ``ROW`` entries, prefixes side by side."""
+    """``lang, prefix, shard, words, times`` rows of at most ``ROW`` entries, prefixes side by side."""
     if not len(runs):
         return
     order = np.lexsort((shards, *runs[:, :-1].T[::-1]))
@@ -315,17 +384,63 @@ def _stripe_batches(lang, runs, counts, shards, names, bounds) -> Iterator[pa.Re
 STRIPE = ["lang", "prefix", "shard", "words", "times"]
 
 
-def stripes(texts: DataFrame, size: int, filter_: Broadcast | None, hot: np.ndarray | None = None) -> DataFrame:
-    """The tasks' stripes of runs of ``size`` words of ``lang, text``."""
+SCREEN = ["lang", "part", "hashes", "counts"]
+
+
+def of_texts(texts: DataFrame, schema: str, make) -> DataFrame:
+    """What the :class:`Stripes` of each task, made by ``make``, give for its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Stripes(size, None if filter_ is None else filter_.value, hot)
+        held = make()
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
                 yield from held.add(lang.as_py(), text.as_py())
         yield from held.finish()
 
-    return importable(texts).mapInArrow(run, "lang string, prefix string, shard int, words string, times array<int>")
+    return importable(texts).mapInArrow(run, schema)
+
+
+def stripes(
+    texts: DataFrame,
+    size: int,
+    filter_: Broadcast | None,
+    hot: np.ndarray | None = None,
+    often: Broadcast | None = None,
+) -> DataFrame:
+    """The tasks' stripes of runs of ``size`` words of ``lang, text``."""
+
+    def make() -> Stripes:
+        return Stripes(size, filter_ and filter_.value, hot, often and often.value)
+
+    return of_texts(texts, "lang string, prefix string, shard int, words string, times array<int>", make)
+
+
+def screen(
+    texts: DataFrame, size: int, filter_: Broadcast, words: int, least: int, most_bits: int
+) -> np.ndarray:
+    """A filter of the runs whose hashes are found ``least`` times in one language.
+
+    The low halves of the hashes are added up by ranges of hashes, a task's own
+    first; runs that share one only pass together.
+    """
+    ranges = 1 + words // RANGE_WORDS
+    parts = of_texts(
+        texts,
+        "lang string, part long, hashes binary, counts binary",
+        lambda: Stripes(size, filter_.value, ranges=ranges),
+    )
+
+    def add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        low = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table.column("hashes")])
+        n = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("counts")])
+        found, at = np.unique(low, return_inverse=True)
+        total = np.bincount(at, weights=n, minlength=len(found))
+        often = found[total >= min(least, 255)].astype(np.int64)
+        return pa.table({"hash": pa.array(often, pa.int64())})
+
+    grouped_ = importable(parts).groupBy("lang", "part").applyInArrow(add_up, "hash long")
+    kept = staged(grouped_.distinct())
+    return bloom_of_hashes(kept, kept.count(), most_bits)
 
 
 def merged(parts: DataFrame, least: int) -> DataFrame:
@@ -340,11 +455,7 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
 def hot_prefixes(level: DataFrame, words: int) -> np.ndarray:
     """Hashes of phrases that hold a thousandth of all words: a thousand at most."""
     rows = level.filter((F.col("next") != "") & (F.col("found") * HOT >= words)).select(phrase()).collect()
-    hashed = [
-        run_hashes([np.array([word_hash(w)], dtype=np.uint64) for w in row[0].encode().split(b" ")])[0]
-        for row in rows
-    ]
-    return np.array(hashed, dtype=np.uint64)
+    return np.array([hash_of_phrase(row[0]) for row in rows], dtype=np.uint64)
 
 
 # -- phrases ---------------------------------------------------------------
@@ -361,15 +472,20 @@ def levels(
     )
     out: list[DataFrame] = []
     for size in range(1, mining.longest + 1):
-        filter_ = hot = None
+        filter_ = hot = often = None
         if out:
             words = out[0].filter("next = ''").agg(F.sum("found")).first()[0] or 0
             hot = hot_prefixes(out[-1], words)
             found = out[-1].filter("next <> ''").select(phrase().alias("phrase")).distinct()
             filter_ = spark.sparkContext.broadcast(bloom(found, most_bits))
-        out.append(staged(merged(stripes(texts, size, filter_, hot), mining.least), folder))
-        if filter_ is not None:
-            filter_.unpersist()
+            if size in SCREENED:
+                passed = screen(texts, size, filter_, words, mining.least, most_bits)
+                often = spark.sparkContext.broadcast(passed)
+        parts = stripes(texts, size, filter_, hot, often)
+        out.append(staged(merged(parts, mining.least), folder))
+        for sent in (filter_, often):
+            if sent is not None:
+                sent.unpersist()
     return out
 
 
