@@ -10,9 +10,9 @@ of those that end alike) says whether a longer phrase subsumes a shorter one.
 
 A phrase that is found ``least`` times consists of phrases found as often, so a
 level only takes runs whose two shorter ones are in a Bloom filter of the level
-before. The filter has a fixed greatest size. Runs of two and three words, of which
-most are rare, are screened first: their hashes are counted, five bytes for each, and a
-filter of those found often enough joins the first one. What passes wrongly is counted
+before. The filter has a fixed greatest size. Pairs of words, of which most are rare,
+are screened first: their hashes are counted, five bytes for each, and a filter of
+those found often enough joins the first one. What passes wrongly is counted
 exactly and dropped, so full filters cost time and never change a result. Stripes leave a
 task in rows of at most ``ROW`` entries and are shuffled whole, by prefix, so that a
 prefix is sent once and not with every entry. The stripes of the prefixes that make
@@ -56,7 +56,7 @@ VOCABULARY = 1 << 19
 #: A Bloom filter has at most this many bits, and this many for each phrase.
 MOST_BITS, BITS_EACH, PROBES = 1 << 28, 16, 4
 #: Runs of so many words are screened by their hashes; longer ones have passed enough.
-SCREENED = (2, 3)
+SCREENED = (2,)
 #: Words of the corpus for each range of hashes, which one task adds up.
 RANGE_WORDS = 1 << 20
 #: Bits of the filter that one task sets.
