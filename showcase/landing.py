@@ -9,13 +9,13 @@ from showcase.fixtures import DELTA_SINCE, fixture, spine_fixture
 from showcase.registry import query
 from tallyhouse.operators import counts, merge
 from tallyhouse.operators.tree import hierarchy_paths
-from tallyhouse.schemas import CAPTURE_TIME
+from tallyhouse.schemas import CAPTURE_TIME, SPINE
 from tallyhouse.sources import items as item_source
 from tallyhouse.sources.contract import source_rows_to_spine
 from tallyhouse.sources.organization import unit_rows
 from tallyhouse.sources.results import json_lines
-from tallyhouse.sources.snapshots import latest_snapshots
-from tallyhouse.sources.store import work_folder
+from tallyhouse.sources.snapshots import latest_snapshots, read_latest_snapshots
+from tallyhouse.sources.store import Files, work_folder
 
 _CLAIMED = "Demo::App::signup"
 
@@ -58,6 +58,59 @@ def latest_snapshot(spark, d):
     return latest_snapshots(fixture(spark, d, "fx_snapshot")).drop("day")
 
 
+#: Day folders of the demo snapshots; the newest is not the last by name.
+_DAY = "CASE WHEN day(captureTime) < 10 THEN 9 WHEN day(captureTime) < 20 THEN 10 ELSE 20 END"
+
+
+@query(
+    "src_snapshots",
+    f"""WITH days AS (SELECT *, {_DAY} AS snapshotDay FROM fx_changes)
+        SELECT {BRIEF_SQL} FROM days
+        QUALIFY snapshotDay = max(snapshotDay) OVER (PARTITION BY accountId, awsRegion)""",
+)
+def src_snapshots(spark, d):
+    """Three days of compressed snapshot documents for each account and region, of
+    which the newest there are found and read. A document is one file whose lines
+    are its head, its items and its end."""
+    folder = work_folder(spark)
+    rows = changes(spark, d).withColumn("at", F.col(CAPTURE_TIME)).withColumn("snapshotDay", F.expr(_DAY.replace("captureTime", "at")))
+    place = ["accountId", "awsRegion", "snapshotDay"]
+    documents = [F.col(c) for c in ("configuration", "supplementaryConfiguration")]
+    scalars = F.to_json(
+        F.struct(*[c for c in SPINE.names if c not in ("configuration", "supplementaryConfiguration")]),
+        {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"},
+    )
+    item = F.concat(
+        F.expr("left(scalars, length(scalars) - 1)"),
+        F.lit(',"configuration":'), documents[0],
+        F.lit(',"supplementaryConfiguration":'), documents[1], F.lit("}"),
+    )
+    items = rows.withColumn("scalars", scalars).select(*place, F.lit(1).alias("part"), F.concat(F.lit(","), item).alias("value"))
+    head = '{"fileVersion":"1.0","note":"a } b","configurationItems":['
+    # The empty item in front lets every other one begin with a comma.
+    blank = '{"resourceId":"blank"}'
+    ends = rows.select(*place).distinct().select(
+        *place, F.inline(F.array(
+            F.struct(F.lit(0).alias("part"), F.lit(head + blank).alias("value")),
+            F.struct(F.lit(2).alias("part"), F.lit("]}").alias("value")),
+        )),
+    )
+    (
+        items.unionByName(ends).repartition(*place).sortWithinPartitions(*place, "part")
+        .drop("part").write.partitionBy(*place).option("compression", "gzip").text(f"{folder}/written")
+    )
+    files = Files(spark)
+    for account in files.folders(f"{folder}/written"):
+        for region in files.folders(f"{folder}/written/{account}"):
+            for day in files.folders(f"{folder}/written/{account}/{region}"):
+                names = [n.partition("=")[2] for n in (account, region, day)]
+                files.rename(
+                    f"{folder}/written/{account}/{region}/{day}",
+                    f"{folder}/AWSLogs/{names[0]}/Config/{names[1]}/2024/1/{names[2]}/ConfigSnapshot",
+                )
+    return brief(read_latest_snapshots(spark, folder).filter("resourceId <> 'blank'"))
+
+
 @query(
     "tags_map",
     "SELECT arn, nameTag AS name, awsRegion AS env, 2 AS n FROM fx_changes",

@@ -44,6 +44,18 @@ class Files:
             s.getPath().getName() for s in self._fs(path).listStatus(self._path(path))
         )
 
+    def folders(self, path: str) -> list[str]:
+        if not self.exists(path):
+            return []
+        listed = self._fs(path).listStatus(self._path(path))
+        return sorted(s.getPath().getName() for s in listed if s.isDirectory())
+
+    def rename(self, path: str, to: str) -> None:
+        """Move a file or folder to a place whose parent is made if need be."""
+        self._fs(to).mkdirs(self._path(to).getParent())
+        if not self._fs(path).rename(self._path(path), self._path(to)):
+            raise OSError(f"cannot rename {path} to {to}")
+
     def read_line(self, path: str) -> str:
         stream = self._fs(path).open(self._path(path))
         try:

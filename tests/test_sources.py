@@ -9,7 +9,7 @@ from tallyhouse.schemas import SPINE
 from tallyhouse.sources import items, results, snapshots
 from tallyhouse.sources.contract import source_rows_to_spine
 from tallyhouse.sources.organization import named_accounts, policy_documents, policy_versions, unit_rows
-from tallyhouse.sources.store import Store, staged
+from tallyhouse.sources.store import Files, Store, staged
 
 from .conftest import ids, item
 
@@ -139,6 +139,82 @@ def test_envelope_without_items_fails(spark, tmp_path):
         snapshots.read_latest_snapshots(spark, str(tmp_path)).collect()
 
 
+class CountingFiles(Files):
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.listed = []
+
+    def children(self, path):
+        self.listed.append(path)
+        return super().children(path)
+
+
+def test_the_walk_lists_no_history(spark, tmp_path):
+    for year in (2022, 2023, 2024):
+        for month in (1, 2, 11):
+            for day in (3, 9, 21):
+                snapshot(tmp_path / "prefix", "1", "eu", f"{year}/{month}/{day}", "a.json.gz", envelope("x"))
+    snapshot(tmp_path / "prefix", "1", "eu", "2024/11/30", "a.json.gz", None)
+    files = CountingFiles(spark)
+    found = snapshots.newest_snapshot_paths(spark, str(tmp_path), files)
+    assert [f.partition("/Config/")[2] for f in found] == ["eu/2024/11/21/ConfigSnapshot/a.json.gz"]
+    # Accounts, regions, years, months, days, and the objects of two days.
+    assert len(files.listed) == 7
+    listing = snapshots.latest_snapshots(snapshots.list_snapshot_paths(spark, str(tmp_path)))
+    assert [r.path.partition("/Config/")[2] for r in listing.collect()] == [f.partition("/Config/")[2] for f in found]
+    assert snapshots.newest_snapshot_paths(spark, str(tmp_path / "none")) == []
+
+
+AWKWARD = {
+    "head": {"configurationItems": [{"resourceId": "no"}], "text": 'a } ] " \\'},
+    "configurationItems": [
+        item(resource_id='q"}]', configuration={"policy": '{"a":[{"b":"}"}]}', "l": [[], [{}], "]"]}, tags={"k": "\\"}),
+        item(resource_id="é}", configuration=None, supplementaryConfiguration={"deep": {"er": [{"x": {}}]}}, tags={}),
+    ],
+    "tail": [{"configurationItems": [1]}, "}"],
+}
+
+
+def plain_rows(df):
+    """Rows with their JSON texts parsed, as white space in these may differ."""
+    texts = ("configuration", "supplementaryConfiguration")
+    return [{k: json.loads(v) if k in texts and v else v for k, v in r.asDict().items()} for r in df.collect()]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_items_are_cut_out_of_documents(spark, tmp_path, indent):
+    text = json.dumps(AWKWARD, indent=indent, ensure_ascii=False)
+    with gzip.open(tmp_path / "a.json.gz", "wt", encoding="utf-8") as f:
+        f.write(text + "\n")
+    (tmp_path / "b.json").write_text(text, encoding="utf-8")
+    streamed = snapshots.read_snapshots(spark, [str(tmp_path / "a.json.gz")])
+    whole = snapshots.read_snapshots(spark, [str(tmp_path / "b.json")])
+    assert streamed.schema.names == whole.schema.names
+    assert plain_rows(streamed) == plain_rows(whole) and ids(streamed) == ['q"}]', "é}"]
+    both = snapshots.read_snapshots(spark, [str(tmp_path / n) for n in ("a.json.gz", "b.json")])
+    assert both.count() == 4 and snapshots.read_snapshots(spark, []).count() == 0
+
+
+@pytest.mark.parametrize("text", ['{"configurationItems":[{"a":1', '{"configurationItems":[{"a":1}', '{"configurationItems":[1]}',
+                                  '{"configurationItems":null}', '{"configurationItems":[]} x'])
+def test_broken_documents_fail(spark, tmp_path, text):
+    with gzip.open(tmp_path / "a.json.gz", "wt") as f:
+        f.write(text)
+    with pytest.raises(Exception, match="malformed json"):
+        snapshots.read_snapshots(spark, [str(tmp_path / "a.json.gz")]).collect()
+
+
+def test_a_long_document_is_held_by_the_item(spark, tmp_path):
+    held, splitter = 0, snapshots.ItemSplitter()
+    count = 0
+    lines = ['{"configurationItems":['] + [json.dumps(item(resource_id=str(i), configuration={"t": "}" * 50})) + "," for i in range(5000)]
+    for piece in "".join(lines).rstrip(",").__add__("]}").split("}")[:-1]:
+        count += splitter.feed(piece) is not None
+        held = max(held, sum(map(len, splitter._parts)))
+    splitter.close()
+    assert count == 5000 and held < 1000
+
+
 def test_unit_rows_keep_tags_by_id(spark):
     units = spark.createDataFrame(
         [(f"ou-{i}", f"arn:{i}", f"name-{i}", "r-root" if i else None) for i in range(12)],
