@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +20,13 @@ from tallyhouse.plans import builtin
 from tallyhouse.plans.inventory import BuildInputs, BuildSettings, Inventory
 from tallyhouse.plans.query import columns_of
 from tallyhouse.plans.transforms import (
+    APPLIED,
     CustomTable,
+    Registry,
     custom_table,
+    run_transforms,
     spine_conditions,
+    sql_global_transform,
     sql_transform,
 )
 from tallyhouse.schemas import JSON_COLUMNS, SPINE, table_name
@@ -487,6 +493,94 @@ def group_membership_unscoped(spark, d):
     return _membership(spark, d, False)
 
 
+_PRINCIPAL_SQL = f"""WITH {_STATEMENTS_SQL},
+    attached AS (
+        SELECT 'iam_role' AS tab, principal AS arn, policyArn FROM fx_attached
+        UNION SELECT 'iam_group', 'arn:group:' || accountId || '/' || groupName, 'arn:pol:' || substr(groupName, 3) FROM fx_group
+        UNION SELECT 'iam_user', arn, 'arn:pol:' || substr(arn, 10) FROM fx_role),
+    known AS (SELECT DISTINCT tab, a.arn FROM attached a JOIN fx_policy p ON p.arn = a.policyArn),
+    inline AS (
+        SELECT 'iam_role' AS tab, principal AS arn, '{{"Effect":"' || substr(principal, 10) || '"}}' AS statement FROM fx_attached
+        UNION SELECT 'iam_group', 'arn:group:' || accountId || '/' || groupName, statement FROM fx_group
+        UNION SELECT 'iam_user', arn, '{{"Effect":"' || accountId || '"}}' FROM fx_role),
+    own AS (
+        SELECT a.tab, a.arn, s.statement FROM attached a JOIN stmts s ON s.arn = a.policyArn
+        UNION SELECT i.tab, i.arn, i.statement FROM inline i JOIN known k ON k.tab = i.tab AND k.arn = i.arn),
+    member AS (SELECT arn, 'arn:group:' || accountId || '/' || unnest(string_split(groupNames, ',')) AS team FROM fx_role),
+    every AS (
+        SELECT * FROM own
+        UNION SELECT 'iam_user', m.arn, o.statement FROM member m JOIN own o ON o.tab = 'iam_group' AND o.arn = m.team),
+    texts AS (SELECT tab, arn, string_agg(statement, '|' ORDER BY statement) AS statements FROM every GROUP BY tab, arn)
+    SELECT b.tab, b.arn, CASE WHEN k.arn IS NOT NULL OR b.tab = 'iam_user' THEN coalesce(t.statements, '') END AS statements
+    FROM (SELECT DISTINCT tab, arn FROM attached) b
+    LEFT JOIN known k ON k.tab = b.tab AND k.arn = b.arn
+    LEFT JOIN texts t ON t.tab = b.tab AND t.arn = b.arn"""
+
+
+@query("principal_policies", _PRINCIPAL_SQL)
+def principal_policies(spark, d):
+    """The whole transform of roles, groups and users, with several attachments and
+    inline documents for one principal, and groups none of whose policies is known."""
+
+    def encoded(document):
+        return F.replace(F.url_encode(document), F.lit("+"), F.lit("%20"))
+
+    def principals(df, arn, account, name, arns, statement, inline, *extra):
+        """Rows of a derived table; ``arns`` and ``statement`` are aggregates."""
+        document = F.concat(F.lit('{"Statement":['), F.array_join(F.collect_set(statement), ","), F.lit("]}"))
+        return df.groupBy(arn.alias("arn"), account.alias("accountId"), name.alias("resourceName"), *extra).agg(
+            F.transform(F.collect_set(arns), lambda a: F.struct(a.alias("policyName"), a.alias("policyArn"))).alias("attachedManagedPolicies"),
+            F.array(F.struct(F.lit("inline").alias("policyName"), encoded(document).alias("policyDocument"))).alias(inline),
+        ).select("*", F.lit("global").alias("awsRegion"), F.lit("T").alias("resourceType"), F.col("arn").alias("resourceId"))
+
+    own = fixture(spark, d, "fx_policy")
+    versions = F.array(F.struct(F.lit(True).alias("isDefaultVersion"), encoded("policyDocument").alias("document")))
+    attached, group, role = (fixture(spark, d, f) for f in ("fx_attached", "fx_group", "fx_role"))
+    tables = {
+        "iam_policy": own.filter("managed = 0").select("arn", versions.alias("policyVersionList")),
+        "aws_managed_policy": own.filter("managed = 1").select("arn", jsontext.statements(F.col("policyDocument")).alias("policyStatements")),
+        "iam_role": principals(
+            attached, F.col("principal"), F.lit("1"), F.col("principal"), F.col("policyArn"),
+            F.concat(F.lit('{"Effect":"'), F.substring("principal", 10, 100), F.lit('"}')), "rolePolicyList",
+        ).withColumn("assumeRolePolicyDocument", F.lit("%7B%7D")),
+        "iam_group": principals(
+            group, F.concat(F.lit("arn:group:"), "accountId", F.lit("/"), "groupName"), F.col("accountId"), F.col("groupName"),
+            F.concat(F.lit("arn:pol:"), F.substring("groupName", 3, 100)), F.col("statement"), "groupPolicyList",
+        ),
+        "iam_user": principals(
+            role, F.col("arn"), F.col("accountId"), F.col("arn"), F.concat(F.lit("arn:pol:"), F.substring("arn", 10, 100)),
+            F.concat(F.lit('{"Effect":"'), "accountId", F.lit('"}')), "userPolicyList", F.split("groupNames", ",").alias("groupList"),
+        ),
+    }
+    out = builtin.principal_policies(tables)
+    parts = [
+        out[t].select(F.lit(t).alias("tab"), "arn", _joined("effectivePolicyStatements").alias("statements"))
+        for t in ("iam_role", "iam_group", "iam_user")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "g_sql_condition",
+    """SELECT lower(replace(resourceType, '::', '_')) AS name, sum(CASE WHEN nameTag IS NULL THEN 1 ELSE 0 END) * 2 > count(*) AS applied,
+              count(*) AS n FROM fx_changes GROUP BY resourceType""",
+)
+def g_sql_condition(spark, d):
+    """A condition in SQL on the rows of every derived table, answered by one action."""
+    spine = changes(spark, d)
+    add = sql_global_transform(
+        "untagged", "SELECT *, true AS mostlyUntagged FROM {table}",
+        "SELECT count_if(tags['Name'] IS NULL) * 2 > count(*) FROM {table}",
+    )
+    run = run_transforms({table_name(t): typed(spine, t) for t in DEMO_TYPES}, Registry(user_global=[add]))
+    status = {table: status for _, table, status, _ in run.report}
+    parts = [
+        df.agg(F.lit(name).alias("name"), F.lit(status[name] == APPLIED and "mostlyUntagged" in df.columns).alias("applied"), F.count("*").alias("n"))
+        for name, df in run.tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _ISO = "yyyy-MM-dd HH:mm:ss"
 
 

@@ -82,16 +82,21 @@ def member_statements(
 
     Groups are found by name and, unless ``scope_by_account`` is off, by account:
     the same group name in two accounts means two groups. The result is never
-    NULL.
+    NULL. What the groups of one name offer is made one set first, statement by
+    statement, so a user meets each of its names once, not every group so called.
     """
     on = ["groupName", "accountId"] if scope_by_account else ["groupName"]
     names = F.array_compact(F.array_distinct(F.col(group_list)))
     keep = list(dict.fromkeys([*key, *(["accountId"] if scope_by_account else [])]))
     membership = users.select(*keep, F.explode(names).alias("groupName"))
-    offered = groups.select(
-        F.col("resourceName").alias("groupName"),
-        *(["accountId"] if scope_by_account else []),
-        F.col(column).alias("_statements"),
+    offered = (
+        groups.select(
+            F.col("resourceName").alias("groupName"),
+            *(["accountId"] if scope_by_account else []),
+            F.explode(column).alias("_statement"),
+        )
+        .groupBy(*on)
+        .agg(F.collect_set("_statement").alias("_statements"))
     )
     inherited = (
         membership.join(offered, on)

@@ -11,10 +11,12 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhouse.functions.columns import actual_name, quote
 from tallyhouse.plans.sqltext import run_select
@@ -52,13 +54,16 @@ class GlobalTransform:
 
     ``condition`` gets the table's name and content. Where the condition is about
     rows, ``spine_condition`` may give it as an aggregate over the spine's rows
-    of a type, so that one pass over the spine answers it for all tables.
+    of a type, so that one pass over the spine answers it for all tables, or
+    ``query_condition`` as a query whose first value decides; the queries of all
+    tables then run side by side in one action.
     """
 
     name: str
     apply: Callable[[DataFrame], DataFrame]
     condition: Callable[[str, DataFrame], bool] | None = None
     spine_condition: Callable[[], Column] | None = None
+    query_condition: Callable[[DataFrame], DataFrame] | None = None
     version: str = ""
 
 
@@ -156,12 +161,66 @@ def run_transforms(
         _run_one(run, t)
     names = list(tables) if global_tables is None else list(global_tables)
     for g in registry.global_transforms():
-        for name in names:
-            if name in run.tables:
-                _run_global(run, g, name, known.get((g.name, name)))
+        present = [n for n in names if n in run.tables]
+        answers = {n: known[g.name, n] for n in present if (g.name, n) in known}
+        if g.query_condition is not None:
+            asked = {n: run.tables[n] for n in present if n not in answers}
+            answers |= query_answers(g.query_condition, asked)
+        for name in present:
+            _run_global(run, g, name, answers.get(name))
     return run
 
 
+def query_answers(
+    condition: Callable[[DataFrame], DataFrame], tables: Tables
+) -> dict[str, bool | Exception]:
+    """Whether the first value that ``condition`` finds in each table is true, with
+    one action for all tables. A query that fails is the answer of its table only."""
+    answers: dict[str, bool | Exception] = {}
+    queries: dict[str, DataFrame] = {}
+    for name, df in tables.items():
+        try:
+            queries[name] = _first_truth(condition(df)).select(F.lit(name).alias("name"), "holds")
+        except Exception as error:  # noqa: BLE001 - isolation is the point
+            answers[name] = error
+    if not queries:
+        return answers
+
+    def run(some: Sequence[str]) -> dict[str, bool | Exception]:
+        together = reduce(DataFrame.unionAll, [queries[n] for n in some])
+        found = {row.name: row.holds for row in together.collect()}
+        return {n: found.get(n, False) for n in some}
+
+    try:
+        return answers | run(list(queries))
+    except Exception as error:  # noqa: BLE001 - one of them is to blame
+        if len(queries) == 1:
+            return answers | {name: error for name in queries}
+    for name in queries:
+        try:
+            answers |= run([name])
+        except Exception as error:  # noqa: BLE001
+            answers[name] = error
+    return answers
+
+
+def _first_truth(df: DataFrame) -> DataFrame:
+    """One row at most: whether the first value is neither null, zero nor empty."""
+    first = df.limit(1).toDF(*[f"c{i}" for i in range(len(df.columns))])
+    kind, value = first.schema[0].dataType, F.col("c0")
+    if isinstance(kind, T.BooleanType):
+        holds = value
+    elif isinstance(kind, T.NumericType):
+        holds = value != 0
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        holds = F.length(value) > 0
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        holds = F.size(value) > 0
+    else:
+        holds = value.isNotNull()
+    return first.select(F.coalesce(holds, F.lit(False)).alias("holds"))
+
+
 def _run_one(run: TransformRun, t: Transform) -> None:
     target = ",".join(t.dependencies)
     missing = [d for d in t.dependencies if d not in run.tables]
@@ -183,10 +242,12 @@ def _run_one(run: TransformRun, t: Transform) -> None:
 
 
 def _run_global(
-    run: TransformRun, g: GlobalTransform, name: str, known: bool | None
+    run: TransformRun, g: GlobalTransform, name: str, known: bool | Exception | None
 ) -> None:
     df = run.tables[name]
     try:
+        if isinstance(known, Exception):
+            raise known
         holds = known
         if holds is None:
             holds = g.condition is None or g.condition(name, df)
@@ -241,14 +302,10 @@ def sql_global_transform(
     def query(df: DataFrame, text: str) -> DataFrame:
         return run_select({"this_table": df}, text.replace("{table}", "this_table"))
 
-    def holds(_: str, df: DataFrame) -> bool:
-        row = query(df, condition).first()
-        return bool(row and row[0])
-
     return GlobalTransform(
         name,
         lambda df: query(df, sql),
-        holds if condition else None,
+        query_condition=(lambda df: query(df, condition)) if condition else None,
         version=f"{sql} IF {condition}",
     )
 

@@ -4,6 +4,7 @@ from urllib.parse import quote
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tallyhouse.plans import builtin
 from tallyhouse.plans.builtin import default_registry
@@ -289,6 +290,26 @@ def test_global_transforms_run_on_every_table(tables):
     assert run.tables["two"].columns == ["id", "val", "g"]
 
 
+def test_sql_conditions_of_all_tables_are_one_action(spark, monkeypatch):
+    actions, collect = [], DataFrame.collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: actions.append(df) or collect(df))
+    tables = {f"t{i}": spark.range(i).selectExpr("id", "id % 2 AS val") for i in range(9)}
+    run = run_transforms(tables, Registry(user_global=[sql_global_transform("add", "SELECT *, 1 AS g FROM {table}", "SELECT count(*) > 1 FROM {table}")]))
+    assert len(actions) == 1
+    assert {t for (_, t), s in statuses(run).items() if s == APPLIED} == {f"t{i}" for i in range(2, 9)}
+
+
+def test_sql_conditions_fail_alone_and_take_any_type(spark):
+    tables = {"zero": spark.range(2), "text": spark.range(2).selectExpr("'x' AS id"), "none": spark.range(0), "other": spark.range(1).toDF("x")}
+    add = sql_global_transform("add", "SELECT *, 1 AS g FROM {table}", "SELECT id FROM {table} ORDER BY id")
+    got = statuses(run_transforms(tables, Registry(user_global=[add])))
+    assert got == {("add", "zero"): NO_CONDITION, ("add", "text"): APPLIED, ("add", "none"): NO_CONDITION, ("add", "other"): FAILED}
+    raising = sql_global_transform("add", "SELECT * FROM {table}", "SELECT assert_true(id = 'x') IS NULL FROM {table}")
+    late = {"good": spark.createDataFrame([("x",)], "id string"), "bad": spark.createDataFrame([("y",)], "id string")}
+    got = statuses(run_transforms(late, Registry(user_global=[raising])))
+    assert got == {("add", "good"): APPLIED, ("add", "bad"): FAILED}
+
+
 def test_only_a_select_is_accepted(tables):
     for sql in ("DROP TABLE one", "CREATE TABLE x AS SELECT 1", "SELECT 1; SELECT 2"):
         run = run_transforms(tables, Registry(user=[sql_transform("t", "one", sql)]))
