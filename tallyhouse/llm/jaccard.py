@@ -10,7 +10,8 @@
    prefix filtering asks for, fall into one neighbourhood.
 3. Within a neighbourhood, inverted lists answer T-occurrence queries with
    DivideSkip: the short lists of a query are heap-merged, and documents found
-   often enough there are looked up in the long ones by binary search. A class is
+   often enough there are looked up in the long ones by binary search, all of them in
+   one list at a time, while they can still reach the threshold. A class is
    only asked about classes that it is not yet connected with.
 4. Neighbourhoods of over ``most`` classes are cut into blocks, and pairs of
    blocks are tasks of their own. Before that all classes are compared with the
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -341,37 +341,36 @@ class Inverted:
         longest = len(lists[-1])
         long_ = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)))
         short, long_lists = lists[: len(lists) - long_], lists[len(lists) - long_ :]
-        links = []
-        for c, shared in merged(short, len(self.sizes)):
-            if shared < least - long_:
-                continue
-            for missing, l in enumerate(long_lists):
-                if shared + len(long_lists) - missing < least:
-                    break
-                i = bisect_left(l, c)
-                shared += i < len(l) and l[i] == c
-            if 100 * shared >= percent * (n + int(self.sizes[c]) - shared):
-                links.append(c)
-        return links
-
-
-def merged(lists: list[np.ndarray], most: int) -> Iterator[tuple[int, int]]:
-    """Members of sorted lists with the number of lists they are in."""
+        found, shared = merged(short, len(self.sizes))
+        for missing in range(len(long_lists) + 1):
+            # Those that the remaining long lists cannot bring to the threshold are out.
+            left = shared + (len(long_lists) - missing) >= least
+            if not left.all():
+                found, shared = found[left], shared[left]
+            if not len(found) or missing == len(long_lists):
+                break
+            l = long_lists[missing]
+            at = np.searchsorted(l, found)
+            at[at == len(l)] = 0
+            shared = shared + (l[at] == found)
+        union = n + self.sizes[found] - shared
+        return found[100 * shared >= percent * union].tolist()
+
+
+def merged(lists: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of sorted lists and the number of lists each is in."""
     if sum(map(len, lists)) >= HEAP:  # a heap of so much would only be slower
         counts = np.bincount(np.concatenate(lists), minlength=most)
         found = np.flatnonzero(counts)
-        yield from zip(found.tolist(), counts[found].tolist())
-        return
-    last, n = None, 0
+        return found, counts[found]
+    found, counts = [], []
     for x in heapq.merge(*(l.tolist() for l in lists)):
-        if x == last:
-            n += 1
-            continue
-        if last is not None:
-            yield last, n
-        last, n = x, 1
-    if last is not None:
-        yield last, n
+        if found and x == found[-1]:
+            counts[-1] += 1
+        else:
+            found.append(x)
+            counts.append(1)
+    return np.array(found, dtype=np.int64), np.array(counts, dtype=np.int64)
 
 
 def unions(rows: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
