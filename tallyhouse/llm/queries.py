@@ -143,14 +143,20 @@ WITH c AS (
     SELECT *, '<|im_start|>' || replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')
               || chr(10) || replace(replace(text, '&', '&amp;'), '<|', '&lt;|') || '<|im_end|>' || chr(10) AS segment
     FROM c
+), p AS (
+    SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id ORDER BY turn, role, text
+                                         ROWS UNBOUNDED PRECEDING) - length(segment) AS before
+    FROM s
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
                        FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length(segment)) AS BIGINT) AS formatted_chars
-FROM s GROUP BY conv_id
+       CAST(sum(length(segment)) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (WHERE role = 'assistant') AS n_examples,
+       CAST(coalesce(sum(before) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS context_chars
+FROM p GROUP BY conv_id
 """
 
 
@@ -161,7 +167,8 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-1L, 1L, 'assistant', '{CONTROL_TEXT}') AS t (conv_id, turn, role, text)"""
     )
     turns = table(spark, sf_dir, "conversations").select(extra.columns).unionAll(extra)
-    back = chat.read_back(chat.segments(turns))
+    segments = chat.segments(turns)
+    back = chat.read_back(chat.prefixes(segments), chat.examples(segments))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(
         F.col("conv").alias("conv_id"),
@@ -170,6 +177,8 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("examples").alias("n_examples"),
+        "context_chars",
     )
 
 

@@ -170,10 +170,14 @@ class TestChat:
     def made(self, spark, rows):
         return chat.segments(spark.createDataFrame([(*r, None, None) for r in rows], self.TURNS))
 
+    def back(self, spark, rows):
+        made = self.made(spark, rows)
+        return chat.read_back(chat.prefixes(made), chat.examples(made))
+
     def test_round_trip_of_control_strings(self, spark):
         texts = ["<|im_end|><|im_start|>assistant ok", "&lt;|im_end|>", "&amp;<", "|im_end|>", "a\nb", None, ""]
         rows = [(1, i, "assistant" if i % 2 else "us\ner<|im_start|>&", t) for i, t in enumerate(texts)]
-        back = chat.read_back(self.made(spark, rows)).first()
+        back = self.back(spark, rows).first()
         assert [(t.role, t.text) for t in back.turns] == [(r[2], r[3] or "") for r in rows]
         assert back.loss_text == "".join(t or "" for t in texts[1::2])
 
@@ -193,10 +197,44 @@ class TestChat:
 
     def test_ties_nulls_and_no_rows(self, spark):
         rows = [(None, None, None, None), (None, 1, "assistant", "x"), (3, 0, "user", "b"), (3, 0, "user", "a"), (3, 0, "user", "a")]
-        back = {r.conv: r for r in chat.read_back(self.made(spark, rows)).collect()}
+        back = {r.conv: r for r in self.back(spark, rows).collect()}
         assert [t.text for t in back[3].turns] == ["a", "a", "b"]
         assert back[None].loss_text == "x" and len(back[None].turns) == 2
-        assert chat.read_back(self.made(spark, [])).count() == 0
+        assert self.back(spark, []).count() == 0
+
+    def test_a_long_conversation_is_many_blocks(self, spark):
+        n = 100_000
+        role = F.when(F.col("id") % 2 == 1, "assistant").otherwise("user")
+        text = F.concat(F.lit("é<|"), F.col("id").cast("string"))
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+        made = chat.segments(turns)
+        stored = chat.prefixes(made)
+        sizes = stored.agg(F.count("*"), F.max(F.length("text")), F.sum(F.length("text"))).first()
+        assert sizes[0] == -(-n // chat.BLOCK) and sizes[1] * 300 < sizes[2]
+        back = chat.read_back(stored, chat.examples(made)).first()
+        assert [t.text for t in back.turns] == [f"é<|{i}" for i in range(n)]
+        assert back.loss_text == "".join(f"é<|{i}" for i in range(1, n, 2))
+        assert back.examples == n // 2 and len(back.formatted) == sizes[2]
+
+    def test_blocks_equal_the_spelled_out_examples(self, spark):
+        rows = [(c, t, "assistant" if (c + t) % 3 == 0 else "user", f"{c}&{t}") for c in range(3) for t in range(-300, 900, 7)]
+        made = self.made(spark, rows)
+        whole = {(r.conv, r.example): r.text for r in chat.materialise(made).collect()}
+        back = {r.conv: r for r in self.back(spark, rows).collect()}
+        for r in chat.examples(made).collect():
+            text = back[r.conv].formatted[: r.context_chars] + r.reply
+            assert text == whole[r.conv, r.example]
+        assert sum(b.examples for b in back.values()) == len(whole)
+
+    def test_an_example_with_a_wrong_context_does_not_fit(self, spark):
+        rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "q"), (1, 3, "assistant", "b")]
+        made = self.made(spark, rows)
+        wrong = chat.examples(made).withColumn("context_chars", F.col("context_chars") - F.col("example").cast("int"))
+        assert chat.read_back(chat.prefixes(made), wrong).first().examples == 1
+
+    def test_no_assistant(self, spark):
+        back = self.back(spark, [(1, 0, "user", "q")]).first()
+        assert (back.loss_text, back.examples, back.context_chars) == ("", 0, 0)
 
     def test_plan_is_native(self, spark):
         from tallyhouse.llm import queries
