@@ -250,11 +250,23 @@ class Stripes:
                 self.kept += len(found)
                 return
             both = both[contains(self.often, hashes & np.uint64(0xFFFFFFFF))]
-        self._keep(lang, [codes[both + i] for i in range(size)])
-        self._keep(lang, [*[codes[starts + i] for i in range(short)], np.zeros(len(starts), dtype=np.int32)])
+        # Prefixes are numbered once: for their own counts and for the runs they begin.
+        heads = np.stack([codes[starts + i] for i in range(short)], axis=1)
+        prefix, first = numbered(heads)
+        heads = heads[first]
+        alone = np.concatenate((heads, np.zeros((len(heads), 1), dtype=heads.dtype)), axis=1)
+        self._add(lang, alone, np.bincount(prefix, minlength=len(heads)))
+        prefix, last = prefix[np.searchsorted(starts, both)], codes[both + short]
+        run, first = numbered(np.stack((prefix, last), axis=1))
+        runs = np.concatenate((heads[prefix[first]], last[first][:, None]), axis=1)
+        self._add(lang, runs, np.bincount(run, minlength=len(first)))
 
     def _keep(self, lang: str, columns: list[np.ndarray]) -> None:
-        runs, counts = grouped(np.stack(columns, axis=1), np.ones(len(columns[0]), dtype=np.int64))
+        runs = np.stack(columns, axis=1)
+        group, first = numbered(runs)
+        self._add(lang, runs[first], np.bincount(group, minlength=len(first)))
+
+    def _add(self, lang: str, runs: np.ndarray, counts: np.ndarray) -> None:
         self.runs[lang].append((runs, counts))
         self.kept += len(runs)
 
@@ -321,18 +333,23 @@ class Stripes:
         return np.where(np.isin(prefixes, self.hot), last % np.uint64(SHARDS), 0).astype(np.int32)
 
 
-def grouped(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal rows once, with the sum of their counts. Numbers are below 2**31."""
-    if not len(runs):
-        return runs, counts
-    group, n = np.zeros(len(runs), dtype=np.int64), 0
-    for i in range(runs.shape[1]):
-        key = (group << 32) | runs[:, i]
-        group, distinct = pd.factorize(key)
+def numbered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number from 0 for each row, the same for equal ones, and where each number
+    is first found. Values are below 2**31."""
+    group = np.zeros(len(rows), dtype=np.int64)
+    n = min(1, len(rows))
+    for i in range(rows.shape[1]):
+        group, distinct = pd.factorize((group << 32) | rows[:, i])
         group, n = group.astype(np.int64), len(distinct)
     first = np.empty(n, dtype=np.int64)
     first[group[::-1]] = np.arange(len(group))[::-1]
-    total = np.zeros(n, dtype=np.int64)
+    return group, first
+
+
+def grouped(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows once, with the sum of their counts."""
+    group, first = numbered(runs)
+    total = np.zeros(len(first), dtype=np.int64)
     np.add.at(total, group, counts)
     return runs[first], total
 
