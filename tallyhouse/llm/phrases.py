@@ -1,7 +1,8 @@
 """Phrase collocations by stripes: each prefix keys counters of its next words.
 
-Levels go from single words to the longest phrases. A task cuts texts into words,
-groups equal runs of words with numpy and sends stripes: a prefix with a map from
+Texts are cut into words once and written as numbers, in rows that list their own
+distinct words. Levels go from single words to the longest phrases. A task reads these
+rows, groups equal runs of words with numpy and sends stripes: a prefix with a map from
 next word to count. Merging adds maps element by element; the count under the empty
 next word is the prefix's own total. One structure gives what is needed: extensions
 are a stripe's entries, the parts of a cut are prefix totals, the words of a
@@ -49,6 +50,10 @@ ROW = 4096
 SHARDS, WORD_SHARDS = 64, 4096
 #: A prefix is hot that has one in so many of all words.
 HOT = 1000
+#: Positions of a row of numbered words, and languages that wait for one in a task.
+CODED, LANGS = 1 << 16, 16
+#: Bytes of a row group of numbered words, which a reader has in memory as a whole.
+ROW_GROUP = 1 << 24
 #: Positions that a task groups at a time, and groups it keeps before it sends them.
 CHUNK, KEEP = 1 << 17, 1 << 20
 #: Words of which a task knows the numbers; bounds on memory, not on results.
@@ -158,6 +163,81 @@ def bloom_of_hashes(hashes: DataFrame, n: int, most_bits: int = MOST_BITS) -> np
     return out
 
 
+# -- words -----------------------------------------------------------------
+
+
+class Words:
+    """One task's texts as rows of a language, distinct words and their numbers.
+
+    Number 0 stands for the end of a piece, and a row ends with one, so no run of
+    words lies in two rows.
+    """
+
+    def __init__(self):
+        self.waiting: dict[str, list[bytes]] = defaultdict(list)
+
+    def add(self, lang: str, text: bytes) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        found = self.waiting[lang]
+        for piece in text.translate(TO_PIECES).split(b"\n"):
+            words = piece.split()
+            if words:
+                found += words
+                found.append(b"")
+                if len(found) >= CODED:
+                    yield lang, *coded(found)
+                    found.clear()
+        if len(self.waiting) > LANGS:
+            yield from self.finish()
+
+    def finish(self) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        for lang, found in self.waiting.items():
+            if found:
+                yield lang, *coded(found)
+        self.waiting.clear()
+
+
+def coded(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    numbers[b""]
+    codes = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
+    return list(numbers), codes
+
+
+def code_type(names: int) -> type:
+    return np.uint16 if names <= 1 << 16 else np.uint32
+
+
+def words_of(texts: DataFrame, folder: str) -> DataFrame:
+    """``lang, names, codes``: numbered words of ``lang, text``, written and reread."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Words()
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                for row in cut.add(lang.as_py(), text.as_py()):
+                    yield as_row(*row)
+        for row in cut.finish():
+            yield as_row(*row)
+
+    def as_row(lang: str, names: list[bytes], codes: np.ndarray) -> pa.RecordBatch:
+        packed = codes.astype(code_type(len(names))).tobytes()
+        columns = [
+            pa.array([lang], pa.string()),
+            pa.array([b" ".join(names[1:])], pa.binary()),
+            pa.array([packed], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, CODES)
+
+    rows = importable(texts).mapInArrow(run, "lang string, names binary, codes binary")
+    path = f"{folder}/words"
+    rows.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return texts.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+CODES = ["lang", "names", "codes"]
+
+
 # -- stripes ---------------------------------------------------------------
 
 
@@ -192,20 +272,15 @@ class Stripes:
         self.kept = 0
 
     def add(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
-        found: list[bytes] = []
-        for piece in text.translate(TO_PIECES).split(b"\n"):
-            words = piece.split()
-            if words:
-                found += words
-                found.append(b"")
-                if len(found) >= CHUNK:
-                    yield from self._take(lang, found)
-                    found = []
-        if found:
-            yield from self._take(lang, found)
-
-    def _take(self, lang: str, words: list[bytes]) -> Iterator[pa.RecordBatch]:
-        codes = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        """A text that has not been cut before."""
+        cut = Words()
+        for row in [*cut.add(lang, text), *cut.finish()]:
+            yield from self.take(*row)
+
+    def take(self, lang: str, names: list[bytes], numbered: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row of numbered words; its numbers become the task's own."""
+        own = np.fromiter(map(self.numbers.__getitem__, names), np.int32, len(names))
+        codes = own[numbered]
         self.words[lang].append(codes)
         self.waiting[lang] += len(codes)
         if self.waiting[lang] >= CHUNK:
@@ -404,45 +479,47 @@ STRIPE = ["lang", "prefix", "shard", "words", "times"]
 SCREEN = ["lang", "part", "hashes", "counts"]
 
 
-def of_texts(texts: DataFrame, schema: str, make) -> DataFrame:
-    """What the :class:`Stripes` of each task, made by ``make``, give for its texts."""
+def of_words(words: DataFrame, schema: str, make) -> DataFrame:
+    """What the :class:`Stripes` of each task, made by ``make``, give for its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = make()
         for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
-                yield from held.add(lang.as_py(), text.as_py())
+            for lang, listed, packed in zip(*batch.columns):
+                names = [b"", *listed.as_py().split(b" ")]
+                numbered = np.frombuffer(packed.as_buffer(), code_type(len(names)))
+                yield from held.take(lang.as_py(), names, numbered)
         yield from held.finish()
 
-    return importable(texts).mapInArrow(run, schema)
+    return importable(words).mapInArrow(run, schema)
 
 
 def stripes(
-    texts: DataFrame,
+    words: DataFrame,
     size: int,
     filter_: Broadcast | None,
     hot: np.ndarray | None = None,
     often: Broadcast | None = None,
 ) -> DataFrame:
-    """The tasks' stripes of runs of ``size`` words of ``lang, text``."""
+    """The tasks' stripes of runs of ``size`` words."""
 
     def make() -> Stripes:
         return Stripes(size, filter_ and filter_.value, hot, often and often.value)
 
-    return of_texts(texts, "lang string, prefix string, shard int, words string, times array<int>", make)
+    return of_words(words, "lang string, prefix string, shard int, words string, times array<int>", make)
 
 
 def screen(
-    texts: DataFrame, size: int, filter_: Broadcast, words: int, least: int, most_bits: int
+    words: DataFrame, size: int, filter_: Broadcast, n: int, least: int, most_bits: int
 ) -> np.ndarray:
     """A filter of the runs whose hashes are found ``least`` times in one language.
 
     The low halves of the hashes are added up by ranges of hashes, a task's own
     first; runs that share one only pass together.
     """
-    ranges = 1 + words // RANGE_WORDS
-    parts = of_texts(
-        texts,
+    ranges = 1 + n // RANGE_WORDS
+    parts = of_words(
+        words,
         "lang string, part long, hashes binary, counts binary",
         lambda: Stripes(size, filter_.value, ranges=ranges),
     )
@@ -487,18 +564,19 @@ def levels(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
+    words = words_of(texts, folder)
     out: list[DataFrame] = []
     for size in range(1, mining.longest + 1):
         filter_ = hot = often = None
         if out:
-            words = out[0].filter("next = ''").agg(F.sum("found")).first()[0] or 0
-            hot = hot_prefixes(out[-1], words)
+            n = out[0].filter("next = ''").agg(F.sum("found")).first()[0] or 0
+            hot = hot_prefixes(out[-1], n)
             found = out[-1].filter("next <> ''").select(phrase().alias("phrase")).distinct()
             filter_ = spark.sparkContext.broadcast(bloom(found, most_bits))
             if size in SCREENED:
-                passed = screen(texts, size, filter_, words, mining.least, most_bits)
+                passed = screen(words, size, filter_, n, mining.least, most_bits)
                 often = spark.sparkContext.broadcast(passed)
-        parts = stripes(texts, size, filter_, hot, often)
+        parts = stripes(words, size, filter_, hot, often)
         out.append(staged(merged(parts, mining.least), folder))
         for sent in (filter_, often):
             if sent is not None:
