@@ -13,9 +13,10 @@ from tallyhouse.plans.inventory import SNAPSHOTS, BuildInputs, BuildSettings, In
 from tallyhouse.plans.query import Query
 from tallyhouse.plans.transforms import CustomTable, sql_transform
 from tallyhouse.plans import builtin
-from tallyhouse.schemas import CAPTURE_TIME, KEY
+from tallyhouse.schemas import CAPTURE_TIME, KEY, STATE_ID
 from tallyhouse.sources.store import work_folder
 from tallyhouse.streaming.feed import ChangeFeed, latest_state
+from tallyhouse.streaming.live import UPSERT, live_changes, use_rocksdb
 
 #: What the second build of the day brings: changes of one type only.
 _ONE_TYPE = "Demo::App::error"
@@ -148,6 +149,37 @@ def stream_latest(spark, d):
     return brief(latest_per_key(updates, order=("batch",)).drop("batch"))
 
 
+@query(
+    "stream_live",
+    f"""SELECT {BRIEF_SQL} FROM (
+            SELECT * FROM fx_changes
+            QUALIFY row_number() OVER (PARTITION BY accountId, resourceType, resourceId
+                                       ORDER BY captureTime DESC, stateId DESC) = 1)
+        WHERE right(stateId, 1) NOT IN ('0', '5')""",
+)
+def stream_live(spark, d):
+    """All changes as a stream in which some delete their key."""
+    folder = work_folder(spark)
+    changes(spark, d).write.partitionBy("awsRegion").parquet(f"{folder}/landing")
+    landed = spark.read.parquet(f"{folder}/landing").schema
+    items = spark.readStream.schema(landed).option("maxFilesPerTrigger", 5).parquet(f"{folder}/landing")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
+
+    use_rocksdb(spark)
+    # The landing folder is in no order of time, so rows may be late by any time.
+    live = live_changes(items, F.right(F.col(STATE_ID), F.lit(1)).isin("0", "5"), late="36500 days")
+    (
+        live.writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        .start().awaitTermination()
+    )
+    updates = spark.read.option("basePath", f"{folder}/updates").parquet(f"{folder}/updates")
+    newest = latest_per_key(updates, order=("batch",))
+    return brief(newest.filter(F.col("change") == UPSERT).drop("batch", "change"))
+
+
 @query("q_sql_join_tables", """
     SELECT a.accountName, e.n, t.resources FROM (
         SELECT accountId, count(*) AS n FROM fx_stored WHERE resourceType = 'Demo::App::error' GROUP BY accountId) e
