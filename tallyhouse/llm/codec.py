@@ -33,7 +33,7 @@ from tallyhouse.llm.tables import importable, map_rows
 
 BLOCK = 1 << 16
 #: Words a worker remembers; a bound on memory, not on results.
-MEMO = 150_000
+MEMO = 400_000
 
 
 class Encoder:
