@@ -29,9 +29,10 @@ rows. Other columns are not read.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -126,25 +127,32 @@ def hash_of_phrase(phrase: str) -> np.uint64:
 def bloom(phrases: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
     """A filter of ``phrase``, at most ``most_bits / 8`` bytes whatever their number."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([hash_of_phrase(p) for p in batch.column(0).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
+    def hashed(column: pa.Array) -> np.ndarray:
+        return np.array([hash_of_phrase(p) for p in column.to_pylist()], dtype=np.uint64)
 
-    return bloom_of_hashes(importable(phrases.select("phrase")).mapInArrow(hashed, "hash long"), phrases.count(), most_bits)
+    return _bloom(phrases.select("phrase"), hashed, phrases.count(), most_bits)
 
 
 def bloom_of_hashes(hashes: DataFrame, n: int, most_bits: int = MOST_BITS) -> np.ndarray:
-    """A filter of ``n`` values of ``hash``. Its bits are set by segments, each in the
-    task its places are sent to."""
+    """A filter of ``n`` values of ``hash``."""
+    return _bloom(hashes, lambda column: column.to_numpy(zero_copy_only=False).view(np.uint64), n, most_bits)
+
+
+def _bloom(
+    values: DataFrame, hashed: Callable[[pa.Array], np.ndarray], n: int, most_bits: int
+) -> np.ndarray:
+    """Bits are set by segments, each in the task its places are sent to.
+
+    Values are hashed and placed by one Python function: two in a row would take two
+    workers for each task, and all of them would keep memory beside the next stages.
+    """
     bits = 1 << 16
     while bits < min(most_bits, n * BITS_EACH):
         bits *= 2
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashed = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            place = np.unique(np.concatenate(list(probes(hashed, bits))))
+            place = np.unique(np.concatenate(list(probes(hashed(batch.column(0)), bits))))
             columns = [(place // SEGMENT).astype(np.int64), (place % SEGMENT).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["segment", "place"])
 
@@ -154,7 +162,7 @@ def bloom_of_hashes(hashes: DataFrame, n: int, most_bits: int = MOST_BITS) -> np
         np.bitwise_or.at(held, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
         return pa.table({"segment": [key[0].as_py()], "held": pa.array([held.tobytes()], pa.binary())})
 
-    spread = importable(hashes).mapInArrow(places, "segment long, place int")
+    spread = importable(values).mapInArrow(places, "segment long, place int")
     segments = spread.distinct().groupBy("segment").applyInArrow(set_bits, "segment long, held binary")
     out = np.zeros(bits // 8, dtype=np.uint8)
     for segment in segments.toLocalIterator():
@@ -196,10 +204,17 @@ class Words:
         self.waiting.clear()
 
 
-def coded(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    numbers: defaultdict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
+def numbering() -> defaultdict[bytes, int]:
+    """Numbers words in the order they are asked for; what stands between pieces has
+    the number 0. It does not refer to itself, so that a worker, which takes task after
+    task, is rid of it at once and not when its garbage is next collected."""
+    numbers = defaultdict(count().__next__)
     numbers[b""]
+    return numbers
+
+
+def coded(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    numbers = numbering()
     codes = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
     return list(numbers), codes
 
@@ -262,9 +277,7 @@ class Stripes:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: defaultdict[bytes, int] = defaultdict()
-        self.numbers.default_factory = self.numbers.__len__
-        self.numbers[b""]  # what stands between pieces has the number 0
+        self.numbers = numbering()
         self.hashes = np.zeros(1, dtype=np.uint64)
         self.words: dict[str, list[np.ndarray]] = defaultdict(list)
         self.waiting: dict[str, int] = defaultdict(int)

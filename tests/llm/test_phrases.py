@@ -1,5 +1,6 @@
 """Collocations against counting by hand."""
 
+import gc
 import re
 from collections import Counter, defaultdict
 
@@ -123,6 +124,30 @@ def test_filter_has_no_false_negatives(spark):
     assert phrases.contains(filter_, hashes + np.uint64(1)).mean() < 0.1
 
 
+def test_words_are_gone_after_a_task():
+    """Without waiting for the garbage collector, which may not run before the next task."""
+    gc.collect()
+    gc.disable()
+    try:
+        held = phrases.Stripes(2, None)
+        batches = [*held.add("en", b"only here, only here"), *held.finish()]
+        del held
+        assert batches and not [x for x in gc.get_objects() if type(x) is defaultdict and b"here" in x]
+    finally:
+        gc.enable()
+
+
+def test_a_filter_takes_one_worker_per_task(spark, monkeypatch):
+    """A second Python function in the same stage would be a second worker, with its own memory."""
+    found = spark.range(10).selectExpr("concat('w', id) AS phrase")
+    calls, kind = [], type(found)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *a, **k: calls.append(df) or plain(df, *a, **k))
+    filter_ = phrases.bloom(found)
+    assert len(calls) == 1
+    assert all(phrases.contains(filter_, np.array([phrases.hash_of_phrase(f"w{i}")]))[0] for i in range(10))
+
+
 def test_scores_beyond_64_bits(spark):
     candidates = spark.createDataFrame(
         [("en", "a b", "a", 3 * 10**17, ["a", "b"])], "lang string, phrase string, prefix string, a long, words array<string>"
