@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.hashing import text_batches, word_hashes
+from tallyhouse.llm.hashing import text_batches, word_hashes, word_hashes_of
 from tallyhouse.llm.jaccard import as_arrow, as_rows
 from tallyhouse.llm.tables import importable, staged
 
@@ -61,6 +61,8 @@ SEED = 20
 SLOTS = 1 << 20
 #: Words of a document that are looked at in one go.
 STRETCH = 1 << 16
+#: Bytes of texts that are hashed in one go: calls cost more than a short text's words.
+TOGETHER = 1 << 16
 
 
 @dataclass
@@ -80,6 +82,7 @@ class Items:
         numbers = np.arange(len(at), dtype=np.int32)
         self.slots[at] = numbers
         self.more[at[self.slots[at] != numbers]] = True
+        self.seen = np.zeros(len(at), dtype=np.int64)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words, -1 for those of no item."""
@@ -96,6 +99,36 @@ class Items:
             found[shared[same]] = place[same]
         return found
 
+    def distinct(self, numbers: np.ndarray) -> np.ndarray:
+        """Each word of some item once, ascending; words of no item are left out."""
+        numbers = numbers[numbers >= 0]
+        order = np.arange(len(numbers))
+        self.seen[numbers] = order
+        once = numbers[self.seen[numbers] == order]
+        once.sort()
+        return once
+
+    def numbered(self, batch: pa.RecordBatch) -> Iterator[tuple[object, bytes, np.ndarray]]:
+        """Keys, texts and the numbers of their words."""
+        held, size = [], 0
+        for row in text_batches(batch):
+            held.append(row)
+            size += len(row[1])
+            if size >= TOGETHER:
+                yield from self._numbered(held)
+                held, size = [], 0
+        yield from self._numbered(held)
+
+    def _numbered(self, rows: list[tuple[object, bytes]]) -> Iterator[tuple[object, bytes, np.ndarray]]:
+        hashed = word_hashes_of([text for _, text in rows])
+        if not hashed:
+            return
+        numbers = self.numbers(np.concatenate(hashed))
+        end = 0
+        for (key, text), words in zip(rows, hashed):
+            start, end = end, end + len(words)
+            yield key, text, numbers[start:end]
+
 
 def items_of(rows: list) -> list[Items]:
     """From rows (id, text, answer); items without words are left out.
@@ -130,8 +163,7 @@ def frequencies(rows: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     def run(batches) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
-            for _, text in text_batches(batch):
-                numbers = items.numbers(word_hashes(text))
+            for _, _, numbers in items.numbered(batch):
                 there = np.zeros(size + 1, dtype=bool)
                 there[numbers] = True  # words of no item go to the last place
                 counts += there[:-1]
@@ -177,8 +209,7 @@ def sketch(rows: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
         n = 0
         telling = np.append(idf >= STOP, False)
         for batch in batches:
-            for _, text in text_batches(batch):
-                numbers = items.numbers(word_hashes(text))
+            for _, _, numbers in items.numbered(batch):
                 at = np.flatnonzero(telling[numbers])
                 if not len(at):
                     continue
@@ -324,6 +355,7 @@ class Kind:
     def __init__(self, space: Space, kind: tuple[int, int], items: list[int]):
         self.window, self.reach = kind
         self.share, self.n_items = space.share, len(space.items.ids)
+        self.distinct = space.items.distinct
         self.items = np.array(items)
         # Parts of an item's weight: all its places of a word, one column per item.
         self.whole = np.zeros((len(space.idf), len(items)), dtype=np.float32)
@@ -333,8 +365,9 @@ class Kind:
 
     def _enough(self, near: np.ndarray, columns: np.ndarray) -> np.ndarray:
         """Of the items in ``columns``, those whose words may leak from ``near``."""
-        near = np.unique(near[near >= 0])
-        held = self.whole[near].sum(axis=0) if len(columns) == len(self.items) else self.whole[np.ix_(near, columns)].sum(axis=0)
+        near = self.distinct(near)
+        held = self.whole[near] if len(columns) == len(self.items) else self.whole[near[:, None], columns]
+        held = held.sum(axis=0)
         return columns[held >= self.share - 1e-4]
 
     def may_leak(self, numbers: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -376,8 +409,7 @@ def search(rows: DataFrame, key: str, space: Space, block: int) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for doc, text in text_batches(batch):
-                numbers = space.items.numbers(word_hashes(text))
+            for doc, text, numbers in space.items.numbered(batch):
                 hits = space.leaks(numbers)
                 print_ = xxhash.xxh64_intdigest(text) - (1 << 63) if hits else 0
                 for number, (cosine, share) in hits.items():

@@ -44,8 +44,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def words_of_piece(data: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words of one run of bytes, A-Z lower-cased."""
+    return placed_words(data)[0]
+
+
+def placed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, and where they begin."""
     if not len(data):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     solid = ~SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
@@ -53,7 +58,7 @@ def words_of_piece(data: np.ndarray) -> np.ndarray:
         terms = TERMS[data] * powers(BASE, len(data))
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(terms)))
         value = (sums[ends] - sums[starts]) * powers(INVERSE, len(data))[starts]
-        return mix(value + (ends - starts).astype(np.uint64) * np.uint64(BASE))
+        return mix(value + (ends - starts).astype(np.uint64) * np.uint64(BASE)), starts
 
 
 def cuts(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -75,6 +80,16 @@ def word_hashes(text: bytes | memoryview) -> np.ndarray:
     return np.concatenate([words_of_piece(piece) for piece in cuts(data)])
 
 
+def word_hashes_of(texts: list[bytes]) -> list[np.ndarray]:
+    """The same for each of some texts, hashed as one."""
+    if len(texts) == 1 or sum(map(len, texts)) + len(texts) > PIECE:
+        return [word_hashes(text) for text in texts]
+    hashes, starts = placed_words(np.frombuffer(b" ".join(texts), dtype=np.uint8))
+    begins = np.cumsum([0, *(len(text) + 1 for text in texts)])
+    edges = np.searchsorted(starts, begins).tolist()
+    return [hashes[a:b] for a, b in zip(edges, edges[1:])]
+
+
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     """Hashes of all runs of ``size`` words, in order; a shorter text is one run."""
     n = min(size, len(words))

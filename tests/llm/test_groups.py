@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyhouse.llm import cascade, decontaminate, jaccard, warc
@@ -280,6 +281,22 @@ class TestDecontaminate:
         kept = decontaminate.clean(docs(texts, [0, 1, None, 3, 3]), bench.drop("answer"))
         assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
 
+    def test_short_texts_are_numbered_together(self, monkeypatch):
+        """One call for many short texts, with the numbers that each has by itself."""
+        from tallyhouse.llm import hashing
+
+        (items,) = decontaminate.items_of([(0, "a b c état", None), (1, "c d", None)])
+        texts = ["A b x", None, "", " \n c\x0bd ", "état", "b " * 70_000, "a", "d " * 600_000, "c", *["x a b"] * 500]
+        alone = [items.numbers(hashing.word_hashes((t or "").encode())).tolist() for t in texts]
+        calls, plain = [], hashing.mix
+        monkeypatch.setattr(hashing, "mix", lambda x: calls.append(1) or plain(x))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc", "text"])
+        got = list(items.numbered(batch))
+        assert [n.tolist() for _, _, n in got] == alone and len(calls) < 10
+        assert [(key, text) for key, text, _ in got] == [(i, (t or "").encode()) for i, t in enumerate(texts)]
+        for numbers in alone[:5]:
+            assert items.distinct(np.array(numbers, dtype=np.int64)).tolist() == sorted({*numbers} - {-1})
+
     def test_empty(self, spark, docs):
         bench = self.benchmark(spark, [(1, "a b c", None)])
         assert decontaminate.leaks(docs([]), bench).count() == 0
