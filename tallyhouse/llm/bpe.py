@@ -20,6 +20,8 @@ from functools import lru_cache
 import regex
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from tallyhouse.llm.tables import held
+
 END_OF_WORD = "</w>"
 #: Entries a memo may hold before it starts anew; a bound on memory, not on results.
 MEMO = 200_000
@@ -296,12 +298,12 @@ def sections(text: str, special: dict[str, int]) -> Iterator[tuple[str, int | No
             yield part, special.get(part)
 
 
-@lru_cache(maxsize=2)
+@held
 def load(path: str) -> Merges:
     """One per Python worker and file."""
     return Merges(path)
 
 
-@lru_cache(maxsize=2)
+@held
 def counter(path: str) -> Counter:
     return Counter(load(path))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.hashing import text_batches, word_hashes, word_hashes_of
 from tallyhouse.llm.jaccard import as_arrow, as_rows
-from tallyhouse.llm.tables import importable, staged
+from tallyhouse.llm.tables import alone, importable, staged
 
 PASSAGE = 64
 #: Words of the shortest windows.
@@ -173,7 +173,7 @@ def frequencies(rows: DataFrame, items: Items) -> tuple[np.ndarray, int]:
             [pa.array([*found.tolist(), -1]), pa.array([*counts[found].tolist(), total])], ["word", "n"]
         )
 
-    parts = importable(rows).mapInArrow(run, "word long, n long")
+    parts = importable(rows).mapInArrow(alone(run), "word long, n long")
     # One row per word of the block.
     summed = {r.word: r.n for r in parts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = summed.pop(-1, 0)
@@ -241,8 +241,8 @@ def sketch(rows: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
                 ["word", "row"],
             )
 
-    parts = importable(rows).mapInArrow(run, "word long, row binary")
-    summed = parts.repartition("word").mapInArrow(add_up, "word long, row binary")
+    parts = importable(rows).mapInArrow(alone(run), "word long, row binary")
+    summed = parts.repartition("word").mapInArrow(alone(add_up), "word long, row binary")
     out = np.zeros((size, COLUMNS))
     for r in summed.toLocalIterator():  # one row per word of the block
         out[r.word] = np.frombuffer(r.row)
@@ -417,7 +417,7 @@ def search(rows: DataFrame, key: str, space: Space, block: int) -> DataFrame:
             if found:
                 yield as_rows(found, out)
 
-    return importable(rows).mapInArrow(run, schema)
+    return importable(rows).mapInArrow(alone(run), schema)
 
 
 def once_per_row(hits: DataFrame) -> DataFrame:

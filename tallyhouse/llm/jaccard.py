@@ -42,7 +42,7 @@ from pyspark.sql.types import StructType
 
 from tallyhouse.llm.components import stars
 from tallyhouse.llm.hashing import shingles, text_batches, word_hashes
-from tallyhouse.llm.tables import importable, staged
+from tallyhouse.llm.tables import alone, importable, staged
 
 #: Shingles a chunk of documents and a range of hashes hold, about.
 CHUNK, RANGE = 1 << 20, 1 << 20
@@ -89,8 +89,9 @@ def route(rows: DataFrame, key: str, ranges: int, size: int) -> DataFrame:
                 docs.append((doc, tokens))
                 held += len(tokens)
                 if held >= CHUNK or len(docs) >= CHUNK_DOCS:
+                    # The list is emptied there.
                     yield from flush(docs, part + number)
-                    docs, held, number = [], 0, number + 1
+                    held, number = 0, number + 1
         if docs:
             yield from flush(docs, part + number)
 
@@ -103,48 +104,63 @@ def route(rows: DataFrame, key: str, ranges: int, size: int) -> DataFrame:
         for i, p in enumerate(prints):
             first.setdefault(p, i)
         mine = [(i, t) for i, (_, t) in enumerate(docs) if first[prints[i]] == i]
-        tokens = np.concatenate([t for _, t in mine])
+        # A chunk's arrays are much of a worker's memory: none stays longer than it is used.
+        names = np.concatenate([t for _, t in mine])
         at = np.repeat(
             np.array([i for i, _ in mine], dtype=np.uint16), [len(t) for _, t in mine]
         )
-        r = ((tokens >> np.uint64(48)) * np.uint64(ranges)) >> np.uint64(16)
-        names = (tokens & LOW48) | (r << np.uint64(48))
+        sizes = np.array([len(t) for _, t in docs], dtype=np.uint32)
+        ids = [d for d, _ in docs]
+        docs.clear(), mine.clear()
+        r = names >> np.uint64(48)
+        r *= np.uint64(ranges)
+        r >>= np.uint64(16)
+        r <<= np.uint64(48)
+        names &= LOW48
+        names |= r
+        del r
         order = np.argsort(names, kind="stable")
-        names, at, r = names[order], at[order], r[order].astype(np.int64)
+        names, at = names[order], at[order]
+        del order
         starts = run_starts(names)
         counts = np.diff(np.append(starts, len(names)))
         often = counts >= OFTEN
         kept = np.repeat(often, counts)
+        starts, counts = starts[often], counts[often].astype(np.uint32)
+        many = [names[starts], counts]
         rows = [
             (
                 chunk,
                 chunk % ranges,
                 HEADER,
-                names[starts[often]].tobytes(),
+                many[0].tobytes(),
                 at[kept].tobytes(),
-                counts[often].astype(np.uint32).tobytes(),
-                [d for d, _ in docs],
-                np.array([len(t) for _, t in docs], dtype=np.uint32).tobytes(),
+                counts.tobytes(),
+                ids,
+                sizes.tobytes(),
                 b"".join(prints),
             )
         ]
         yield batch_of(rows)
         rows = []
-        rare = [names[~kept], at[~kept], r[~kept]]
-        many = [names[starts[often]], counts[often].astype(np.uint32), r[starts[often]]]
-        for value in np.unique(r):
-            a, b = np.searchsorted(rare[2], [value, value + 1])
+        rare = [names[~kept], at[~kept]]
+        del names, at, kept
+        edges = np.arange(ranges, dtype=np.uint64) << np.uint64(48)
+        bounds = [np.append(np.searchsorted(x[0], edges), len(x[0])).tolist() for x in (rare, many)]
+        for value in range(ranges):
+            a, b = bounds[0][value : value + 2]
             if a < b:
                 low = packed(rare[0][a:b])
-                rows.append((chunk, int(value), FOUND, low, rare[1][a:b].tobytes(), None, None, None, None))
-            a, b = np.searchsorted(many[2], [value, value + 1])
+                rows.append((chunk, value, FOUND, low, rare[1][a:b].tobytes(), None, None, None, None))
+            a, b = bounds[1][value : value + 2]
             if a < b:
                 low = packed(many[0][a:b])
-                rows.append((chunk, int(value), FOUND_OFTEN, low, None, many[1][a:b].tobytes(), None, None, None))
+                rows.append((chunk, value, FOUND_OFTEN, low, None, many[1][a:b].tobytes(), None, None, None))
+        del rare
         if rows:
             yield batch_of(rows)
 
-    return importable(rows).mapInArrow(run, schema)
+    return importable(rows).mapInArrow(alone(run), schema)
 
 
 def run_starts(ordered: np.ndarray) -> np.ndarray:
@@ -238,7 +254,7 @@ def counted(routed: DataFrame, key: str) -> DataFrame:
         while passing:
             yield passing.pop()
 
-    return importable(routed).mapInArrow(both, schema)
+    return importable(routed).mapInArrow(alone(both), schema)
 
 
 def as_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -306,7 +322,7 @@ def sets(found: DataFrame, key: str, percent: int) -> DataFrame:
             if result:
                 yield as_rows(result, out)
 
-    return importable(found).mapInArrow(run, schema)
+    return importable(found).mapInArrow(alone(run), schema)
 
 
 class Inverted:
@@ -419,7 +435,7 @@ def search(tasks: DataFrame, percent: int) -> DataFrame:
 
     dealt = tasks.select("task", "print", "n", "tokens", "typical", "side")
     dealt = dealt.repartition("task").sortWithinPartitions("task")
-    return importable(dealt).mapInArrow(run, "a binary, b binary")
+    return importable(dealt).mapInArrow(alone(run), "a binary, b binary")
 
 
 def with_typical(rows: DataFrame, percent: int) -> DataFrame:
@@ -438,7 +454,7 @@ def with_typical(rows: DataFrame, percent: int) -> DataFrame:
             if result:
                 yield as_rows(result, out)
 
-    return importable(rows).mapInArrow(run, "print binary, hub binary, linked boolean")
+    return importable(rows).mapInArrow(alone(run), "print binary, hub binary, linked boolean")
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:

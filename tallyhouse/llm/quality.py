@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.tables import ASCII_SPACE, importable, map_rows
+from tallyhouse.llm.tables import ASCII_SPACE, alone, importable, map_rows
 
 SPACE = ASCII_SPACE.encode()
 #: The characters counted as symbols.
@@ -154,7 +154,7 @@ def map_batches(rows: DataFrame, kind: str, place: int) -> DataFrame:
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["row", *names]
             )
 
-    return importable(rows).mapInArrow(run, f"row {kind}, {MEASURES}")
+    return importable(rows).mapInArrow(alone(run), f"row {kind}, {MEASURES}")
 
 
 def fail_bits() -> Column:
